@@ -78,6 +78,12 @@ def owners(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; by sorting, which beats hashing here."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def sums_by_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of the values of each row; rows have ``counts`` values, also none."""
     total = np.concatenate([[0], np.cumsum(values)])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from payspark.llm.arrowtext import annotate, as_strings, owners, slices, strings_from, sums_by_row, words_of
+from payspark.llm.arrowtext import annotate, as_strings, distinct, owners, slices, strings_from, sums_by_row, words_of
 from payspark.llm.labelled import fold, labelled_sample
 from payspark.llm.rules import DIGIT, MARK, SYMBOLS, UPPER, per_text, rate
 
@@ -54,7 +54,7 @@ def own_features(lines: pa.StringArray, counts: np.ndarray) -> np.ndarray:
     flat, words = words_of(lines)
     codes = flat.dictionary_encode()
     code, row, kinds = codes.indices.to_numpy().astype(np.int64), owners(words), max(len(codes.dictionary), 1)
-    distinct = np.bincount(np.unique(row * kinds + code) // kinds, minlength=len(lines))
+    different = np.bincount(distinct(row * kinds + code) // kinds, minlength=len(lines))
     again = sums_by_row(np.concatenate([[False], (code[1:] == code[:-1]) & (row[1:] == row[:-1])])[: len(code)].astype(np.int64), words)
     bars = sums_by_row(pc.equal(flat, "|").to_numpy(zero_copy_only=False).astype(np.int64), words)
     same = lines.dictionary_encode()
@@ -64,7 +64,7 @@ def own_features(lines: pa.StringArray, counts: np.ndarray) -> np.ndarray:
     symbols = per_text(SYMBOLS, lines)
     return np.stack([
         np.sqrt(rate(symbols, size)), np.sqrt(rate(per_text(MARK, lines), size)), np.sqrt(rate(per_text(UPPER, lines), size)), np.sqrt(rate(per_text(DIGIT, lines), size)),
-        np.sqrt(rate(per_text(STOP, lines), size)), rate(again, words), rate(distinct, words), rate(bars, words), ~first & (words > 0),
+        np.sqrt(rate(per_text(STOP, lines), size)), rate(again, words), rate(different, words), rate(bars, words), ~first & (words > 0),
         np.minimum(rate(size, words), 30) / 10, np.log1p(words) / 5, words == 0, symbols > 0,
     ], axis=1).astype(np.float64)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from payspark.llm.arrowtext import annotate, as_strings, data_of, offsets_of, owners, slices, sums_by_row, words_of
+from payspark.llm.arrowtext import annotate, as_strings, data_of, distinct, offsets_of, owners, slices, sums_by_row, words_of
 from payspark.llm.labelled import labelled_sample
 
 WINDOW = 5
@@ -61,9 +61,9 @@ def duplicate_lines(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     wordy = pc.not_equal(pc.ascii_trim_whitespace(coded.dictionary), "").to_numpy(zero_copy_only=False)
     code = coded.indices.to_numpy().astype(np.int64)
     row = owners(counts)[wordy[code]]
-    distinct = np.unique(row * max(len(wordy), 1) + code[wordy[code]]) // max(len(wordy), 1)
+    kinds = distinct(row * max(len(wordy), 1) + code[wordy[code]]) // max(len(wordy), 1)
     full = np.bincount(row, minlength=len(texts))
-    return full, full - np.bincount(distinct, minlength=len(texts))
+    return full, full - np.bincount(kinds, minlength=len(texts))
 
 
 def repeated_words(codes: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -97,12 +97,12 @@ def statistics(texts: pa.StringArray) -> tuple[dict[str, np.ndarray], np.ndarray
     chars = sums_by_row(pc.utf8_length(flat).to_numpy().astype(np.int64), counts)
     lines, duplicates = duplicate_lines(texts)
     row = owners(counts)
-    distinct = np.bincount(np.unique(row * size + codes) // size, minlength=len(texts))
+    kinds = np.bincount(distinct(row * size + codes) // size, minlength=len(texts))
     again = sums_by_row(np.concatenate([[False], (codes[1:] == codes[:-1]) & (row[1:] == row[:-1])])[: len(codes)].astype(np.int64), counts)
     base = {"n_words": counts, "word_chars": chars, "n_symbols": per_text(SYMBOLS, texts), "n_dup_lines": duplicates, "n_repeat_words": repeated_words(codes, counts)}
     matrix = np.stack([
         rate(chars, counts), rate(base["n_symbols"], chars), rate(duplicates, lines), rate(base["n_repeat_words"], counts), rate(per_text(UPPER, texts), chars),
-        rate(per_text(DIGIT, texts), chars), rate(per_text(MARK, texts), chars), rate(again, counts), rate(distinct, np.sqrt(counts)) / np.log1p(np.log1p(counts) + 1),
+        rate(per_text(DIGIT, texts), chars), rate(per_text(MARK, texts), chars), rate(again, counts), rate(kinds, np.sqrt(counts)) / np.log1p(np.log1p(counts) + 1),
         np.minimum(rate(counts, lines), 200),
     ], axis=1)
     return base, matrix
