@@ -10,10 +10,12 @@ from payspark.llm.decontaminate import decontaminate
 from payspark.llm.line_crf import line_quality
 from payspark.llm.packing import packing
 from payspark.llm.rules import quality_rules
+from payspark.llm.simhash import simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": decontaminate,
     "op5_line_quality": line_quality,
+    "op7_simhash": simhash,
     "op9_quality_rules": quality_rules,
     "op10_packing": packing,
 }
