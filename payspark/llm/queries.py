@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from payspark.llm.decontaminate import decontaminate
 from payspark.llm.line_crf import line_quality
 from payspark.llm.packing import packing
+from payspark.llm.pii import personal_data
 from payspark.llm.rules import quality_rules
 from payspark.llm.simhash import simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_personal_data": personal_data,
     "op4_decontaminate": decontaminate,
     "op5_line_quality": line_quality,
     "op7_simhash": simhash,
