@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from payspark.llm.decontaminate import decontaminate
+from payspark.llm.license_scan import license_scan
 from payspark.llm.line_crf import line_quality
 from payspark.llm.packing import packing
 from payspark.llm.pii import personal_data
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": decontaminate,
     "op5_line_quality": line_quality,
     "op7_simhash": simhash,
+    "op8_license_scan": license_scan,
     "op9_quality_rules": quality_rules,
     "op10_packing": packing,
 }
