@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from payspark.llm.brown_lm import brown_scores
 from payspark.llm.decontaminate import decontaminate
 from payspark.llm.license_scan import license_scan
 from payspark.llm.line_crf import line_quality
@@ -15,6 +16,7 @@ from payspark.llm.rules import quality_rules
 from payspark.llm.simhash import simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_brown_lm": brown_scores,
     "op3_personal_data": personal_data,
     "op4_decontaminate": decontaminate,
     "op5_line_quality": line_quality,
