@@ -14,12 +14,14 @@ from payspark.llm.packing import packing
 from payspark.llm.pii import personal_data
 from payspark.llm.rules import quality_rules
 from payspark.llm.simhash import simhash
+from payspark.llm.substrings import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_brown_lm": brown_scores,
     "op3_personal_data": personal_data,
     "op4_decontaminate": decontaminate,
     "op5_line_quality": line_quality,
+    "op6_substring_dedup": substring_dedup,
     "op7_simhash": simhash,
     "op8_license_scan": license_scan,
     "op9_quality_rules": quality_rules,
