@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from payspark.llm.brown_lm import brown_scores
+from payspark.llm.chat_tree import chat_tree
 from payspark.llm.decontaminate import decontaminate
 from payspark.llm.license_scan import license_scan
 from payspark.llm.line_crf import line_quality
@@ -17,6 +18,7 @@ from payspark.llm.simhash import simhash
 from payspark.llm.substrings import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_tree": chat_tree,
     "op2_brown_lm": brown_scores,
     "op3_personal_data": personal_data,
     "op4_decontaminate": decontaminate,
