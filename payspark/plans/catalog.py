@@ -1,14 +1,294 @@
-"""Named queries over the driver's tables and their DuckDB equivalents."""
+"""Named queries over the driver's tables and their DuckDB equivalents.
+
+The tables hold no payslips, so texts are made of orders and parsed back; the
+SQL computes the same values from the orders themselves.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from payspark.functions.validate import balanced, matches_net
+from payspark.operators import analytics
+from payspark.operators.dispatch import DEFAULT
+from payspark.operators.ingest import outcomes, summary_of
+from payspark.operators.parse import parse_documents
+from payspark.plans.synth import payslips
+from payspark.schema import PAYSLIP_AMOUNTS
+from payspark.sources.store import decoded, first_of_each, to_stored
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(own: Query) -> Query:
+        key = name or own.__name__
+        QUERIES[key] = own
+        if sql:
+            ORACLE_SQL[key] = sql
+        return own
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def money(value: Column) -> Column:
+    """Cents as whole numbers."""
+    return F.round(value * 100).cast("long")
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, gross in cents, day) of all orders."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), money(F.col("o_totalprice")).alias("gross"), F.col("o_orderdate").alias("day"))
+
+
+# The same for DuckDB: whole cents, and the shares that payslips show.
+CENTS = "SELECT o_orderkey AS key, CAST(round(o_totalprice * 100) AS BIGINT) AS gross, o_orderdate AS day, o_orderstatus, o_custkey FROM orders"
+SLIPS = (
+    f"SELECT key, gross, CAST(floor(gross * 17 / 100.0) AS BIGINT) AS less, CAST(floor(gross * 11 / 100.0) AS BIGINT) AS tax, CAST(floor(gross * 60 / 100.0) AS BIGINT) AS base,"
+    f" CAST(floor(gross * 20 / 100.0) AS BIGINT) AS plus, strftime(day, '%Y-%m') AS periodo, o_orderstatus, o_custkey FROM ({CENTS})"
+)
+
+
+def parsed(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Parsed payslips of all orders in one format, amounts in cents."""
+    slips = payslips(orders(spark, sf_dir), key).select("key", "filename", "text")
+    found = parse_documents(slips)
+    return found.select("key", "id", "periodo", "empresa", "cif", "tipo", *(money(F.col(c)).alias(c) for c in PAYSLIP_AMOUNTS), "status", "error_code")
+
+
+def parsed_sql(suffix: str, company: str, cif: str, **amounts: str) -> str:
+    values = ", ".join(f"CAST({amounts.get(c, '0')} AS BIGINT) AS {c}" for c in PAYSLIP_AMOUNTS)
+    return (
+        f"SELECT key, periodo || '-{suffix}' AS id, periodo, '{company}' AS empresa, '{cif}' AS cif, 'NOMINA_ORDINARIA' AS tipo, {values},"
+        f" 'OK' AS status, CAST(NULL AS VARCHAR) AS error_code FROM ({SLIPS})"
+    )
+
+
+TOTALS = {"total_devengado": "gross", "total_deducir": "less", "liquido_percibir": "gross - less", "base_irpf": "gross"}
+PARTS = {"salario_base": "base", "plus_convenio": "plus"}
+TAXES = {"descuento_seguridad_social": "less - tax", "irpf_porcentaje": "1100", "irpf_importe": "tax"}
+REST = {"complementos": "gross - base - plus"}
+for _key, _sql in {
+    "alten": parsed_sql("ALTEN", "Alten", "A28250271", **TOTALS),
+    "altran": parsed_sql("ALTRAN", "Altran", "B80428972", **TOTALS, **PARTS, **REST),
+    "exceltic": parsed_sql("EXCELTIC", "Exceltic", "B84242767", **TOTALS, **PARTS, **REST),
+    "ineco": parsed_sql("INECO", "Ingeniería y Economía del Transporte S.M.E. M.P. S.A.", "A28220168", **TOTALS, **PARTS, **TAXES, base_ss_comunes="gross"),
+    "insis": parsed_sql("INSIS", "INTELIGENCIA SISTEMATICA 4, S.L.", "B84225283", **TOTALS, **PARTS, **TAXES),
+}.items():
+    query(_sql, f"parse_{_key}")(partial(parsed, key=_key))
+
+
+@query(f"SELECT key, CAST(NULL AS VARCHAR) AS id, 'NOT_IMPLEMENTED' AS error_code FROM ({CENTS})")
+def parse_coritel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slips = payslips(orders(spark, sf_dir), "coritel").select("key", "filename", "text")
+    return parse_documents(slips).select("key", "id", "error_code")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as stored Altran payslips, one for each order."""
+    return to_stored(parse_documents(payslips(orders(spark, sf_dir), "altran").select("key", "filename", "text")).where("status = 'OK'").withColumn("id", F.concat("id", F.lit("-"), F.col("key").cast("string"))))
+
+
+def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rows of the dashboard: the customer's segment is the company."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("empresa"))
+    own = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    return own.select(
+        F.format_string("%012d", "o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM").alias("periodo"), "empresa", F.col("o_totalprice").alias("total_devengado"),
+        (F.col("o_totalprice") / 2).alias("liquido_percibir"), F.pmod("o_orderkey", F.lit(40)).cast("double").alias("irpf_porcentaje"), F.col("o_orderstatus").alias("tipo"),
+    )
+
+
+ROWS = (
+    "SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, strftime(o_orderdate, '%Y-%m') AS periodo, c_mktsegment AS empresa, o_totalprice AS total_devengado, o_totalprice / 2 AS liquido_percibir,"
+    " CAST(o_orderkey % 40 AS DOUBLE) AS irpf_porcentaje, o_orderstatus AS tipo FROM orders JOIN customer ON o_custkey = c_custkey"
+)
+
+
+@query(
+    f"""WITH t AS (SELECT key % 7 AS k, text FROM (SELECT key, '' AS text FROM ({CENTS}))),
+    f AS (SELECT k, CASE k WHEN 0 THEN 'alten' WHEN 1 THEN 'altran' WHEN 2 THEN 'coritel' WHEN 3 THEN 'exceltic' WHEN 4 THEN 'ineco' WHEN 5 THEN 'insis' END AS format FROM t),
+    d AS (SELECT lower(text) AS v FROM documents),
+    h AS (SELECT v, (CASE WHEN contains(v, 'alten') THEN 1 ELSE 0 END) + (CASE WHEN contains(v, 'altran') THEN 1 ELSE 0 END) + (CASE WHEN contains(v, 'coritel') THEN 1 ELSE 0 END)
+      + (CASE WHEN contains(v, 'exceltic') THEN 1 ELSE 0 END) + (CASE WHEN contains(v, 'ineco') THEN 1 ELSE 0 END) + (CASE WHEN contains(v, 'insis') OR contains(v, 'inteligencia sistematica') THEN 1 ELSE 0 END) AS n FROM d),
+    g AS (SELECT CASE WHEN n <> 1 THEN NULL WHEN contains(v, 'alten') THEN 'alten' WHEN contains(v, 'altran') THEN 'altran' WHEN contains(v, 'coritel') THEN 'coritel' WHEN contains(v, 'exceltic') THEN 'exceltic'
+      WHEN contains(v, 'ineco') THEN 'ineco' ELSE 'insis' END AS format FROM h)
+    SELECT format, count(*) AS n_documents FROM (SELECT format FROM f UNION ALL SELECT format FROM g) GROUP BY format"""
+)
+def dispatch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats of order texts, whose seventh part names two companies, and of all documents."""
+    names = F.array(*(F.lit(n) for n in ("Alten", "ALTRAN", "coritel", "Exceltic", "Ineco", "Inteligencia Sistematica", "alten altran")))
+    made = orders(spark, sf_dir).select(F.concat(F.lit("Nomina "), F.element_at(names, (F.col("key") % 7 + 1).cast("int"))).alias("text"))
+    texts = made.unionByName(table(spark, sf_dir, "documents").select("text"))
+    return texts.groupBy(DEFAULT.key(F.col("text"), F.lit("")).alias("format")).agg(F.count("*").alias("n_documents"))
+
+
+@query(
+    """WITH a AS (SELECT round(l_extendedprice * 100) / 100 AS g, round(l_quantity * 100) / 100 AS d, (round(l_extendedprice * 100) - round(l_quantity * 100) + (l_orderkey % 5) - 2) / 100 AS n FROM lineitem)
+    SELECT count(*) AS n_rows, CAST(sum(CASE WHEN abs(g - d - n) <= 0.02 THEN 1 ELSE 0 END) AS BIGINT) AS n_balanced,
+      CAST(sum(CASE WHEN abs(round((g - d) * 100) / 100 - n) <= 0.02 THEN 1 ELSE 0 END) AS BIGINT) AS n_matching FROM a"""
+)
+def balance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both balance checks on line items, with gaps of up to two cents."""
+    items = table(spark, sf_dir, "lineitem")
+    price, less = F.round(F.col("l_extendedprice") * 100), F.round(F.col("l_quantity") * 100)
+    rows = items.select((price / 100).alias("g"), (less / 100).alias("d"), ((price - less + F.col("l_orderkey") % 5 - 2) / 100).alias("n"))
+    g, d, n = (F.col(c) for c in "gdn")
+    return rows.agg(F.count("*").alias("n_rows"), F.count_if(balanced(g, d, n)).alias("n_balanced"), F.count_if(matches_net(g, d, n)).alias("n_matching"))
+
+
+LINE_ORDER = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+@query(
+    "SELECT id, l_partkey, l_suppkey, l_extendedprice FROM (SELECT *, l_orderkey || '-' || l_linenumber AS id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY "
+    + ", ".join(LINE_ORDER)
+    + ") AS k FROM lineitem) WHERE k = 1"
+)
+def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of line items with one id the first, as the store takes repeated ids of a batch."""
+    items = table(spark, sf_dir, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return items.withColumn("first", first_of_each(items, "id", *LINE_ORDER)).where("first").select("id", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 45)
+    SELECT o_orderkey AS id, CASE WHEN k IS NULL THEN 'new' ELSE 'conflict' END AS outcome FROM orders LEFT JOIN l ON o_orderkey = k"""
+)
+def conflict_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that meet known keys and those that don't, by a semi and an anti join."""
+    known = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("id"))
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    conflicts = own.join(known, "id", "left_semi").withColumn("outcome", F.lit("conflict"))
+    return conflicts.unionByName(own.join(known, "id", "left_anti").withColumn("outcome", F.lit("new")))
+
+
+@query("SELECT c_custkey AS id, c_mktsegment AS empresa FROM customer WHERE c_mktsegment = 'BUILDING'")
+def filter_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("empresa"))
+    return rows.where(F.col("empresa") == "BUILDING")
+
+
+@query("SELECT event_id AS id, event_type AS tipo FROM events WHERE event_type = 'purchase'")
+def filter_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("tipo"))
+    return rows.where(F.col("tipo") == "purchase")
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS total_devengado FROM orders WHERE o_orderkey <> (SELECT min(o_orderkey) FROM orders)")
+def delete_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders but the one with the smallest id."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total_devengado"))
+    gone = rows.agg(F.min("id").alias("id"))
+    return rows.join(F.broadcast(gone), "id", "left_anti")
+
+
+@query(
+    """SELECT event_id AS id, event_type AS tipo, CAST(json_extract(props, '$.k') AS BIGINT) AS k, value FROM events"""
+)
+def payload_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields decoded from JSON beside columns; a column counts where both have a name."""
+    events = table(spark, sf_dir, "events")
+    return events.withColumn("p", F.from_json("props", "k long, value double")).select(F.col("event_id").alias("id"), F.col("event_type").alias("tipo"), "p.k", "value")
+
+
+@query(
+    "SELECT periodo || '-ALTRAN-' || key AS id, CAST(gross - base - plus AS BIGINT) AS complementos, CAST(gross AS BIGINT) AS total_devengado, 'NOMINA_ORDINARIA' AS tipo, 1 AS es_procesable,"
+    f" CAST(NULL AS VARCHAR) AS categoria FROM ({SLIPS})"
+)
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed payslips as stored rows, read with their payloads."""
+    return decoded(stored(spark, sf_dir)).select("id", money(F.col("complementos")).alias("complementos"), money(F.col("total_devengado")).alias("total_devengado"), "tipo", "es_procesable", "categoria")
+
+
+@query(
+    f"""WITH r AS ({ROWS}), v AS (SELECT * FROM r WHERE total_devengado > 0)
+    SELECT total_devengado AS latest_gross, liquido_percibir AS latest_net, irpf_porcentaje AS latest_irpf FROM v ORDER BY periodo DESC, id DESC LIMIT 1"""
+)
+def kpi_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.kpis(rows_of(spark, sf_dir)).select("latest_gross", "latest_net", "latest_irpf")
+
+
+@query(
+    f"""WITH r AS ({ROWS}), v AS (SELECT * FROM r WHERE total_devengado > 0)
+    SELECT ((SELECT total_devengado FROM v ORDER BY periodo DESC, id DESC LIMIT 1) / (SELECT total_devengado FROM v ORDER BY periodo, id LIMIT 1) - 1) * 100 AS growth_percent"""
+)
+def kpi_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.kpis(rows_of(spark, sf_dir)).select("growth_percent")
+
+
+@query(f"SELECT count(DISTINCT empresa) AS companies FROM ({ROWS}) WHERE total_devengado > 0")
+def company_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.kpis(rows_of(spark, sf_dir)).select("companies")
+
+
+@query("SELECT count(*) AS n_documents FROM orders")
+def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").agg(F.count("*").alias("n_documents"))
+
+
+@query(
+    f"""SELECT empresa, min(total_devengado) AS lowest, quantile_cont(total_devengado, 0.25) AS q1, quantile_cont(total_devengado, 0.5) AS median, quantile_cont(total_devengado, 0.75) AS q3,
+      max(total_devengado) AS highest, count(*) AS documents FROM ({ROWS}) WHERE total_devengado > 0 GROUP BY empresa"""
+)
+def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.pay_ranges(rows_of(spark, sf_dir))
+
+
+@query(f"SELECT periodo, id, total_devengado, liquido_percibir FROM ({ROWS}) WHERE total_devengado > 0")
+def line_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.pay_series(rows_of(spark, sf_dir))
+
+
+@query(f"SELECT periodo, empresa, id, irpf_porcentaje FROM ({ROWS}) WHERE total_devengado > 0")
+def irpf_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.tax_series(rows_of(spark, sf_dir))
+
+
+@query(
+    """WITH t AS (SELECT strftime(o_orderdate, '%Y-%m') AS periodo, o_orderkey AS key, o_orderkey % 10 AS k FROM orders),
+    fine AS (SELECT periodo, row_number() OVER (PARTITION BY periodo ORDER BY key) AS n FROM t WHERE k > 1)
+    SELECT (SELECT count(*) FROM t) AS total, (SELECT count(*) FROM fine WHERE n = 1) AS loaded, (SELECT count(*) FROM t WHERE k <= 1) AS failed, CAST(0 AS BIGINT) AS mismatched, (SELECT count(*) FROM fine WHERE n > 1) AS existing"""
+)
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of all orders' payslips: the first of each month is loaded, later ones exist, a fifth can't be read."""
+    slips = payslips(orders(spark, sf_dir), "alten").select("key", "filename", "text")
+    broken = slips.withColumn("text", F.when(F.col("key") % 10 == 0, "").when(F.col("key") % 10 == 1, "alten altran").otherwise(F.col("text")))
+    none = spark.createDataFrame([], "id string")
+    return summary_of(outcomes(broken, none, "key"))
+
+
+@query(
+    """WITH a AS (SELECT l_partkey AS part, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), b AS (SELECT l_partkey AS part, count(*) AS n FROM lineitem WHERE l_linenumber >= 3 GROUP BY 1)
+    SELECT part, side, count(*) AS n_rows FROM (
+      SELECT b.part, 'added' AS side, unnest(range(b.n - coalesce(a.n, 0))) AS r FROM b LEFT JOIN a USING (part) WHERE b.n > coalesce(a.n, 0)
+      UNION ALL SELECT a.part, 'removed', unnest(range(a.n - coalesce(b.n, 0))) FROM a LEFT JOIN b USING (part) WHERE a.n > coalesce(b.n, 0)) GROUP BY part, side"""
+)
+def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the first and the last lines of orders, as multisets."""
+    items = table(spark, sf_dir, "lineitem")
+    first, last = (items.where(w).select(F.col("l_partkey").alias("part")) for w in ("l_linenumber <= 3", "l_linenumber >= 3"))
+    return analytics.multiset_difference(first, last).groupBy("part", "side").agg(F.count("*").alias("n_rows"))
+
+
+@query(f"SELECT periodo, count(*) AS n_documents, CAST(sum(gross) AS BIGINT) AS gross, CAST(sum(gross - less) AS BIGINT) AS net FROM ({SLIPS}) GROUP BY periodo")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """All orders as payslips of five formats, parsed in one scan, checked and summed up by month."""
+    formats = ("alten", "altran", "exceltic", "ineco", "insis")
+    rows = orders(spark, sf_dir)
+    slips = None
+    for k, key in enumerate(formats):
+        own = payslips(rows, key).where(F.pmod("key", F.lit(len(formats))) == k).select("key", "filename", "text")
+        slips = own if slips is None else slips.unionByName(own)
+    fine = parse_documents(slips).where("status = 'OK'")
+    return fine.groupBy("periodo").agg(F.count("*").alias("n_documents"), F.sum(money(F.col("total_devengado"))).alias("gross"), F.sum(money(F.col("liquido_percibir"))).alias("net"))
