@@ -43,7 +43,7 @@ LABELERS = 7
 # Patterns of the strict kinds.
 DOMAIN = re.compile(rb"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-NUMBERS = re.compile(rb"[0-9]+(?:\.[0-9]+)+")
+NUMBERS = re.compile(rb"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 # Looser patterns, and what the labelers know.
