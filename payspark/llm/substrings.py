@@ -7,21 +7,22 @@ least by hash, so equal windows have equal anchors at equal places, and one
 suffix in about 180 is enough.
 
 An array lists the anchored suffixes of a batch of documents, sorted by their
-first HEAD bytes, with how often each occurs. A new batch's array is merge-
+first PREFIX bytes and then by a 128-bit hash of the first HEAD bytes, with
+how often each occurs. A new batch's array is merge-
 scanned (a sort-merge join) against the array of every level of the family;
 what it shares, within itself or with a level, is a possible long match. Then
 it enters level 0, and arrays of equal level merge into the next one, so each
 suffix is rewritten a logarithmic number of times.
 
 Possible matches are verified on the texts. The windows of an anchor, in
-chunks of ``CHUNK``, have a core, which all of them contain, and a full
-extent. A chunk whose full extent occurs twice is covered; one whose core is
-unique is not; of the others, at the edges of matches, every window is
-compared by itself. Extents and windows are told apart by 128-bit hashes.
+chunks, have a core, which all of them contain, and a full extent. A chunk
+whose full extent occurs twice is covered; one whose core is unique is not;
+the others, at the edges of matches, are cut into smaller chunks, at last into
+single windows (``CHUNKS``). Extents are told apart by 128-bit hashes.
 
 A text that many documents copy, or a passage that many share, is counted
 before shuffles; joins back to its rows split skewed keys adaptively. Texts
-are shuffled once, those with possible matches twice more.
+are shuffled once, those with possible matches once for each size of chunk more.
 
 Defined results: a null or empty text has no bytes; repeated rows are copies
 of each other, so they are removed whole from LENGTH bytes on; texts under
@@ -43,7 +44,9 @@ from pyspark.sql import functions as F
 from payspark.llm.arrowtext import as_strings, data_of, offsets_of, slices
 from payspark.llm.checkpoints import saved
 
-LENGTH, HEAD, CHUNK = 400, 32, 64
+LENGTH, HEAD, PREFIX = 400, 64, 8
+#: Windows are compared in chunks of these sizes, the last by themselves.
+CHUNKS = (64, 8, 1)
 #: Batches that enter the family one after the other.
 BATCHES = 4
 
@@ -99,7 +102,7 @@ def anchored(docs: DataFrame) -> DataFrame:
             for part, texts in texts_in(batch):
                 found = [anchors(t)[0] for t in texts]
                 row = pa.array(np.repeat(np.arange(len(texts)), [len(f) for f in found]))
-                heads = [t[a : a + HEAD].tobytes() for t, f in zip(texts, found) for a in f.tolist()]
+                heads = [t[a : a + PREFIX].tobytes() + xxhash.xxh3_128_digest(t[a : a + HEAD]) for t, f in zip(texts, found) for a in f.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), part.column("key_a").take(row), part.column("key_b").take(row), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["head", "key_a", "key_b", "at"])
 
     return docs.mapInArrow(run, "head binary, key_a long, key_b long, at long")
@@ -146,69 +149,62 @@ def two_longs(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def chunks_of(data: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(anchor, chunk, first, last window) of the wanted anchors of a text; windows count by their starts."""
-    at, first, last = anchors(data)
-    keep = np.isin(at, wanted)
-    for a, low, high in zip(at[keep].tolist(), first[keep].tolist(), last[keep].tolist()):
-        for chunk in range((a - high) // CHUNK, (a - low) // CHUNK + 1):
-            yield a, chunk, max(low, a - chunk * CHUNK - CHUNK + 1), min(high, a - chunk * CHUNK)
+def chunk_keys(texts: DataFrame, size: int) -> DataFrame:
+    """(row, top, first, last, core, full_a, full_b) for chunks of ``size`` windows of ``texts`` (row, text, ranges).
 
-
-def chunk_keys(texts: DataFrame) -> DataFrame:
-    """(row, first, last, core, full_a, full_b) for each chunk of the possible anchors of ``texts`` (row, text, ats)."""
+    A range (top, first, last) is of window starts; it is cut downwards from
+    ``top``, which stands at one place of the match in every copy.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core_hash, full_hash = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         for batch in batches:
             for part, datas in texts_in(batch):
-                out: list[list[int]] = [[] for _ in range(6)]
-                for row, data, wanted in zip(part.column("row").to_pylist(), datas, part.column("ats")):
+                out: list[list[int]] = [[] for _ in range(7)]
+                for row, data, ranges in zip(part.column("row").to_pylist(), datas, part.column("ranges").to_pylist()):
                     raw = memoryview(data)
-                    for a, chunk, first, last in chunks_of(data, np.asarray(wanted.values)):
-                        top = a - chunk * CHUNK
-                        core = core_hash(raw[top : top - CHUNK + 1 + LENGTH])
-                        full = two_longs(full_hash(raw[first : last + LENGTH], (top - first) * 4096 + top - last))
-                        for column, value in zip(out, (row, first, last, core - (1 << 63), *full)):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["row", "first", "last", "core", "full_a", "full_b"])
+                    for r in ranges:
+                        for k in range((r["top"] - r["last"]) // size, (r["top"] - r["first"]) // size + 1):
+                            top = r["top"] - k * size
+                            first, last = max(r["first"], top - size + 1), min(r["last"], top)
+                            core = core_hash(raw[top : top - size + 1 + LENGTH]) - (1 << 63)
+                            full = two_longs(full_hash(raw[first : last + LENGTH], (top - first) * 4096 + top - last))
+                            for column, value in zip(out, (row, top, first, last, core, *full)):
+                                column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["row", "top", "first", "last", "core", "full_a", "full_b"])
 
-    return texts.select("row", "text", "ats").mapInArrow(run, "row long, first long, last long, core long, full_a long, full_b long")
+    return texts.select("row", "text", "ranges").mapInArrow(run, "row long, top long, first long, last long, core long, full_a long, full_b long")
 
 
-def window_keys(texts: DataFrame) -> DataFrame:
-    """(row, start, a, b): hashes of all windows in the ranges ``edges`` (first, last) of ``texts`` (row, text, edges)."""
+def ranges_of_anchors(texts: DataFrame) -> DataFrame:
+    """(row, text, ranges): for each anchor in ``ats`` of ``texts`` (row, text, ats) its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
             for part, datas in texts_in(batch):
-                rows, starts, raw = [], [], []
-                for row, data, edges in zip(part.column("row").to_pylist(), datas, part.column("edges").to_pylist()):
-                    view = memoryview(data)
-                    for edge in edges:
-                        own = range(edge["first"], edge["last"] + 1)
-                        rows += [row] * len(own)
-                        starts += own
-                        raw.append(b"".join([digest(view[s : s + LENGTH]) for s in own]))
-                both = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(starts, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["row", "start", "a", "b"])
+                found = []
+                for data, wanted in zip(datas, part.column("ats")):
+                    at, first, last = anchors(data)
+                    keep = np.isin(at, np.asarray(wanted.values))
+                    found.append([{"top": a, "first": f, "last": z} for a, f, z in zip(at[keep].tolist(), first[keep].tolist(), last[keep].tolist())])
+                kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("top", "first", "last")]))
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), pa.array(found, kind)], names=["row", "text", "ranges"])
 
-    return texts.select("row", "text", "edges").mapInArrow(run, "row long, start long, a long, b long")
+    return texts.select("row", "text", "ats").mapInArrow(run, "row long, text string, ranges array<struct<top long, first long, last long>>")
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """(row, first, last): ranges of window starts of ``texts`` (row, text, ats) whose windows also start elsewhere."""
-    chunks = saved(chunk_keys(texts))
-    full = ["core", "full_a", "full_b"]
-    groups = saved(chunks.groupBy(full).agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("first").alias("first"), F.first("last").alias("last")))
-    covered = chunks.join(groups.where("n > 1").select(full), full, "left_semi").select("row", "first", "last")
-    unclear = groups.groupBy("core").agg(F.count("*").alias("extents"), F.min("n").alias("least")).where("extents > 1 and least = 1").select("core")
-    edges = groups.join(unclear, "core", "left_semi").groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("edges"))
-    windows = saved(window_keys(texts.select("row", "text").join(edges, "row")))
-    twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    single = windows.join(twice, ["a", "b"], "left_semi").select("row", F.col("start").alias("first"), F.col("start").alias("last"))
-    return covered.unionByName(single)
+    full, found, todo = ["core", "full_a", "full_b"], None, ranges_of_anchors(texts)
+    for size in CHUNKS:
+        chunks = saved(chunk_keys(todo, size))
+        groups = saved(chunks.groupBy(full).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("row", "top", "first", "last"))))
+        covered = chunks.join(groups.where("n > 1").select(full), full, "left_semi").select("row", "first", "last")
+        found = covered if found is None else found.unionByName(covered)
+        unclear = groups.groupBy("core").agg(F.count("*").alias("extents"), F.min("n").alias("least")).where("extents > 1 and least = 1").select("core")
+        ranges = groups.join(unclear, "core", "left_semi").groupBy("row").agg(F.collect_list(F.struct("top", "first", "last")).alias("ranges"))
+        todo = texts.select("row", "text").join(ranges, "row")
+    return found
 
 
 def removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
