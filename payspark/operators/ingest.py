@@ -11,6 +11,7 @@ from payspark.functions.validate import matches_net
 from payspark.operators.dispatch import DEFAULT, Registry
 from payspark.operators.parse import parse_documents
 from payspark.schema import DUPLICATE_ID, MESSAGES, MISMATCH
+from payspark.sources.checkpoints import settled
 from payspark.sources.store import DocumentStore, first_of_each, to_stored
 
 LOADED, EXISTS, FAILED, MISMATCHED = "LOADED", "EXISTS", "ERROR", "DESCUADRE"
@@ -66,11 +67,11 @@ def summary_of(outcome: DataFrame) -> DataFrame:
 def ingest_batch(documents: DataFrame, store: DocumentStore, order: str = "filename", registry: Registry = DEFAULT, only: str | None = None, recheck: bool = False) -> Batch:
     """Parse ``documents`` (filename, text) and insert what is new.
 
-    No file ends the batch. The outcome is computed once, before the insert,
-    and kept in memory and on disk while it is read.
+    No file ends the batch. The outcome is settled before the insert, which
+    changes the ids that it was compared with.
     """
     store.init()
-    outcome = outcomes(documents, store.ids(), order, registry, only, recheck).persist()
+    outcome = settled(outcomes(documents, store.ids(), order, registry, only, recheck))
     summary = documents.sparkSession.createDataFrame(summary_of(outcome).collect())  # one row
     loaded = outcome.where(F.col("outcome") == LOADED)
     if summary.first()["loaded"]:

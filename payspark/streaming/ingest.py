@@ -26,6 +26,6 @@ def ingest_stream(documents: DataFrame, store: DocumentStore, checkpoint: str, r
     """
 
     def insert(batch: DataFrame, number: int) -> None:
-        ingest_batch(batch, store, registry=registry).outcome.unpersist()
+        ingest_batch(batch, store, registry=registry)
 
     return documents.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
