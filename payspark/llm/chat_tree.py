@@ -34,11 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from payspark.llm.arrowtext import slices
 from payspark.llm.checkpoints import checkpointed, saved
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNT = "assistant"
 ROOT = bytes(16)
+#: Bytes of text encoded in one call; encodings take far more memory than texts.
+SLICE = 1 << 18
 #: Bytes of a path's element: a node's name and its number of tokens.
 ELEMENT = 20
 
@@ -55,8 +58,11 @@ def default_tokenizer() -> str:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
+    import os
+
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True
     return found
@@ -89,7 +95,7 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
-def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
+def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 500) -> Iterator[pa.RecordBatch]:
     some: list[tuple] = []
     for row in rows:
         some.append(row)
@@ -122,9 +128,9 @@ def encode_turns(conversations: DataFrame, vocabulary: str | None = None) -> Dat
             heads: dict[str, list[int]] = {}
             foot = own.encode(f"{END}\n", add_special_tokens=False).ids
             row, held, last, node, path, idx = TaskContext.get().partitionId() << 36, None, None, ROOT, bytearray(), 0
-            for batch in batches:
-                texts = own.encode_batch([escape(t) for t in batch.column("text").to_pylist()], add_special_tokens=False)
-                for conv, role, text, coded in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist(), texts):
+            for part in (p for b in batches for p in slices(b, limit=SLICE)):
+                texts = own.encode_batch([escape(t) for t in part.column("text").to_pylist()], add_special_tokens=False)
+                for conv, role, text, coded in zip(part.column("conv_id").to_pylist(), part.column("role").to_pylist(), part.column("text").to_pylist(), texts):
                     if held is not None:
                         yield (*held, bytes(path) if conv != last else None)
                     if held is None or conv != last:

@@ -12,14 +12,18 @@ def fold(doc_id: str | Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, where: Column | None = None) -> DataFrame:
-    """(text, label) of at most ``limit`` labelled ids, those with the smallest hash.
+    """(text, label) of about ``limit`` labelled ids, those whose hash is below a share of all hashes.
 
-    Ids labelled more than once count with their largest label; rows without
-    an id or a label don't count. The chosen ids are at most ``limit`` rows of
-    two numbers, so they are broadcast. ``where`` filters the labels.
+    The share is ``limit`` by the number of labelled ids, so all ids are taken
+    while there are fewer. Ids labelled more than once count with their largest
+    label; rows without an id or a label don't count. The chosen ids are about
+    ``limit`` rows of two numbers at most, so they are broadcast. ``where``
+    filters the labels.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna()
     if where is not None:
         known = known.where(where)
-    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    share = min(1.0, limit / max(known.count(), 1))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")

@@ -18,13 +18,13 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +34,9 @@ from payspark.llm.arrowtext import as_strings, slices, words_of
 LENGTH = 4096
 END_ID = 2
 #: Parts of words whose ids a worker keeps; beyond it the cache starts anew.
-CACHED_PARTS = 400_000
+CACHED_PARTS = 300_000
 #: Text handled at once: large, as a slice's words repeat.
-SLICE = 16 << 20
+SLICE = 12 << 20
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,"
@@ -51,10 +51,12 @@ def default_tokenizer() -> str:
 
 
 #: Words of these characters take the short way: already composed, lower-cased one by one.
-PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
-LETTER, NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PLAIN = r"^[\x21-\x7e\x{a1}-\x{ff}]+$"
+LETTER, NUMBER = r"a-z\x{aa}\x{b5}\x{ba}\x{df}-\x{f6}\x{f8}-\x{ff}", r"0-9\x{b2}\x{b3}\x{b9}\x{bc}-\x{be}"
 #: The tokenizer's own split, for PLAIN lower-case words.
-SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{LETTER}{NUMBER}]+")
+SPLIT = rf"('s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{LETTER}{NUMBER}]+)"
+#: What a special token contains.
+SPECIAL = "<|"
 
 
 def gathered(place: np.ndarray, starts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,41 +89,44 @@ class WordTokenizer:
         self.known: dict[str, int] = {}
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
-    def learn(self, parts: list[str]) -> None:
-        """Encode parts that are not known yet, many in one call."""
+    def places(self, parts: list[str]) -> np.ndarray:
+        """Of each part its number among the known ones; new ones are encoded, many in one call."""
+        if len(self.known) + len(parts) > CACHED_PARTS:
+            self.clear()
+        new = [p for p in parts if p not in self.known]
         ids, sizes = [self.ids], [np.zeros(0, np.int64)]
-        for at in range(0, len(parts), 2000):
-            some = parts[at : at + 2000]
-            plain = [p for p in some if PLAIN.fullmatch(p) and "<|" not in p]
-            if len(plain) == len(some):
-                found = self.parts.encode(" ".join(some), add_special_tokens=False)
-                ids.append(np.array(found.ids, np.int32))
-                sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
-            else:
-                each = [self.whole.encode(p, add_special_tokens=False).ids for p in some]
-                ids.append(np.fromiter((i for x in each for i in x), np.int32))
-                sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
-        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            found = self.parts.encode(" ".join(some), add_special_tokens=False)
+            ids.append(np.array(found.ids, np.int32))
+            sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
         self.ids = np.concatenate(ids)
+        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
 
-    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds and ids of each word."""
-        split = [SPLIT.findall(w.lower()) if PLAIN.fullmatch(w) and "<|" not in w else [w] for w in words]
-        distinct = {p for x in split for p in x}
-        if len(self.known) + len(distinct) > CACHED_PARTS:
-            self.clear()
-        self.learn([*filter(lambda p: p not in self.known, distinct)])
-        known = self.known
-        place = np.fromiter((known[p] for x in split for p in x), np.int64)
-        ids, size = gathered(place, self.starts, self.ids)
-        return bounds(size)[bounds(list(map(len, split)))], ids
+    def of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds and ids of each word; words that are not plain go through the whole tokenizer."""
+        plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, SPECIAL)))
+        spaced = pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), SPLIT, r"\1 ")
+        flat, per_word = words_of(spaced)
+        coded = flat.dictionary_encode()
+        ids, size = gathered(self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()], self.starts, self.ids)
+        odd = [self.whole.encode(w, add_special_tokens=False).ids for w in words.filter(pc.invert(plain)).to_pylist()]
+        short = plain.to_numpy(zero_copy_only=False)
+        sizes = np.zeros(len(words), np.int64)
+        sizes[short], sizes[~short] = np.diff(bounds(size)[bounds(per_word)]), list(map(len, odd))
+        if not odd:
+            return bounds(sizes), ids
+        out, mine = np.empty(sizes.sum(), np.int32), np.repeat(short, sizes)
+        out[mine], out[~mine] = ids, [i for x in odd for i in x]
+        return bounds(sizes), out
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each text has."""
         flat, per_text = words_of(texts)
         coded = flat.dictionary_encode()
-        starts, ids = self.of_words(coded.dictionary.to_pylist())
+        starts, ids = self.of_words(coded.dictionary)
         out, size = gathered(coded.indices.to_numpy(), starts, ids)
         return out, np.diff(bounds(size)[bounds(per_text)])
 
