@@ -46,8 +46,8 @@ TILE = 256
 LANES = (((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
-def shingle_hashes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of all shingles, text by text, and how many each text has."""
+def shingle_hashes(texts: pa.StringArray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all shingles of ``width`` words, text by text, and how many each text has."""
     flat, counts = words_of(mapped(texts, LOWER))
     size = pc.binary_length(flat).to_numpy().astype(np.int64)
     bounds = np.concatenate([[0], np.cumsum(counts)])
@@ -55,9 +55,9 @@ def shingle_hashes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     row = owners(counts)
     ends = np.cumsum(size + 1) - np.cumsum(counts > 0)[row] if len(row) else size
     begins = ends - size
-    per_text = np.where(counts > 0, np.maximum(counts - SHINGLE + 1, 1), 0)
+    per_text = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
     first = np.repeat(bounds[:-1], per_text) + np.arange(per_text.sum()) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    last = np.minimum(first + SHINGLE - 1, np.repeat(bounds[1:], per_text) - 1)
+    last = np.minimum(first + width - 1, np.repeat(bounds[1:], per_text) - 1)
     data, digest = data_of(joined).tobytes(), xxhash.xxh64_intdigest
     return np.fromiter((digest(data[a:b], SEED) for a, b in zip(begins[first].tolist(), ends[last].tolist())), np.uint64, len(first)), per_text
 
