@@ -15,8 +15,10 @@ shingles is dealt to parts by hash, and each two parts meet in a task of their
 own. A task reports a spanning forest of the pairs that pass; components of
 these links are the groups of near copies.
 
-Defined results: null and empty texts are copies of each other; other columns
-pass through; an empty table gives no rows.
+Defined results: null and empty texts are copies of each other; rows are told
+apart by a number of their own, so that repeated ids and rows without an id
+are handled as any other; other columns pass through; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -174,12 +176,15 @@ def groups(rows: DataFrame, tile_texts: int = TILE_TEXTS, tile_shingles: int = T
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id, with the columns that ``docs`` had."""
+    """One row of each group of near copies, with the columns that ``docs`` had.
+
+    It is the row with the least id, of rows with this id the first, and one
+    without an id only where the group has none.
+    """
     own = free_name("row", docs.columns)
     numbered = saved(docs.withColumn(own, F.monotonically_increasing_id()))
     rows = numbered.select(F.col(own).alias("row"), "doc_id", "text")
     known = rows.select("row", "doc_id").join(groups(rows), "row")
-    first = known.where("doc_id is not null").groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    one = known.join(first, "doc_id").groupBy("doc_id").agg(F.min("row").alias("row")).select("row")
-    kept = one.unionByName(known.where("doc_id is null").select("row"))
-    return numbered.join(kept.withColumnRenamed("row", own), own, "left_semi").select(*docs.columns)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = known.groupBy("group").agg(least.alias("least")).select(F.col("least.row").alias(own))
+    return numbered.join(kept, own, "left_semi").select(*docs.columns)

@@ -54,3 +54,10 @@ def test_stage_removes_near_copies(spark):
     docs = spark.createDataFrame([(3, " ".join(words), 5), (1, near, 6), (2, apart, 7)], "doc_id long, text string, n int")
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, near, 6), (2, apart, 7)]
+
+
+def test_stage_tells_rows_apart(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(100)) for c in "abc")
+    rows = [(1, one), (1, two), (None, two), (None, three), (None, three), (4, one), (4, one)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    assert sorted(map(tuple, kept), key=lambda r: r[1]) == [(1, one), (1, two), (None, three)]
