@@ -1,18 +1,19 @@
 """Exact substring dedup with a logarithmic family of suffix arrays.
 
 A byte goes if a string of ``LENGTH`` bytes over it also starts elsewhere. Of
-the suffixes of all texts only those at anchors are indexed: each window of
-LENGTH bytes has as anchor the first of its ``HEAD``-byte strings that are
-least by hash, so equal windows have equal anchors at equal places, and one
-suffix in about 180 is enough.
+the suffixes of all texts only those at anchors are indexed: each window has
+as anchor the first of its ``HEAD``-byte strings that are least by hash, so
+equal windows have equal anchors at equal places, and one suffix in about 120
+is enough. (Anchors of longer windows are among those of shorter ones, so the
+anchors of ``PASSAGE``-byte windows serve both lengths.)
 
 An array lists the anchored suffixes of a batch of documents, sorted by their
-first PREFIX bytes and then by a 128-bit hash of the first HEAD bytes, with
-how often each occurs. A new batch's array is merge-
-scanned (a sort-merge join) against the array of every level of the family;
-what it shares, within itself or with a level, is a possible long match. Then
-it enters level 0, and arrays of equal level merge into the next one, so each
-suffix is rewritten a logarithmic number of times.
+first PREFIX bytes and then by a hash of the first HEAD bytes, with how often
+each occurs. The arrays are tables in a folder, so a family outlives its
+session and batches can be added later. A new batch's array is merge-scanned
+(a sort-merge join) against every array of the family; what it shares, within
+itself or with an array, is a possible long match. Then arrays of equal size
+merge, so each suffix is rewritten a logarithmic number of times.
 
 Possible matches are verified on the texts. The windows of an anchor, in
 chunks, have a core, which all of them contain, and a full extent. A chunk
@@ -20,9 +21,12 @@ whose full extent occurs twice is covered; one whose core is unique is not;
 the others, at the edges of matches, are cut into smaller chunks, at last into
 single windows (``CHUNKS``). Extents are told apart by 128-bit hashes.
 
-A text that many documents copy, or a passage that many share, is counted
-before shuffles; joins back to its rows split skewed keys adaptively. Texts
-are shuffled once, those with possible matches once for each size of chunk more.
+Skew. Of texts that occur more than once one row is indexed and verified; the
+others are known to repeat as a whole. Groups with over 1/``HEAVY`` of all
+rows, at most HEAVY of them, are marked by a broadcast join, so no task gets
+a group. In a run of a short period (``PERIOD``) each window equals the one a
+period before it: such a run repeats as a whole, and only its first windows
+are indexed. Anchors are found a piece of a text at a time.
 
 Defined results: a null or empty text has no bytes; repeated rows are copies
 of each other, so they are removed whole from LENGTH bytes on; texts under
@@ -42,15 +46,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payspark.llm.arrowtext import as_strings, data_of, offsets_of, slices
-from payspark.llm.checkpoints import saved
+from payspark.llm.checkpoints import Scratch, files_of, saved, write_table
 
-LENGTH, HEAD, PREFIX = 400, 64, 8
+LENGTH, HEAD, PREFIX = 400, 64, 24
+#: Shorter repeats are counted, not removed: passages of some fifty words.
+PASSAGE = 300
 #: Windows are compared in chunks of these sizes, the last by themselves.
 CHUNKS = (64, 8, 1)
+#: Runs of at most this period are handled as a whole.
+PERIOD = 64
 #: Batches that enter the family one after the other.
 BATCHES = 4
+#: A group of copies with over one in so many of all rows is broadcast.
+HEAVY = 1000
+#: Windows of a text whose anchors are found at once.
+PIECE = 1 << 20
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"
+#: Written in place of a head by texts with periodic runs.
+CYCLIC = -1
 
 
 def head_hashes(data: np.ndarray) -> np.ndarray:
@@ -64,12 +78,8 @@ def head_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text's windows, and the first and last window that has each."""
-    width = LENGTH - HEAD + 1
-    if len(data) < LENGTH:
-        return (np.zeros(0, np.int64),) * 3
-    h = head_hashes(data)
+def first_least(h: np.ndarray, width: int) -> np.ndarray:
+    """For each run of ``width`` numbers the place of the first least one, by minima from both ends of blocks."""
     windows = len(h) - width + 1
     block = np.concatenate([h, np.full(-len(h) % width, np.uint64(2**64 - 1))]).reshape(-1, width)
     place = np.arange(block.size).reshape(block.shape)
@@ -81,9 +91,61 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     step = np.maximum.accumulate(np.where(turned == lowest, np.arange(width), 0), axis=1)
     right = (place[:, :1] + width - 1 - step)[:, ::-1].ravel()
     tail, front = lowest[:, ::-1].ravel()[:windows], least.ravel()[width - 1 : width - 1 + windows]
-    at = np.where(tail <= front, right[:windows], left[width - 1 : width - 1 + windows])
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[first], first, np.append(first[1:], windows) - 1
+    return np.where(tail <= front, right[:windows], left[width - 1 : width - 1 + windows])
+
+
+def all_anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a text's windows, the first and last window that has each, and their heads' hashes."""
+    windows = len(data) - length + 1
+    found: list[tuple[np.ndarray, ...]] = []
+    for begin in range(0, max(windows, 0), PIECE):
+        h = head_hashes(data[begin : begin + PIECE - 1 + length])
+        at = first_least(h, length - HEAD + 1)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        known = found[-1][0][-1] if found else -1
+        own = (at[first] + begin, first + begin, h[at[first]])
+        found.append(tuple(x[1:] for x in own) if own[0][0] == known else own)
+        if not len(found[-1][0]):
+            found.pop()
+    if not found:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    at, first, heads = (np.concatenate(x) for x in zip(*found))
+    return at, first, np.append(first[1:], windows) - 1, heads
+
+
+def cycles(data: np.ndarray, length: int, periods: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of windows in runs of these periods: all that repeat there, and of these the ones after the first period."""
+    whole, later = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+    for q in periods.tolist():
+        same = np.concatenate([[False], data[q:] == data[:-q], [False]])
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        start, stop = edge[::2], edge[1::2]
+        long = stop - start >= length
+        ends = stop[long] - length + q
+        whole.append(np.stack([start[long], ends], axis=1))
+        later.append(np.stack([start[long] + q, ends], axis=1))
+    return np.concatenate(whole), np.concatenate(later)
+
+
+def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a text's windows, and the first and last window that has each, without windows that equal one a
+    period before them; last the ranges of windows that repeat in periodic runs."""
+    at, first, last, heads = all_anchors(data, length)
+    gap = np.diff(at)
+    periods = np.unique(gap[(gap <= PERIOD) & (heads[1:] == heads[:-1])]) if len(at) else gap
+    if not len(periods):
+        return at, first, last, np.zeros((0, 2), np.int64)
+    whole, later = cycles(data, length, periods)
+    kept = np.ones(len(data) - length + 1, bool)
+    for a, z in later.tolist():
+        kept[a : z + 1] = False
+    fresh = np.zeros(len(kept), bool)
+    fresh[first] = True
+    fresh[1:] |= kept[1:] != kept[:-1]
+    start = np.flatnonzero(fresh)
+    stop = np.append(start[1:], len(kept)) - 1
+    start, stop = start[kept[start]], stop[kept[start]]
+    return at[np.searchsorted(first, start, side="right") - 1], start, stop, whole
 
 
 def texts_in(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -94,18 +156,28 @@ def texts_in(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.nd
         yield part, [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
+def places(data: np.ndarray) -> np.ndarray:
+    """Where a text's suffixes are indexed; CYCLIC last if it has periodic runs."""
+    at, _, _, cyclic = anchors(data, PASSAGE)
+    if not len(cyclic):
+        return np.unique(at)
+    return np.append(np.union1d(at, anchors(data, LENGTH)[0]), CYCLIC)
+
+
 def anchored(docs: DataFrame) -> DataFrame:
-    """(head, key_a, key_b, at): the anchored suffixes of ``docs`` (key_a, key_b, text)."""
+    """(head, row, at): the anchored suffixes of ``docs`` (row, text); a text with periodic runs has a null head at CYCLIC."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_digest
         for batch in batches:
             for part, texts in texts_in(batch):
-                found = [anchors(t)[0] for t in texts]
+                found = [places(t) for t in texts]
                 row = pa.array(np.repeat(np.arange(len(texts)), [len(f) for f in found]))
-                heads = [t[a : a + PREFIX].tobytes() + xxhash.xxh3_128_digest(t[a : a + HEAD]) for t, f in zip(texts, found) for a in f.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), part.column("key_a").take(row), part.column("key_b").take(row), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["head", "key_a", "key_b", "at"])
+                heads = [(raw := t[a : a + HEAD].tobytes())[:PREFIX] + digest(raw) if a >= 0 else None for t, f in zip(texts, found) for a in f.tolist()]
+                at = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))
+                yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), part.column("row").take(row), at], names=["head", "row", "at"])
 
-    return docs.mapInArrow(run, "head binary, key_a long, key_b long, at long")
+    return docs.select("row", "text").mapInArrow(run, "head binary, row long, at long")
 
 
 def suffix_array(suffixes: DataFrame) -> DataFrame:
@@ -114,43 +186,79 @@ def suffix_array(suffixes: DataFrame) -> DataFrame:
 
 
 class IndexFamily:
-    """Suffix arrays of 1, 2, 4, ... batches, at most one of each size."""
+    """Suffix arrays of 1, 2, 4, ... batches in a folder, at most one of each size.
 
-    def __init__(self) -> None:
-        self.levels: list[DataFrame | None] = []
+    An array's name says which batches it covers, and Spark's marker that it
+    is complete, so a merge that was cut off is made again by the next batch.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def arrays(self) -> list[tuple[int, int]]:
+        """First and last batch of each array, in order; those that a merged array covers are left out."""
+        path, files = files_of(self.spark, self.folder)
+        if not files.exists(path):
+            return []
+        names = [s.getPath().getName() for s in files.listStatus(path)]
+        done = [n for n in names if n.startswith("array_") and files.exists(files_of(self.spark, f"{self.folder}/{n}/_SUCCESS")[0])]
+        found = sorted(tuple(map(int, n.split("_")[1:])) for n in done)
+        return [(a, z) for a, z in found if not any((b, y) != (a, z) and b <= a and z <= y for b, y in found)]
+
+    def path(self, array: tuple[int, int]) -> str:
+        return f"{self.folder}/array_{array[0]}_{array[1]}"
+
+    def read(self, array: tuple[int, int]) -> DataFrame:
+        return self.spark.read.schema("head binary, n long").parquet(self.path(array))
+
+    def write(self, rows: DataFrame, array: tuple[int, int]) -> DataFrame:
+        rows.write.mode("overwrite").parquet(self.path(array))
+        return self.read(array)
+
+    def settle(self) -> None:
+        """Merge neighbours of equal size until there are none; the merged ones are deleted."""
+        own = self.arrays()
+        while len(own) > 1 and own[-1][1] - own[-1][0] == own[-2][1] - own[-2][0]:
+            left, right = own[-2:]
+            both = self.read(left).unionByName(self.read(right)).groupBy("head").agg(F.sum("n").alias("n"))
+            self.write(both.sortWithinPartitions("head"), (left[0], right[1]))
+            for old in (left, right):
+                path, files = files_of(self.spark, self.path(old))
+                files.delete(path, True)
+            own = self.arrays()
 
     def add(self, suffixes: DataFrame) -> DataFrame:
-        """Enter a batch; the heads that it has twice or shares with an earlier one."""
-        new = saved(suffix_array(suffixes))
+        """Enter a batch (head, ...); the heads that it has twice or shares with an earlier one."""
+        self.settle()
+        earlier = self.arrays()
+        number = earlier[-1][1] + 1 if earlier else 0
+        new = self.write(suffix_array(suffixes), (number, number))
         shared = new.where("n > 1").select("head")
-        for level in self.levels:
-            if level is not None:
-                shared = shared.unionByName(new.select("head").join(level.select("head"), "head"))
-        shared = saved(shared)
-        size = 0
-        while size < len(self.levels) and self.levels[size] is not None:
-            new = saved(new.unionByName(self.levels[size]).groupBy("head").agg(F.sum("n").alias("n")).sortWithinPartitions("head"))
-            self.levels[size] = None
-            size += 1
-        self.levels[size : size + 1] = [new]
+        for array in earlier:
+            shared = shared.unionByName(new.select("head").join(self.read(array).select("head"), "head"))
+        shared = write_table(shared.distinct(), f"{self.folder}/shared_{number}")
+        self.settle()
         return shared
 
 
-def shared_heads(suffixes: DataFrame, batches: int = BATCHES) -> DataFrame:
+def shared_heads(suffixes: DataFrame, folder: str, batches: int = BATCHES) -> DataFrame:
     """(head): heads that occur at least twice among all suffixes, batch by batch."""
-    family, found = IndexFamily(), None
+    family, found = IndexFamily(suffixes.sparkSession, folder), None
     for k in range(batches):
-        own = family.add(suffixes.where(F.pmod("key_a", F.lit(batches)) == k))
+        own = family.add(suffixes.where(F.pmod("row", F.lit(batches)) == k))
         found = own if found is None else found.unionByName(own)
-    return saved(found.distinct())
+    return found.distinct()
 
 
 def two_longs(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def chunk_keys(texts: DataFrame, size: int) -> DataFrame:
-    """(row, top, first, last, core, full_a, full_b) for chunks of ``size`` windows of ``texts`` (row, text, ranges).
+CHUNK = ("row", "top", "first", "last", "core", "full_a", "full_b")
+
+
+def chunk_keys(texts: DataFrame, size: int, length: int) -> DataFrame:
+    """CHUNK columns for chunks of ``size`` windows of ``texts`` (row, text, ranges).
 
     A range (top, first, last) is of window starts; it is cut downwards from
     ``top``, which stands at one place of the match in every copy.
@@ -160,45 +268,48 @@ def chunk_keys(texts: DataFrame, size: int) -> DataFrame:
         core_hash, full_hash = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         for batch in batches:
             for part, datas in texts_in(batch):
-                out: list[list[int]] = [[] for _ in range(7)]
+                out: list[list[int]] = [[] for _ in CHUNK]
                 for row, data, ranges in zip(part.column("row").to_pylist(), datas, part.column("ranges").to_pylist()):
                     raw = memoryview(data)
                     for r in ranges:
                         for k in range((r["top"] - r["last"]) // size, (r["top"] - r["first"]) // size + 1):
                             top = r["top"] - k * size
                             first, last = max(r["first"], top - size + 1), min(r["last"], top)
-                            core = core_hash(raw[top : top - size + 1 + LENGTH]) - (1 << 63)
-                            full = two_longs(full_hash(raw[first : last + LENGTH], (top - first) * 4096 + top - last))
+                            core = core_hash(raw[top : top - size + 1 + length]) - (1 << 63)
+                            full = two_longs(full_hash(raw[first : last + length], (top - first) * 4096 + top - last))
                             for column, value in zip(out, (row, top, first, last, core, *full)):
                                 column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["row", "top", "first", "last", "core", "full_a", "full_b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=list(CHUNK))
+
+    return texts.select("row", "text", "ranges").mapInArrow(run, ", ".join(f"{c} long" for c in CHUNK))
+
 
-    return texts.select("row", "text", "ranges").mapInArrow(run, "row long, top long, first long, last long, core long, full_a long, full_b long")
+RANGES = "array<struct<top long, first long, last long>>"
 
 
-def ranges_of_anchors(texts: DataFrame) -> DataFrame:
+def ranges_of_anchors(texts: DataFrame, length: int) -> DataFrame:
     """(row, text, ranges): for each anchor in ``ats`` of ``texts`` (row, text, ats) its windows."""
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("top", "first", "last")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, datas in texts_in(batch):
                 found = []
                 for data, wanted in zip(datas, part.column("ats")):
-                    at, first, last = anchors(data)
+                    at, first, last, _ = anchors(data, length)
                     keep = np.isin(at, np.asarray(wanted.values))
                     found.append([{"top": a, "first": f, "last": z} for a, f, z in zip(at[keep].tolist(), first[keep].tolist(), last[keep].tolist())])
-                kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("top", "first", "last")]))
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), pa.array(found, kind)], names=["row", "text", "ranges"])
 
-    return texts.select("row", "text", "ats").mapInArrow(run, "row long, text string, ranges array<struct<top long, first long, last long>>")
+    return texts.select("row", "text", "ats").mapInArrow(run, f"row long, text string, ranges {RANGES}")
 
 
-def repeated_windows(texts: DataFrame) -> DataFrame:
+def repeated_windows(texts: DataFrame, length: int, steps: Scratch) -> DataFrame:
     """(row, first, last): ranges of window starts of ``texts`` (row, text, ats) whose windows also start elsewhere."""
-    full, found, todo = ["core", "full_a", "full_b"], None, ranges_of_anchors(texts)
+    full, found, todo = ["core", "full_a", "full_b"], None, ranges_of_anchors(texts, length)
     for size in CHUNKS:
-        chunks = saved(chunk_keys(todo, size))
-        groups = saved(chunks.groupBy(full).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("row", "top", "first", "last"))))
+        chunks = steps.save(chunk_keys(todo, size, length))
+        groups = steps.save(chunks.groupBy(full).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("row", "top", "first", "last"))))
         covered = chunks.join(groups.where("n > 1").select(full), full, "left_semi").select("row", "first", "last")
         found = covered if found is None else found.unionByName(covered)
         unclear = groups.groupBy("core").agg(F.count("*").alias("extents"), F.min("n").alias("least")).where("extents > 1 and least = 1").select("core")
@@ -207,35 +318,67 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     return found
 
 
+def covered_bytes(size: int, length: int, ranges: list[dict[str, int]], cyclic: np.ndarray) -> np.ndarray:
+    """The bytes of a text that lie in these windows, as a mask."""
+    edge = np.zeros(size + 1, np.int32)
+    np.add.at(edge, np.concatenate([[r["first"] for r in ranges], cyclic[:, 0]]).astype(np.int64), 1)
+    np.add.at(edge, np.concatenate([[r["last"] for r in ranges], cyclic[:, 1]]).astype(np.int64) + length, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of RESULT from (doc_id, n_bytes, sha256, text, ranges); ``text`` only where there are ranges."""
+    """(row, n_removed, n_spans, kept_sha256, n_repeated) from (row, text, cyclic, long, short)."""
+    none = np.zeros((0, 2), np.int64)
     for batch in batches:
         for part, texts in texts_in(batch):
-            size, digest = part.column("n_bytes").to_pylist(), part.column("sha256").to_pylist()
-            removed, spans = [0] * len(texts), [0] * len(texts)
-            for k, ranges in enumerate(part.column("ranges").to_pylist()):
-                if ranges:
-                    edge = np.zeros(len(texts[k]) + 1, np.int32)
-                    np.add.at(edge, np.array([r["first"] for r in ranges]), 1)
-                    np.add.at(edge, np.array([r["last"] for r in ranges]) + LENGTH, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    removed[k], spans[k] = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    digest[k] = hashlib.sha256(texts[k][~gone].tobytes()).hexdigest()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(v, pa.int64()) for v in (size, removed, spans)), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            out: list[list] = [[] for _ in range(4)]
+            for data, cyclic, long, short in zip(texts, *(part.column(c).to_pylist() for c in ("cyclic", "long", "short"))):
+                gone = covered_bytes(len(data), LENGTH, long or [], anchors(data, LENGTH)[3] if cyclic else none)
+                again = covered_bytes(len(data), PASSAGE, short or [], anchors(data, PASSAGE)[3] if cyclic else none)
+                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                for column, value in zip(out, (int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest(), int(again.sum()))):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([part.column("row"), *map(pa.array, out)], names=["row", "n_removed", "n_spans", "kept_sha256", "n_repeated"])
+
+
+def copies_of(rows: DataFrame, steps: Scratch) -> DataFrame:
+    """(row, first): rows whose text occurs more than once, and the first row that has it."""
+    key = ["key_a", "key_b"]
+    groups = steps.save(rows.groupBy(key).agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1"))
+    share = F.col("n") * HEAVY >= rows.count()
+    marked = rows.select("row", *key).join(F.broadcast(groups.where(share).select(*key, "first")), key, "left")
+    light = marked.where("first is null").select("row", *key).join(groups.where(~share).select(*key, "first"), key)
+    return steps.save(marked.where("first is not null").select("row", "first").unionByName(light.select("row", "first")))
 
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """What stays of each document's bytes, as RESULT says."""
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text")).withColumns({"key_a": F.xxhash64("text"), "key_b": F.xxhash64("text", F.lit(1))})
-    suffixes = saved(anchored(keyed.select("key_a", "key_b", "text")))
-    possible = suffixes.join(shared_heads(suffixes, batches), "head", "left_semi")
-    possible = possible.groupBy("key_a", "key_b").agg(F.collect_set("at").alias("ats"))
-    facts = [F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256")]
-    all_rows = saved(keyed.join(possible, ["key_a", "key_b"], "left").select("doc_id", *facts, F.when(F.col("ats").isNotNull(), F.col("text")).alias("text"), "ats").withColumn("row", F.monotonically_increasing_id()))
-    repeated = repeated_windows(all_rows.where("ats is not null"))
-    ranges = repeated.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    return all_rows.drop("ats").join(ranges, "row", "left").select("doc_id", "n_bytes", "sha256", "text", "ranges").mapInArrow(removal, RESULT)
+    steps = Scratch(docs.sparkSession)
+    facts = [F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"), F.xxhash64("text").alias("key_a"), F.xxhash64("text", F.lit(1)).alias("key_b")]
+    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = steps.save(given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *facts))
+    copies = copies_of(rows, steps)
+    texts = rows.select("row", "text").join(copies.where("row <> first").select("row"), "row", "left_anti").where(f"octet_length(text) >= {PASSAGE}")
+    suffixes = steps.save(anchored(texts))
+    possible = suffixes.join(shared_heads(suffixes.where("at >= 0"), f"{steps.folder}/family", batches), "head", "left_semi").unionByName(suffixes.where("at < 0"))
+    places = possible.groupBy("row").agg(F.collect_set("at").alias("ats"))
+    matched = steps.save(rows.select("row", "text").join(places, "row").withColumn("cyclic", F.array_contains("ats", CYCLIC)))
+    found = repeated_windows(matched, LENGTH, steps).withColumn("long", F.lit(True)).unionByName(repeated_windows(matched, PASSAGE, steps).withColumn("long", F.lit(False)))
+    window = F.struct("first", "last")
+    ranges = found.groupBy("row").agg(F.collect_list(F.when(F.col("long"), window)).alias("long"), F.collect_list(F.when(~F.col("long"), window)).alias("short"))
+    touched = matched.select("row", "text", "cyclic").join(ranges, "row", "left").where("cyclic or long is not null")
+    removed = touched.mapInArrow(removal, "row long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")
+    known = rows.drop("text", "key_a", "key_b").join(removed, "row", "left").join(copies.withColumnRenamed("first", "copy"), "row", "left")
+    whole = lambda length: F.when(F.col("copy").isNotNull(), F.when(F.col("n_bytes") >= length, F.col("n_bytes")).otherwise(0))
+    gone = F.coalesce(whole(LENGTH), "n_removed", F.lit(0)).cast("long")
+    result = known.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.when(F.col("copy").isNotNull(), (gone > 0).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"),
+        F.when(F.col("copy").isNull(), F.coalesce("kept_sha256", "sha256")).when(gone > 0, hashlib.sha256(b"").hexdigest()).otherwise(F.col("sha256")).alias("kept_sha256"),
+        F.coalesce(whole(PASSAGE), "n_repeated", F.lit(0)).cast("long").alias("n_repeated"),
+    )
+    final = saved(result)
+    steps.drop()
+    return final
 
 
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
