@@ -33,7 +33,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
     """``df`` written as compressed Parquet and read again."""
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

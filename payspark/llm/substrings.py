@@ -48,8 +48,8 @@ from pyspark.sql import functions as F
 from payspark.llm.arrowtext import as_strings, data_of, offsets_of, slices
 from payspark.llm.checkpoints import Scratch, files_of, saved, write_table
 
-LENGTH, HEAD, PREFIX = 400, 64, 24
-#: Shorter repeats are counted, not removed: passages of some fifty words.
+LENGTH, HEAD, PREFIX = 400, 64, 16
+#: Shorter repeats are reported, not removed: passages of some fifty words.
 PASSAGE = 300
 #: Windows are compared in chunks of these sizes, the last by themselves.
 CHUNKS = (64, 8, 1)
@@ -62,7 +62,7 @@ HEAVY = 1000
 #: Windows of a text whose anchors are found at once.
 PIECE = 1 << 20
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats long"
 #: Written in place of a head by texts with periodic runs.
 CYCLIC = -1
 
@@ -250,22 +250,19 @@ def shared_heads(suffixes: DataFrame, folder: str, batches: int = BATCHES) -> Da
     return found.distinct()
 
 
-def two_longs(digest: bytes) -> tuple[int, int]:
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-
-
-CHUNK = ("row", "top", "first", "last", "core", "full_a", "full_b")
+CHUNK = pa.schema([("row", pa.int64()), ("top", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("core", pa.int64()), ("extent", pa.int64())])
 
 
 def chunk_keys(texts: DataFrame, size: int, length: int) -> DataFrame:
     """CHUNK columns for chunks of ``size`` windows of ``texts`` (row, text, ranges).
 
     A range (top, first, last) is of window starts; it is cut downwards from
-    ``top``, which stands at one place of the match in every copy.
+    ``top``, which stands at one place of the match in every copy. The hashes
+    of core and extent tell extents apart together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core_hash, full_hash = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+        digest, middle = xxhash.xxh3_64_intdigest, 1 << 63
         for batch in batches:
             for part, datas in texts_in(batch):
                 out: list[list[int]] = [[] for _ in CHUNK]
@@ -275,21 +272,21 @@ def chunk_keys(texts: DataFrame, size: int, length: int) -> DataFrame:
                         for k in range((r["top"] - r["last"]) // size, (r["top"] - r["first"]) // size + 1):
                             top = r["top"] - k * size
                             first, last = max(r["first"], top - size + 1), min(r["last"], top)
-                            core = core_hash(raw[top : top - size + 1 + length]) - (1 << 63)
-                            full = two_longs(full_hash(raw[first : last + length], (top - first) * 4096 + top - last))
-                            for column, value in zip(out, (row, top, first, last, core, *full)):
+                            core = digest(raw[top : top - size + 1 + length]) - middle
+                            extent = digest(raw[first : last + length], (top - first) * 4096 + top - last) - middle
+                            for column, value in zip(out, (row, top, first, last, core, extent)):
                                 column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=list(CHUNK))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, CHUNK)], schema=CHUNK)
 
-    return texts.select("row", "text", "ranges").mapInArrow(run, ", ".join(f"{c} long" for c in CHUNK))
+    return texts.select("row", "text", "ranges").mapInArrow(run, "row long, top int, first int, last int, core long, extent long")
 
 
-RANGES = "array<struct<top long, first long, last long>>"
+RANGES = "array<struct<top int, first int, last int>>"
 
 
 def ranges_of_anchors(texts: DataFrame, length: int) -> DataFrame:
     """(row, text, ranges): for each anchor in ``ats`` of ``texts`` (row, text, ats) its windows."""
-    kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("top", "first", "last")]))
+    kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("top", "first", "last")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,15 +303,19 @@ def ranges_of_anchors(texts: DataFrame, length: int) -> DataFrame:
 
 def repeated_windows(texts: DataFrame, length: int, steps: Scratch) -> DataFrame:
     """(row, first, last): ranges of window starts of ``texts`` (row, text, ats) whose windows also start elsewhere."""
-    full, found, todo = ["core", "full_a", "full_b"], None, ranges_of_anchors(texts, length)
+    found, todo, window = None, ranges_of_anchors(texts, length), F.struct("top", "first", "last")
     for size in CHUNKS:
-        chunks = steps.save(chunk_keys(todo, size, length))
-        groups = steps.save(chunks.groupBy(full).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("row", "top", "first", "last"))))
-        covered = chunks.join(groups.where("n > 1").select(full), full, "left_semi").select("row", "first", "last")
+        own = Scratch(texts.sparkSession)
+        chunks = own.save(chunk_keys(todo, size, length))
+        groups = own.save(chunks.groupBy("core", "extent").agg(F.count("*").alias("n"), F.min(F.struct("row", window.alias("window"))).alias("one")))
+        covered = steps.save(chunks.join(groups.where("n > 1").select("core", "extent"), ["core", "extent"], "left_semi").select("row", "first", "last"))
         found = covered if found is None else found.unionByName(covered)
-        unclear = groups.groupBy("core").agg(F.count("*").alias("extents"), F.min("n").alias("least")).where("extents > 1 and least = 1").select("core")
-        ranges = groups.join(unclear, "core", "left_semi").groupBy("row").agg(F.collect_list(F.struct("top", "first", "last")).alias("ranges"))
-        todo = texts.select("row", "text").join(ranges, "row")
+        if size > 1:
+            unclear = groups.groupBy("core").agg(F.count("*").alias("extents"), F.min("n").alias("least")).where("extents > 1 and least = 1").select("core")
+            kept = groups.join(unclear, "core", "left_semi").select("one.*")
+            ranges = steps.save(kept.groupBy("row").agg(F.collect_list("window").alias("ranges")))
+            todo = texts.select("row", "text").join(ranges, "row")
+        own.drop()
     return found
 
 
@@ -326,19 +327,34 @@ def covered_bytes(size: int, length: int, ranges: list[dict[str, int]], cyclic:
     return np.cumsum(edge[:-1]) > 0
 
 
+REMOVED = "row long, n_removed long, n_spans long, kept_sha256 string"
+
+
 def removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, n_removed, n_spans, kept_sha256, n_repeated) from (row, text, cyclic, long, short)."""
+    """Rows of REMOVED from (row, text, cyclic, ranges)."""
     none = np.zeros((0, 2), np.int64)
     for batch in batches:
         for part, texts in texts_in(batch):
-            out: list[list] = [[] for _ in range(4)]
-            for data, cyclic, long, short in zip(texts, *(part.column(c).to_pylist() for c in ("cyclic", "long", "short"))):
-                gone = covered_bytes(len(data), LENGTH, long or [], anchors(data, LENGTH)[3] if cyclic else none)
-                again = covered_bytes(len(data), PASSAGE, short or [], anchors(data, PASSAGE)[3] if cyclic else none)
+            out: list[list] = [[] for _ in range(3)]
+            for data, cyclic, ranges in zip(texts, part.column("cyclic").to_pylist(), part.column("ranges").to_pylist()):
+                gone = covered_bytes(len(data), LENGTH, ranges or [], anchors(data, LENGTH)[3] if cyclic else none)
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                for column, value in zip(out, (int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest(), int(again.sum()))):
+                for column, value in zip(out, (int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest())):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([part.column("row"), *map(pa.array, out)], names=["row", "n_removed", "n_spans", "kept_sha256", "n_repeated"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), *map(pa.array, out)], names=["row", "n_removed", "n_spans", "kept_sha256"])
+
+
+def short_repeats(rows: DataFrame, possible: DataFrame, removed: DataFrame, steps: Scratch) -> DataFrame:
+    """(row): texts without a removed byte that share PASSAGE bytes with another place.
+
+    Only anchors whose heads such texts share are compared, those of all texts.
+    """
+    open_ = possible.join(removed.where("n_removed > 0").select("row"), "row", "left_anti")
+    heads = open_.where("at >= 0").select("head").distinct()
+    ats = possible.join(heads, "head", "left_semi").groupBy("row").agg(F.collect_set("at").alias("ats"))
+    texts = steps.save(rows.select("row", "text").join(ats, "row"))
+    cyclic = open_.where("at < 0").select("row")
+    return repeated_windows(texts, PASSAGE, steps).select("row").unionByName(cyclic).distinct()
 
 
 def copies_of(rows: DataFrame, steps: Scratch) -> DataFrame:
@@ -352,29 +368,28 @@ def copies_of(rows: DataFrame, steps: Scratch) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """What stays of each document's bytes, as RESULT says."""
+    """What stays of each document's bytes, as RESULT says; ``repeats`` is 1 if PASSAGE bytes of it also start elsewhere, else 0."""
     steps = Scratch(docs.sparkSession)
     facts = [F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"), F.xxhash64("text").alias("key_a"), F.xxhash64("text", F.lit(1)).alias("key_b")]
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = steps.save(given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *facts))
     copies = copies_of(rows, steps)
-    texts = rows.select("row", "text").join(copies.where("row <> first").select("row"), "row", "left_anti").where(f"octet_length(text) >= {PASSAGE}")
-    suffixes = steps.save(anchored(texts))
-    possible = suffixes.join(shared_heads(suffixes.where("at >= 0"), f"{steps.folder}/family", batches), "head", "left_semi").unionByName(suffixes.where("at < 0"))
-    places = possible.groupBy("row").agg(F.collect_set("at").alias("ats"))
-    matched = steps.save(rows.select("row", "text").join(places, "row").withColumn("cyclic", F.array_contains("ats", CYCLIC)))
-    found = repeated_windows(matched, LENGTH, steps).withColumn("long", F.lit(True)).unionByName(repeated_windows(matched, PASSAGE, steps).withColumn("long", F.lit(False)))
-    window = F.struct("first", "last")
-    ranges = found.groupBy("row").agg(F.collect_list(F.when(F.col("long"), window)).alias("long"), F.collect_list(F.when(~F.col("long"), window)).alias("short"))
-    touched = matched.select("row", "text", "cyclic").join(ranges, "row", "left").where("cyclic or long is not null")
-    removed = touched.mapInArrow(removal, "row long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")
-    known = rows.drop("text", "key_a", "key_b").join(removed, "row", "left").join(copies.withColumnRenamed("first", "copy"), "row", "left")
-    whole = lambda length: F.when(F.col("copy").isNotNull(), F.when(F.col("n_bytes") >= length, F.col("n_bytes")).otherwise(0))
-    gone = F.coalesce(whole(LENGTH), "n_removed", F.lit(0)).cast("long")
+    suffixes = steps.save(anchored(rows.where(F.col("n_bytes") >= PASSAGE)).join(copies.where("row <> first").select("row"), "row", "left_anti"))
+    shared = shared_heads(suffixes.where("at >= 0"), f"{steps.folder}/family", batches)
+    possible = steps.save(suffixes.join(shared, "head", "left_semi").unionByName(suffixes.where("at < 0").select("head", "row", "at")))
+    ats = possible.groupBy("row").agg(F.collect_set("at").alias("ats"))
+    matched = steps.save(rows.select("row", "text").join(ats, "row").withColumn("cyclic", F.array_contains("ats", CYCLIC)))
+    ranges = repeated_windows(matched, LENGTH, steps).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    touched = matched.select("row", "text", "cyclic").join(ranges, "row", "left").where("cyclic or ranges is not null")
+    removed = steps.save(touched.mapInArrow(removal, REMOVED))
+    short = short_repeats(rows, possible, removed, steps).withColumn("short", F.lit(1))
+    known = rows.drop("text", "key_a", "key_b").join(removed, "row", "left").join(short, "row", "left").join(copies.withColumnRenamed("first", "copy"), "row", "left")
+    copied = F.col("copy").isNotNull()
+    gone = F.when(copied, F.when(F.col("n_bytes") >= LENGTH, F.col("n_bytes")).otherwise(0)).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
     result = known.select(
-        "doc_id", "n_bytes", gone.alias("n_removed"), F.when(F.col("copy").isNotNull(), (gone > 0).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"),
-        F.when(F.col("copy").isNull(), F.coalesce("kept_sha256", "sha256")).when(gone > 0, hashlib.sha256(b"").hexdigest()).otherwise(F.col("sha256")).alias("kept_sha256"),
-        F.coalesce(whole(PASSAGE), "n_repeated", F.lit(0)).cast("long").alias("n_repeated"),
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.when(copied, (gone > 0).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"),
+        F.when(~copied, F.coalesce("kept_sha256", "sha256")).when(gone > 0, hashlib.sha256(b"").hexdigest()).otherwise(F.col("sha256")).alias("kept_sha256"),
+        F.when(copied, F.col("n_bytes") >= PASSAGE).otherwise((gone > 0) | F.col("short").isNotNull()).cast("long").alias("repeats"),
     )
     final = saved(result)
     steps.drop()

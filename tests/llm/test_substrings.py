@@ -55,7 +55,7 @@ def brute(texts):
                     gone[n][i : i + n] = True
         removed = gone[400]
         runs = int((np.diff(np.concatenate([[0], removed.astype(int)])) == 1).sum())
-        out.append((len(t), int(removed.sum()), runs, hashlib.sha256(np.frombuffer(t, np.uint8)[~removed].tobytes()).hexdigest(), int(gone[300].sum())))
+        out.append((len(t), int(removed.sum()), runs, hashlib.sha256(np.frombuffer(t, np.uint8)[~removed].tobytes()).hexdigest(), int(gone[300].any())))
     return out
 
 
