@@ -350,7 +350,7 @@ def short_repeats(rows: DataFrame, possible: DataFrame, removed: DataFrame, step
     Only anchors whose heads such texts share are compared, those of all texts.
     """
     open_ = possible.join(removed.where("n_removed > 0").select("row"), "row", "left_anti")
-    heads = open_.where("at >= 0").select("head").distinct()
+    heads = steps.save(open_.where("at >= 0").select("head").distinct())
     ats = possible.join(heads, "head", "left_semi").groupBy("row").agg(F.collect_set("at").alias("ats"))
     texts = steps.save(rows.select("row", "text").join(ats, "row"))
     cyclic = open_.where("at < 0").select("row")
@@ -375,7 +375,8 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     rows = steps.save(given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *facts))
     copies = copies_of(rows, steps)
     suffixes = steps.save(anchored(rows.where(F.col("n_bytes") >= PASSAGE)).join(copies.where("row <> first").select("row"), "row", "left_anti"))
-    shared = shared_heads(suffixes.where("at >= 0"), f"{steps.folder}/family", batches)
+    # Saved before they are joined: a skewed join is only split between plain shuffles.
+    shared = steps.save(shared_heads(suffixes.where("at >= 0"), f"{steps.folder}/family", batches))
     possible = steps.save(suffixes.join(shared, "head", "left_semi").unionByName(suffixes.where("at < 0").select("head", "row", "at")))
     ats = possible.groupBy("row").agg(F.collect_set("at").alias("ats"))
     matched = steps.save(rows.select("row", "text").join(ats, "row").withColumn("cyclic", F.array_contains("ats", CYCLIC)))
