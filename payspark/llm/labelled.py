@@ -17,8 +17,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     The share is ``limit`` by the number of labelled ids, so all ids are taken
     while there are fewer. Ids labelled more than once count with their largest
     label; rows without an id or a label don't count. The chosen ids are about
-    ``limit`` rows of two numbers at most, so they are broadcast. ``where``
-    filters the labels.
+    ``limit`` rows of two numbers at most, so they are broadcast. Of documents
+    that share an id one counts, with the least text, so the sample has no more
+    rows than ids. ``where`` filters the labels.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna()
     if where is not None:
@@ -26,4 +27,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     share = min(1.0, limit / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")

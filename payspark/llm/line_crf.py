@@ -6,11 +6,17 @@ consecutive lines. The forward-backward algorithm gives each line's
 probability of being good; their mean, weighted by line length, is the
 document's share of good text, which a logistic curve turns into a score.
 
-Training uses at most ``SAMPLE`` labelled documents. Their label is given to
-all their lines at first; then lines of bad documents that the field takes for
+Training uses at most ``SAMPLE`` labelled documents, of each at most
+``CHAINS`` runs of ``CHAIN`` lines, evenly spread. Their label is given to all
+their lines at first; then lines of bad documents that the field takes for
 good are relabelled, and it is fitted again. The curve is fitted so that 0.7
-is the best cut between the labels. Scoring is a map over whole texts; all
-texts of a slice go through the recursions together.
+is the best cut between the labels.
+
+Scoring is a map over whole texts. Lines are cut into segments of ``SEGMENT``;
+what a segment passes on from one end to the other is a 2 x 2 matrix, so the
+messages between segments come first, and then all segments go through the
+recursions side by side, ``BLOCK`` lines at a time. So neither time nor memory
+grows with the longest text but in proportion, at some 40 bytes a line.
 
 Defined results: a null or empty text is one empty line; repeated rows get the
 same score each; without labelled rows every score is 0.5, and with one kind
@@ -20,6 +26,7 @@ of label alone every score is 0.95 or 0.05; the columns ``labels``, ``lang``,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +42,10 @@ from payspark.llm.rules import DIGIT, MARK, SYMBOLS, UPPER, per_text, rate
 
 #: Labelled documents that the field is fitted on.
 SAMPLE = 6_000
-#: Training chains are at most so long; scoring uses whole texts.
-CHAIN = 256
+#: Of a training document at most so many runs of so many lines are used; scoring uses whole texts.
+CHAINS, CHAIN = 4, 256
+#: Lines of a segment, and lines whose features are held at once.
+SEGMENT, BLOCK = 512, 1 << 16
 #: ``predicted`` is 1 from this score on.
 CUT = 0.7
 STOP = np.isin(np.arange(256), np.frombuffer(b".,;:", np.uint8))
@@ -48,7 +57,22 @@ def lines_of(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     return lists.flatten(), np.diff(lists.offsets.to_numpy().astype(np.int64))
 
 
-def own_features(lines: pa.StringArray, counts: np.ndarray) -> np.ndarray:
+def repeated_lines(lines: pa.StringArray, counts: np.ndarray) -> np.ndarray:
+    """Whether each line's text had the same line before."""
+    coded = lines.dictionary_encode()
+    code, kinds = coded.indices.to_numpy(), max(len(coded.dictionary), 1)
+    first = np.zeros(len(lines), bool)
+    long = counts > BLOCK
+    for end, size in zip(np.cumsum(counts)[long].tolist(), counts[long].tolist()):
+        place = np.full(kinds, -1)
+        place[code[end - size : end][::-1]] = np.arange(end - 1, end - size - 1, -1)  # the last one written is the first
+        first[place[place >= 0]] = True
+    rest = np.flatnonzero(~np.repeat(long, counts))
+    first[rest[np.unique(owners(counts)[rest] * kinds + code[rest], return_index=True)[1]]] = True
+    return ~first
+
+
+def own_features(lines: pa.StringArray, repeated: np.ndarray) -> np.ndarray:
     """Features of each line by itself, and whether its text had it before."""
     size = pc.binary_length(lines).to_numpy().astype(np.int64)
     flat, words = words_of(lines)
@@ -57,27 +81,51 @@ def own_features(lines: pa.StringArray, counts: np.ndarray) -> np.ndarray:
     different = np.bincount(distinct(row * kinds + code) // kinds, minlength=len(lines))
     again = sums_by_row(np.concatenate([[False], (code[1:] == code[:-1]) & (row[1:] == row[:-1])])[: len(code)].astype(np.int64), words)
     bars = sums_by_row(pc.equal(flat, "|").to_numpy(zero_copy_only=False).astype(np.int64), words)
-    same = lines.dictionary_encode()
-    where = owners(counts) * max(len(same.dictionary), 1) + same.indices.to_numpy()
-    first = np.zeros(len(lines), bool)
-    first[np.unique(where, return_index=True)[1]] = True
     symbols = per_text(SYMBOLS, lines)
     return np.stack([
         np.sqrt(rate(symbols, size)), np.sqrt(rate(per_text(MARK, lines), size)), np.sqrt(rate(per_text(UPPER, lines), size)), np.sqrt(rate(per_text(DIGIT, lines), size)),
-        np.sqrt(rate(per_text(STOP, lines), size)), rate(again, words), rate(different, words), rate(bars, words), ~first & (words > 0),
+        np.sqrt(rate(per_text(STOP, lines), size)), rate(again, words), rate(different, words), rate(bars, words), repeated & (words > 0),
         np.minimum(rate(size, words), 30) / 10, np.log1p(words) / 5, words == 0, symbols > 0,
     ], axis=1).astype(np.float64)
 
 
-def line_features(lines: pa.StringArray, counts: np.ndarray) -> np.ndarray:
-    """Own features, those of the line before and after (0 beyond the text), place and a constant."""
-    own = own_features(lines, counts)
+def ends_of_texts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are the first, and the last, of their text."""
     ends = np.cumsum(counts)
-    head, tail = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    head, tail = np.zeros(counts.sum(), bool), np.zeros(counts.sum(), bool)
     head[(ends - counts)[counts > 0]] = tail[ends[counts > 0] - 1] = True
-    before, after = np.roll(own, 1, axis=0), np.roll(own, -1, axis=0)
-    before[head], after[tail] = 0, 0
-    return np.concatenate([own, before, after, head[:, None], tail[:, None], np.ones((len(own), 1))], axis=1)
+    return head, tail
+
+
+def feature_blocks(lines: pa.StringArray, counts: np.ndarray, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray]]:
+    """Features of the lines, ``block`` of them at a time, and where they begin: own features, those of the line
+    before and after (0 beyond the text), place and a constant."""
+    repeated = repeated_lines(lines, counts)
+    head, tail = ends_of_texts(counts)
+    for at in range(0, len(lines), block):
+        stop = min(at + block, len(lines))
+        low, high = max(at - 1, 0), min(stop + 1, len(lines))
+        own = own_features(lines.slice(low, high - low), repeated[low:high])
+        own = np.concatenate([own[:0] if low < at else np.zeros((1, own.shape[1])), own, own[:0] if high > stop else np.zeros((1, own.shape[1]))])
+        before, after = own[:-2].copy(), own[2:].copy()
+        before[head[at:stop]], after[tail[at:stop]] = 0, 0
+        yield at, np.concatenate([own[1:-1], before, after, head[at:stop, None], tail[at:stop, None], np.ones((stop - at, 1))], axis=1)
+
+
+def line_features(lines: pa.StringArray, counts: np.ndarray) -> np.ndarray:
+    """All features at once, for few lines."""
+    return np.concatenate([x for _, x in feature_blocks(lines, counts)]) if len(lines) else np.zeros((0, 42))
+
+
+def potentials(odds: np.ndarray) -> np.ndarray:
+    """Potentials (bad, good) of lines by their log odds of being good, the larger one 1."""
+    odds = np.clip(odds, -30, 30)
+    return np.stack([np.exp(-np.maximum(odds, 0)), np.exp(np.minimum(odds, 0))], axis=1)
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row, or matrix, with the sum 1."""
+    return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
 
 
 @dataclass
@@ -136,12 +184,78 @@ class LineField:
             field.weights, field.links, field.start = theta[:-6], theta[-6:-2].reshape(2, 2), theta[-2:]
         return field
 
+    def messages(self, odds: np.ndarray, starts: np.ndarray, sizes: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What comes into each segment from the lines before, and from those after it.
+
+        A segment's lines make one matrix, from the state before it to the
+        state of its last line; ``opens`` marks the first segment of a text.
+        """
+        link, begin = np.exp(self.links), np.exp(self.start)
+        closes = np.append(opens[1:], True)[: len(opens)]
+        into, back = np.ones((len(starts), 2)), np.ones((len(starts), 2))
+        passed = np.flatnonzero(~(opens & closes))
+        matrix = np.broadcast_to(np.eye(2), (len(passed), 2, 2)).copy()
+        for at in range(0, len(passed), 4096):
+            own = passed[at : at + 4096]
+            for t in range(int(sizes[own].max())):
+                some = np.flatnonzero(sizes[own] > t)
+                local = potentials(odds[starts[own[some]] + t])
+                first = (opens[own[some]] & (t == 0))[:, None, None]
+                matrix[at + some] = scaled(np.where(first, matrix[at + some] * begin, matrix[at + some] @ link) * local[:, None, :])
+        texts = np.cumsum(opens)[passed] if len(passed) else passed
+        number = np.arange(len(passed)) - np.searchsorted(texts, texts)
+        count = np.bincount(texts)[texts] if len(passed) else passed
+        for k in range(1, int(count.max(initial=0))):
+            own = np.flatnonzero(number == k)
+            before = own - 1
+            state = np.where(opens[passed[before]][:, None], matrix[before].sum(axis=1), np.einsum("ni,nij->nj", into[passed[before]], matrix[before]))
+            into[passed[own]] = scaled(state)
+            last = np.flatnonzero(number == count - 1 - k)
+            back[passed[last]] = scaled(np.einsum("nij,nj->ni", matrix[last + 1], back[passed[last + 1]]))
+        return into, back
+
+    def segment_marginals(self, odds: np.ndarray, starts: np.ndarray, sizes: np.ndarray, opens: np.ndarray, into: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Each line's probability of being good, for segments whose lines follow each other from the first start on."""
+        link, begin = np.exp(self.links), np.exp(self.start)
+        low, longest = int(starts[0]), int(sizes.max())
+        local = potentials(odds[low : int(starts[-1] + sizes[-1])])
+        forward, backward = np.ones_like(local), np.ones_like(local)
+        for t in range(longest):
+            some = np.flatnonzero(sizes > t)
+            at = starts[some] - low + t
+            came = np.where(opens[some][:, None], begin, into[some] @ link) if t == 0 else forward[at - 1] @ link
+            forward[at] = scaled(local[at] * came)
+        for t in range(longest - 1, -1, -1):
+            some = np.flatnonzero(sizes > t)
+            at = starts[some] - low + t
+            ends = sizes[some] - 1 == t
+            ahead = np.minimum(at + 1, len(local) - 1)
+            backward[at] = np.where(ends[:, None], back[some], scaled((local[ahead] * backward[ahead]) @ link.T))
+        return scaled(forward * backward)[:, 1]
+
     def share(self, texts: pa.StringArray) -> np.ndarray:
         """The length-weighted mean of the lines' probabilities of being good."""
         lines, counts = lines_of(texts)
-        p = self.marginals(line_features(lines, counts), counts)[0][:, 1]
-        weight = pc.utf8_length(lines).to_numpy().astype(np.float64) + 1
-        return sums_by_row(p * weight, counts) / sums_by_row(weight, counts)
+        odds = np.empty(len(lines))
+        for at, x in feature_blocks(lines, counts):
+            odds[at : at + len(x)] = x @ self.weights
+        parts = -(-counts // SEGMENT)
+        text = owners(parts)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts = (np.cumsum(counts) - counts)[text] + number * SEGMENT
+        sizes, opens = np.minimum(counts[text] - number * SEGMENT, SEGMENT), number == 0
+        into, back = self.messages(odds, starts, sizes, opens)
+        good, whole = np.zeros(len(texts)), np.zeros(len(texts))
+        at = 0
+        while at < len(starts):
+            stop = max(at + 1, int(np.searchsorted(starts + sizes, starts[at] + 4 * BLOCK, side="right")))
+            cut = slice(at, stop)
+            p = self.segment_marginals(odds, starts[cut], sizes[cut], opens[cut], into[cut], back[cut])
+            weight = pc.utf8_length(lines.slice(int(starts[at]), len(p))).to_numpy().astype(np.float64) + 1
+            np.add.at(good, text[cut], sums_by_row(p * weight, sizes[cut]))
+            np.add.at(whole, text[cut], sums_by_row(weight, sizes[cut]))
+            at = stop
+        return good / whole
 
     def score(self, share: np.ndarray) -> np.ndarray:
         p = np.clip(share, 1e-6, 1 - 1e-6)
@@ -180,14 +294,28 @@ def train(features: list[np.ndarray], lines: list[int], sizes: list[np.ndarray],
     return field
 
 
+def chosen_lines(counts: np.ndarray) -> np.ndarray:
+    """The lines of each text that training uses: all, or CHAINS runs of CHAIN lines, evenly spread."""
+    out = np.ones(counts.sum(), bool)
+    ends = np.cumsum(counts)
+    for k in np.flatnonzero(counts > CHAINS * CHAIN).tolist():
+        begins = np.linspace(0, counts[k] - CHAIN, CHAINS).astype(int)
+        out[ends[k] - counts[k] : ends[k]] = False
+        for a in (ends[k] - counts[k] + begins).tolist():
+            out[a : a + CHAIN] = True
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, held_out: int = 2) -> LineField | None:
     """Learn from at most ``limit`` labelled documents outside the held-out fold; None without any."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                lines, counts = lines_of(as_strings(part.column("text")))
-                x = line_features(lines, counts).astype(np.float32)
+                lines, all_counts = lines_of(as_strings(part.column("text")))
+                chosen = chosen_lines(all_counts)
+                x = np.concatenate([f[chosen[at : at + len(f)]] for at, f in feature_blocks(lines, all_counts)]).astype(np.float32)
+                lines, counts = lines.filter(pa.array(chosen)), sums_by_row(chosen.astype(np.int64), all_counts)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 values = pa.array(x.ravel())
                 yield pa.RecordBatch.from_arrays([

@@ -1,6 +1,9 @@
 """The line field: marginals against enumeration, held-out accuracy, edge cases."""
 
 import itertools
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,44 @@ def test_marginals_equal_enumeration():
     assert np.allclose(moves, total)
 
 
+def test_segments_equal_whole_chains(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ["\n".join(rng.choice(["", "a b", "a b", "$$ !", "Long line of words."], n)) for n in (1, 30, 7, 8, 9, 64, 65, 3)] + ["", "\n\n"]
+    lines, counts = L.lines_of(pa.array(texts))
+    features = L.line_features(lines, counts)
+    field = L.LineField(rng.normal(size=42), rng.normal(size=(2, 2)), rng.normal(size=2))
+    p, weight = field.marginals(features, counts)[0][:, 1], np.array([len(x) + 1 for t in texts for x in t.split("\n")])
+    want = [np.average(x, weights=w) for x, w in zip(np.split(p, np.cumsum(counts)[:-1]), np.split(weight, np.cumsum(counts)[:-1]))]
+    for segment, block in ((512, 1 << 16), (8, 5), (1, 1), (3, 100)):
+        monkeypatch.setattr(L, "SEGMENT", segment)
+        monkeypatch.setattr(L, "BLOCK", block)
+        monkeypatch.setattr(L.feature_blocks, "__defaults__", (block,))
+        assert np.allclose(field.share(pa.array(texts)), want)
+        assert np.allclose(L.line_features(lines, counts), features)
+
+
+def test_many_line_ends_in_bounded_memory():
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from payspark.llm import line_crf as L
+rng = np.random.default_rng(1)
+field = L.LineField(rng.normal(size=42), rng.normal(size=(2, 2)), rng.normal(size=2))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert 0 < field.share(pa.array([chr(10) * 20_000_000]))[0] < 1
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, env={**os.environ, "PYTHONPATH": root}, check=True)
+    assert int(found.stdout) < 1_000_000  # KB
+
+
+def test_chosen_lines_are_bounded():
+    chosen = L.chosen_lines(np.array([3, 5000, 1024, 1025]))
+    parts = np.split(chosen, np.cumsum([3, 5000, 1024, 1025])[:-1])
+    assert parts[0].all() and parts[1].sum() == 1024 and parts[1][0] and parts[1][-1] and parts[2].all() and parts[3].sum() <= 1024
+
+
 def test_gradient_raises_likelihood():
     rng = np.random.default_rng(3)
     good = rng.random(400) < 0.5
