@@ -19,7 +19,12 @@ def found(text: Column, body: str, flags: str = "") -> Column:
 
 
 def captured(text: Column, body: str, group: int = 1, flags: str = "") -> Column:
-    """The group of the first match, null where nothing matches."""
+    """The group of the first match, null where nothing matches; for groups that are never empty, so one match tells both."""
+    return F.get(F.array_remove(F.array(F.regexp_extract(text, f"(?{flags}{FLAGS}){body}", group)), ""), F.lit(0))
+
+
+def captured_or_empty(text: Column, body: str, group: int = 1, flags: str = "") -> Column:
+    """The same for a group that may be empty, which is told from no match."""
     return F.when(found(text, body, flags), F.regexp_extract(text, f"(?{flags}{FLAGS}){body}", group))
 
 
@@ -39,8 +44,12 @@ def cents(value: Column) -> Column:
     ``round`` would round the shortest decimal form (2.675 to 2.68); number
     formatting rounds what is stored (to 2.67).
     """
+    hundredths = value * 100
+    near = F.rint(hundredths)
     plain = F.replace(F.format_number(value, 2), F.lit(","), F.lit("")).try_cast("double")
-    return F.when(F.abs(value) < F.lit(1e15), plain).otherwise(value)
+    # Away from ties the nearest hundredth is plain; only near them the exact value is looked at.
+    clear = (F.abs(value) < F.lit(1e13)) & (F.abs(hundredths - near) < F.lit(0.49))
+    return F.when(clear, near / 100).when(F.abs(value) < F.lit(1e15), plain).otherwise(value)
 
 
 def stripped(text: Column) -> Column:

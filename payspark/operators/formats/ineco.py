@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from payspark.functions.text import captured, cents, found, stripped
+from payspark.functions.text import captured, captured_or_empty, cents, found, stripped
 from payspark.operators.formats.base import PayslipFormat, or_zero, unless_zero, unparsable
 from payspark.schema import INVALID_TOTAL, MISSING_PERIOD, MISSING_TOTAL, MISSING_TOTALS, RAW_AMOUNT_ERROR, SETTLEMENT_UNSUPPORTED
 
@@ -35,7 +35,7 @@ def captures(text, filename):
     return {name: captured(text, body) for name, body in AMOUNTS.items()} | {
         "year": captured(text, PERIOD, 3), "month": captured(text, PERIOD, 2),
         "gross": captured(text, TOTALS, 1, "m"), "deductions": captured(text, TOTALS, 2, "m"),
-        "category": stripped(captured(text, CATEGORY)), "group": captured(text, GROUP),
+        "category": stripped(captured_or_empty(text, CATEGORY)), "group": captured(text, GROUP),
     }
 
 

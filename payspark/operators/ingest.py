@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payspark.functions.validate import matches_net
@@ -12,6 +12,7 @@ from payspark.operators.dispatch import DEFAULT, Registry
 from payspark.operators.parse import parse_documents
 from payspark.schema import DUPLICATE_ID, MESSAGES, MISMATCH
 from payspark.sources.checkpoints import settled
+from payspark.sources.documents import UNNAMED, Extractor, extract_text, file_name, pdf_pages, read_folder, spread
 from payspark.sources.store import DocumentStore, first_of_each, to_stored
 
 LOADED, EXISTS, FAILED, MISMATCHED = "LOADED", "EXISTS", "ERROR", "DESCUADRE"
@@ -64,6 +65,28 @@ def summary_of(outcome: DataFrame) -> DataFrame:
     return outcome.agg(F.count("*").alias("total"), count(LOADED).alias("loaded"), count(FAILED).alias("failed"), count(MISMATCHED).alias("mismatched"), count(EXISTS).alias("existing"))
 
 
+def parse_file(spark: SparkSession, source: str | bytes, filename: str | None = None, extractor: Extractor = pdf_pages, registry: Registry = DEFAULT) -> DataFrame:
+    """One document, given by its path or its bytes, as one parsed row; ``extract_error`` says why it has no text."""
+    if isinstance(source, str):
+        files = spark.read.format("binaryFile").load(source).select((F.lit(filename) if filename else file_name("path")).alias("filename"), "content")
+    else:
+        files = spark.createDataFrame([(filename or UNNAMED, source)], "filename string, content binary")
+    return parse_documents(extract_text(files, extractor), registry)
+
+
+def ingest_folder(spark: SparkSession, folder: str, store: DocumentStore, key: str | None = None, extractor: Extractor = pdf_pages) -> Batch | None:
+    """All PDF files of a folder, in the order of their paths; with ``key`` as its company's script would.
+
+    Without any file nothing is done, not even a table created, and the result is None.
+    """
+    files = read_folder(spark, folder)
+    if files.isEmpty():
+        print(f"no PDF files in {folder}")
+        return None
+    texts = extract_text(spread(files), extractor)
+    return ingest_company(texts, store, key, "path") if key else ingest_batch(texts, store, "path")
+
+
 def ingest_batch(documents: DataFrame, store: DocumentStore, order: str = "filename", registry: Registry = DEFAULT, only: str | None = None, recheck: bool = False) -> Batch:
     """Parse ``documents`` (filename, text) and insert what is new.
 

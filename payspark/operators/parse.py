@@ -1,8 +1,9 @@
 """Payslip texts to model fields, one scan for all formats.
 
-Every stage adds one column. In it each field is a CASE over the row's
+Parsing goes in stages: what is read from the text, numbers, totals, amounts,
+the error code. A stage is one struct, chosen by a single CASE over the row's
 format, so a row is matched against its own format's patterns alone, and later
-stages refer to columns instead of repeating expressions.
+stages refer to fields instead of repeating expressions.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from payspark.functions.text import period, stripped
+from payspark.functions.text import found, period
 from payspark.functions.validate import first_code, total_checks
 from payspark.operators.dispatch import DEFAULT, Registry
 from payspark.operators.formats.base import CAPTURES, FLAGS, LABELS, TOTALS, PayslipFormat
@@ -21,32 +22,38 @@ from payspark.schema import EXTRA, MESSAGES, NO_TEXT, ORDINARY, PAYSLIP, PAYSLIP
 #: Columns that parsing adds to the model's.
 STATUS = ("status", "error_code", "error_message")
 NOTE = "Procesado desde "
+NOT_BLANK = r"[^\s\x1c-\x1f]"
 
 
-def _by_format(registry: Registry, key: Column, value: Callable[[PayslipFormat], Column | None], default: Column) -> Column:
-    out = default
-    for f in registry.formats.values():
-        own = value(f)
-        if own is not None:
-            out = F.when(key == f.key, own).otherwise(out)
+def _by_format(registry: Registry, key: Column, value: Callable[[PayslipFormat], Column]) -> Column:
+    """The format's own value, null for a row without a format."""
+    first, *others = registry.formats.values()
+    out = F.when(key == first.key, value(first))
+    for f in others:
+        out = out.when(key == f.key, value(f))
     return out
 
 
-def _add(rows: DataFrame, value: Column) -> DataFrame:
-    """``rows`` with a stage's columns, the fields of a struct, computed once and as a whole.
+def _stage(value: Column) -> Column:
+    """``value`` as a stage that is computed once for each row.
 
-    The one-element array that is unfolded keeps the optimizer from writing
-    the stage's expressions into every later expression that refers to it; a
-    filter on given columns still passes below. Inside the lambda a CASE over
-    all formats is interpreted, as it would exceed the size of a generated
-    method.
+    The condition holds always. As it is drawn at random, the optimizer
+    neither writes the stage into each later expression that refers to it nor
+    moves filters on later stages below it. The predicate over an array keeps
+    the stage out of whole-stage code, where a CASE over all formats would be
+    one method too large to be compiled; a projection's code is split.
     """
-    whole = F.get(F.transform(F.array(F.lit(0)), lambda _: value), F.lit(0))
-    return rows.select("*", F.inline(F.array(whole)))
+    return F.when(F.exists(F.array(F.rand(0)), lambda r: r >= 0.0), value)
 
 
-def _stage(name: str) -> Callable[[str], Column]:
-    return lambda field: F.col(f"{name}_{field}")
+def _blank(names: tuple[str, ...], kind: str, value: object = None) -> dict[str, Column]:
+    """What a stage's fields are for formats that lack them, made once for all formats."""
+    same = F.lit(value).cast(kind)
+    return {n: same.alias(n) for n in names}
+
+
+def _struct(blank: dict[str, Column], values: dict[str, Column], kind: str) -> Column:
+    return F.struct(*(values[n].cast(kind).alias(n) if n in values else own for n, own in blank.items()))
 
 
 def parse_documents(documents: DataFrame, registry: Registry = DEFAULT, only: str | None = None) -> DataFrame:
@@ -57,50 +64,55 @@ def parse_documents(documents: DataFrame, registry: Registry = DEFAULT, only: st
     ``only`` every document is read as that format, without dispatch.
     """
     given = [F.col(c) for c in documents.columns]
+    own, mark = F.col("format"), "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in documents.columns))
+    field = lambda stage: lambda name: F.col(f"{mark}{stage}")[name]
     text, name = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("filename"), F.lit(""))
     key = F.lit(only) if only else registry.key(text, name)
-    keyed = documents.select(*given, F.when(F.length(stripped(text)) > 0, key).alias("format"), (F.length(stripped(text)) == 0).alias("_blank"))
-
-    own = F.col("format")
-    cleaned = keyed.withColumn("_clean", _by_format(registry, own, lambda f: f.clean(text) if f.clean else None, text))
-    captures = {f.key: f.captures(F.col("_clean"), name) for f in registry.formats.values()}
-    flags = {f.key: f.flags(text) for f in registry.formats.values()}
-    null, no = F.lit(None).cast("string"), F.lit(False)
-    raw = [_by_format(registry, own, lambda f, c=c: captures[f.key].get(c), null).alias(f"_raw_{c}") for c in (*CAPTURES, *LABELS)]
-    flag = [_by_format(registry, own, lambda f, c=c: flags[f.key].get(c), no).alias(f"_flag_{c}") for c in FLAGS]
-    read = _add(_add(cleaned, F.struct(*raw)), F.struct(*flag))
-
-    raws, numbers, flagged, sums = (_stage(s) for s in ("_raw", "_number", "_flag", "_total"))
-    amounts = [_by_format(registry, own, lambda f, c=c: f.convert(raws(c)) if c in captures[f.key] else None, F.lit(None).cast("double")).alias(f"_number_{c}") for c in CAPTURES if c not in ("year", "month")]
-    dates = [raws(c).try_cast("int").alias(f"_number_{c}") for c in ("year", "month")]
-    counted = _add(read, F.struct(*dates, *amounts))
-
-    totals = {f.key: f.totals(raws, numbers) for f in registry.formats.values()}
-    total = [_by_format(registry, own, lambda f, c=c: totals[f.key].get(c), F.lit(0.0)).alias(f"_total_{c}") for c in TOTALS]
-    summed = _add(counted, F.struct(*total))
-
-    details = {f.key: f.details(numbers, sums) for f in registry.formats.values()}
-    amount = [_by_format(registry, own, lambda f, c=c: details[f.key].get(c), F.lit(0.0)).alias(f"_amount_{c}") for c in PAYSLIP_AMOUNTS]
-    detailed = _add(summed, F.struct(*amount))
-
-    year, month, value = numbers("year"), numbers("month"), _stage("_amount")
-    checks = total_checks(year, month, value("total_devengado"), value("total_deducir"), value("liquido_percibir"))
-    code = _by_format(registry, own, lambda f: first_code([*f.errors(raws, numbers, flagged), *checks]), F.lit(UNKNOWN_FORMAT))
-    judged = _add(detailed, F.struct(F.when(F.col("_blank"), NO_TEXT).otherwise(code).alias("error_code")))
-
-    company = _by_format(registry, own, lambda f: F.lit(f.company), null)
-    cif = _by_format(registry, own, lambda f: F.lit(f.cif), null)
-    suffix = _by_format(registry, own, lambda f: F.lit(f.suffix or f.key.upper()), null)
-    extra, fine, when = flagged("is_extra"), F.col("error_code").isNull(), period(year, month)
+    written = found(text, NOT_BLANK)
+    keyed = documents.select(*given, _stage(F.struct(F.when(written, key).alias("format"), written.alias("written"))).alias(f"{mark}key"))
+    keyed = keyed.select(*given, field("key")("format").alias("format"), field("key")("written").alias(f"{mark}written"))
+
+    captures = {f.key: f.captures(f.clean(text) if f.clean else text, name) for f in registry.formats.values()}
+    no_raw, no_flag = _blank((*CAPTURES, *LABELS), "string"), _blank(FLAGS, "boolean", False)
+
+    def read(f: PayslipFormat) -> Column:
+        return F.struct(_struct(no_raw, captures[f.key], "string").alias("raw"), _struct(no_flag, f.flags(text), "boolean").alias("flag"))
+
+    raw, flag, number, total, amount = (lambda n: F.col(f"{mark}read")["raw"][n]), (lambda n: F.col(f"{mark}read")["flag"][n]), field("number"), field("total"), field("amount")
+    dates = ("year", "month")
+    no_number = _blank(tuple(c for c in CAPTURES if c not in dates), "double")
+    when_read = [raw(c).try_cast("int").alias(c) for c in dates]
+
+    def numbers(f: PayslipFormat) -> Column:
+        return F.struct(*when_read, *(f.convert(raw(c)).alias(c) if c in captures[f.key] else own for c, own in no_number.items()))
+
+    staged = keyed
+    for stage, value in (
+        ("read", read),
+        ("number", numbers),
+        ("total", lambda f: _struct(_blank(TOTALS, "double", 0.0), f.totals(raw, number), "double")),
+        ("amount", lambda f: _struct(_blank(PAYSLIP_AMOUNTS, "double", 0.0), f.details(number, total), "double")),
+    ):
+        staged = staged.select("*", _stage(_by_format(registry, own, value)).alias(f"{mark}{stage}"))
+
+    checks = total_checks(number("year"), number("month"), amount("total_devengado"), amount("total_deducir"), amount("liquido_percibir"))
+    code = F.when(own.isNull(), F.lit(UNKNOWN_FORMAT)).otherwise(_by_format(registry, own, lambda f: first_code([*f.errors(raw, number, flag), *checks])))
+    judged = staged.select("*", _stage(F.struct(F.when(~F.col(f"{mark}written"), NO_TEXT).otherwise(code).alias("code"))).alias(f"{mark}judged"))
+
+    error, when, extra = field("judged")("code"), period(number("year"), number("month")), flag("is_extra")
+    fine = error.isNull()
+    constant = lambda value: _by_format(registry, own, lambda f: F.lit(value(f)))
     values = {
-        "id": F.concat(when, F.lit("-"), suffix, F.when(extra, "-EXTRA").otherwise("")), "anio": year, "mes": month, "periodo": when, "empresa": company, "cif": cif,
-        "tipo": F.when(extra, EXTRA).otherwise(ORDINARY), "es_procesable": F.lit(True), "observaciones": F.concat(F.lit(NOTE), name),
-        "categoria": raws("category"), "grupo_cotizacion": raws("group"),
-    } | {c: value(c) for c in PAYSLIP_AMOUNTS}
+        "id": F.concat(when, F.lit("-"), constant(lambda f: f.suffix or f.key.upper()), F.when(extra, "-EXTRA").otherwise("")), "anio": number("year"), "mes": number("month"), "periodo": when,
+        "empresa": constant(lambda f: f.company), "cif": constant(lambda f: f.cif), "tipo": F.when(extra, EXTRA).otherwise(ORDINARY), "es_procesable": F.lit(True),
+        "observaciones": F.concat(F.lit(NOTE), name), "categoria": raw("category"), "grupo_cotizacion": raw("group"),
+    } | {c: amount(c) for c in PAYSLIP_AMOUNTS}
     messages = F.create_map(*(F.lit(x) for pair in MESSAGES.items() for x in pair))
     model = [F.when(fine, values[f.name]).cast(f.dataType).alias(f.name) for f in PAYSLIP]
-    state = [F.when(fine, "OK").otherwise("ERROR").alias("status"), F.col("error_code"), F.try_element_at(messages, F.col("error_code")).alias("error_message")]
-    return judged.select(*given, "format", *model, *state)
+    state = [F.when(fine, "OK").otherwise("ERROR").alias("status"), error.alias("error_code"), F.try_element_at(messages, error).alias("error_message")]
+    # Out of a generator, whose columns no rule traces back through all stages (as that for join keys would).
+    whole = judged.select(*given, "format", _stage(F.struct(*model, *state)).alias(f"{mark}row"))
+    return whole.select(*given, "format", F.inline(F.array(f"{mark}row")))
 
 
 def strict(parsed: DataFrame) -> DataFrame:

@@ -32,6 +32,9 @@ SETTLEMENT = T.StructType([
 ])
 TAX_CERTIFICATE = T.StructType([*DOCUMENT.fields, *_fields(T.DoubleType(), "retribuciones_integras", "gastos_deducibles", "retenciones_practicadas")])
 
+#: What fields that a payslip may lack are, then.
+DEFAULTS = {"tipo": ORDINARY, "es_procesable": True, "observaciones": "", "categoria": None, "grupo_cotizacion": None} | dict.fromkeys(PAYSLIP_AMOUNTS, 0.0)
+
 #: Amounts that the store keeps as columns; documents without one have 0.0.
 STORED_AMOUNTS = ("salario_base", "total_devengado", "total_deducir", "liquido_percibir", "retribuciones_integras", "retenciones_practicadas")
 STORED = T.StructType([

@@ -30,6 +30,16 @@ def pdf_pages(content: bytes) -> list[str | None]:
         return [page.extract_text() for page in pdf.pages]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out evenly where they come in fewer partitions than there are cores.
+
+    Parsing a text costs far more than moving it, and one small file, or one
+    of few row groups, would keep a single core busy.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def file_name(path: str | Column) -> Column:
     """The last part of a path; a fixed name where there is none."""
     own = F.col(path) if isinstance(path, str) else path

@@ -12,9 +12,10 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from payspark.schema import CERTIFICATE, KINDS, PAYLOAD, PAYSLIP, REQUIRED, STORED, STORED_AMOUNTS
+from payspark.schema import CERTIFICATE, DEFAULTS, DOCUMENT, KINDS, PAYLOAD, PAYSLIP, REQUIRED, STORED, STORED_AMOUNTS
+from payspark.sources.checkpoints import settled
 
-DEFAULT_PATH, PATH_VARIABLE = "data/runtime/nominas", "ANALISIS_NOMINAS_DB"
+DEFAULT_PATH, PATH_VARIABLE = "data/payslips", "PAYSPARK_STORE"
 
 
 class DuplicateIdError(ValueError):
@@ -53,8 +54,18 @@ def own_order(rows: DataFrame) -> list[str]:
     return [f.name for f in STORED if f.name in rows.columns]
 
 
-def as_payslips(rows: DataFrame) -> DataFrame:
-    """Read rows as payslips: the model's fields alone, kinds checked."""
+def as_payslips(rows: DataFrame, exact: bool = False) -> DataFrame:
+    """Read rows as payslips: the model's fields alone, kinds checked.
+
+    With ``exact`` columns that the model lacks raise, as do required fields
+    that the rows lack; else the former are left out and optional fields that
+    the rows lack are null or 0.0.
+    """
+    names, required = {f.name for f in PAYSLIP}, [f.name for f in DOCUMENT.fields[:6]]
+    unknown, missing = sorted(set(rows.columns) - names), [n for n in required if n not in rows.columns]
+    if missing or (exact and unknown):
+        raise ValueError(f"missing fields: {missing}, unknown fields: {unknown if exact else []}")
+    rows = rows.withColumns({n: F.lit(v) for n, v in DEFAULTS.items() if n not in rows.columns})
     kind = F.when(F.col("tipo").isin(*KINDS), F.col("tipo")).otherwise(F.raise_error(F.concat(F.lit("unknown kind: "), F.col("tipo"))).cast("string"))
     return rows.select(*((kind if f.name == "tipo" else F.col(f.name)).cast(f.dataType).alias(f.name) for f in PAYSLIP))
 
@@ -125,8 +136,7 @@ class DocumentStore:
     def split(self, documents: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
         """Documents whose ids are new, the first of each in ``order``, and the others.
 
-        Only ids and the order columns are ranked; the check against the table
-        is one semi and one anti join on its id column.
+        The check against the table is one left join on its id column.
         """
         by = order or tuple(c for c in documents.columns if c != "id")
         ranked = documents.withColumn("_first", first_of_each(documents, "id", *by))
@@ -148,8 +158,7 @@ class DocumentStore:
             missing = missing | F.col(name).isNull()
         checked = rows.withColumn("id", F.when(missing, F.raise_error(F.lit("a required field is null")).cast("string")).otherwise(F.col("id")))
         if self.in_memory:
-            # A small store by definition, for tests and trials: its rows are held by the driver.
-            self._memory = self.spark.createDataFrame(self.table().unionByName(checked).collect(), STORED)
+            self._memory = settled(self.table().unionByName(checked))
         else:
             checked.write.mode("append").parquet(f"{self.path}/v={self._version()}")
 

@@ -51,8 +51,9 @@ def test_analytics_edges(spark):
 
 
 def test_scan_reads_needed_columns(spark):
-    plan = catalog.filter_kind(spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<event_id:bigint,event_type:string>" in plan and "EqualTo(event_type,purchase)" in plan
+    found = catalog.new_store(spark, catalog.documents_of(spark, DATA)).certificates().select("id", "total_devengado")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:string,tipo:string,total_devengado:double>" in plan and "EqualTo(tipo,CERTIFICADO_RETENCIONES)" in plan
 
 
 def test_one_regex_pass_for_all_formats(spark):

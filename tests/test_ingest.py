@@ -1,7 +1,8 @@
 """Batches, company scripts, streams and sources."""
 
-from payspark.operators.ingest import ingest_batch, ingest_company, report
-from payspark.sources.documents import extract_text, file_name, read_folder, uploads
+from payspark.operators.ingest import ingest_batch, ingest_company, ingest_folder, parse_file, report
+from payspark.sources import create
+from payspark.sources.documents import extract_text, file_name, read_folder, spread, uploads
 from payspark.sources.store import DocumentStore
 from payspark.streaming.ingest import arriving, ingest_stream
 
@@ -55,3 +56,28 @@ def test_sources(spark, tmp_path):
     kept = uploads(spark, [("x.pdf", b"a"), ("y.doc", b"b"), (None, b"c")]).orderBy("idx").collect()
     assert [(r.idx, r.filename) for r in kept] == [(0, "x.pdf"), (2, "document.pdf")]
     assert [r[0] for r in spark.createDataFrame([("/a/b.pdf",), (None,), ("c.pdf",)], "p string").select(file_name("p")).collect()] == ["b.pdf", "document.pdf", "c.pdf"]
+
+
+def test_one_file_to_its_payslip(spark, tmp_path):
+    pages = lambda content: [content.decode()]
+    (tmp_path / "209901.pdf").write_text(ALTEN)
+    by_path, by_bytes = parse_file(spark, str(tmp_path / "209901.pdf"), extractor=pages).first(), parse_file(spark, ALTEN.encode(), "209902.pdf", pages).first()
+    assert (by_path.id, by_bytes.id, by_path.liquido_percibir) == ("2099-01-ALTEN", "2099-02-ALTEN", 2000.0)
+    assert parse_file(spark, ALTEN.encode(), extractor=pages).first().error_code == "MISSING_PERIOD"
+
+
+def test_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    store = DocumentStore(spark, str(tmp_path / "s"))
+    assert ingest_folder(spark, str(tmp_path / "in"), store) is None and not (tmp_path / "s").exists()
+    for k in (1, 2):
+        (tmp_path / "in" / f"20990{k}_a.pdf").write_text(ALTEN)
+    (tmp_path / "in" / "209901_b.pdf").write_text(ALTEN)
+    batch = ingest_folder(spark, str(tmp_path / "in"), store, "alten", lambda content: [content.decode()])
+    assert tuple(batch.summary.first()) == (3, 2, 1, 0, 0) and store.table().count() == 2
+
+
+def test_create_and_spread(spark, tmp_path, capsys):
+    create.main(["--path", str(tmp_path / "made")])
+    assert DocumentStore(spark, str(tmp_path / "made")).table().count() == 0 and "made" in capsys.readouterr().out
+    assert spread(spark.range(1).repartition(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

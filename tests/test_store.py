@@ -64,9 +64,9 @@ def test_first_of_a_batch_wins(spark, store):
 def test_missing_table_and_path(spark, tmp_path, monkeypatch):
     with pytest.raises(FileNotFoundError):
         DocumentStore(spark, str(tmp_path / "none")).table()
-    monkeypatch.setenv("ANALISIS_NOMINAS_DB", "/x/y")
+    monkeypatch.setenv("PAYSPARK_STORE", "/x/y")
     assert store_path() == "/x/y"
-    monkeypatch.delenv("ANALISIS_NOMINAS_DB")
+    monkeypatch.delenv("PAYSPARK_STORE")
     assert store_path().startswith("data/")
 
 
@@ -74,3 +74,14 @@ def test_unknown_kind_is_refused(spark):
     with pytest.raises(Exception, match="unknown kind"):
         as_payslips(payslip(spark, tipo="OTHER")).collect()
     assert to_stored(payslip(spark)).schema.names == S.STORED.names
+
+
+def test_exact_payslips(spark):
+    whole = payslip(spark)
+    assert as_payslips(whole, exact=True).count() == 1
+    with pytest.raises(ValueError, match="unknown fields: .'extra'"):
+        as_payslips(whole.selectExpr("*", "1 as extra"), exact=True)
+    with pytest.raises(ValueError, match="missing fields: .'cif'"):
+        as_payslips(whole.drop("cif"))
+    read = as_payslips(whole.drop("tipo", "irpf_importe", "categoria")).first()
+    assert (read.tipo, read.irpf_importe, read.categoria) == ("NOMINA_ORDINARIA", 0.0, None)
