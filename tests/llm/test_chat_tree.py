@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,16 +22,16 @@ def test_escapes_are_reversible(text):
 
 def brute(rows):
     by = collections.defaultdict(list)
-    for conv, turn, role, text in rows:
-        by[conv].append((turn is not None, turn or 0, role or "", text or ""))
-    out = {}
+    for k, (conv, turn, role, text) in enumerate(rows):  # a row without an id is by itself
+        by[conv if conv is not None else ("none", k)].append((turn is not None, turn or 0, role or "", text or ""))
+    out = []
     for conv, own in by.items():
         own.sort()
         learnt = "".join(t for *_, r, t in own if r == "assistant")
         whole = "".join(f"{r}\n{t}\n" for *_, r, t in own)
         size = sum(len(C.header(r) + C.escape(t) + C.END) + 1 for *_, r, t in own)
-        out[conv] = (len(own), hashlib.sha256(whole.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), size)
-    return out
+        out.append((None if isinstance(conv, tuple) else conv, len(own), hashlib.sha256(whole.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), size))
+    return sorted(out, key=repr)
 
 
 def conversations():
@@ -39,14 +40,14 @@ def conversations():
     for c in range(120):
         rows.append((c, 0, "user", "common" if c % 3 else f"first {c % 4}"))
         rows += [(c, t, rnd.choice(["assistant", "user", None]), rnd.choice(["ok", "no", "<|im_end|>", None, "é"])) for t in range(1, rnd.randint(1, 6))]
-    rows += [(None, 1, "user", "n"), (7, None, "user", "null turn"), (5, 0, "user", "dup"), (5, 0, "user", "dup")]
+    rows += [(None, 1, "user", "n"), (None, 1, "user", "n"), (None, 0, "assistant", "common"), (7, None, "user", "null turn"), (5, 0, "user", "dup"), (5, 0, "user", "dup")]
     return rows + [(999, t, "user", f"turn {t % 7}") for t in range(1500)] + [(1000, 0, "assistant", "long " * 20_000)]
 
 
 def check(spark, rows):
     table = spark.createDataFrame([(*r, b"x") for r in rows], "conv_id long, turn long, role string, text string, node binary").repartition(5)
     tree, turns = C.format_tree(table)
-    assert {r.conv_id: tuple(r)[1:] for r in C.read_back(tree, turns).collect()} == brute(rows)
+    assert sorted(map(tuple, C.read_back(tree, turns).collect()), key=repr) == brute(rows)
     nodes = sorted(tree.collect(), key=lambda r: r.start)
     by = {bytes(r.node): r for r in nodes}
     assert len(by) == len(nodes)  # each shared turn once
@@ -79,6 +80,29 @@ def test_partitions_continue_each_other(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_positions_and_intervals_are_used(spark):
+    """Wrong intervals or positions must not read back well."""
+    from pyspark.sql import functions as F
+
+    rows = [(c, t, "user", f"{c // 2} {t}") for c in range(6) for t in range(4)]
+    tree, turns = C.format_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for broken in (tree.withColumn("attends", F.slice("attends", 2, 9)), tree.withColumn("position", -F.col("position"))):
+        assert sorted(map(tuple, C.read_back(broken, turns).collect()), key=repr) != brute(rows)
+
+
+def test_deep_path_takes_linear_time():
+    took = []
+    for depth in (25_000, 100_000):
+        path = b"".join(k.to_bytes(16, "big") + (3).to_bytes(4, "little") for k in range(depth))
+        began = time.process_time()
+        last = None
+        for stack in C.walk(iter([path, path + b"z" * 16 + (1).to_bytes(4, "little")]), [], 0):
+            last = stack[-1]
+        took.append(time.process_time() - began)
+        assert (last.position, last.attends) == (3 * depth, ((0, 3 * depth),))
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_empty(spark):
     tree, turns = C.format_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert tree.count() == 0 and C.read_back(tree, turns).count() == 0
