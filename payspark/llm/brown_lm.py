@@ -48,10 +48,10 @@ from payspark.llm.arrowtext import LOWER, as_strings, data_of, mapped, offsets_o
 from payspark.llm.checkpoints import Scratch, saved
 from payspark.llm.labelled import fold
 
-CORE, HEAD, TAIL, CLASSES, SWEEPS = 511, 4096, 512, 64, 12
+CORE, HEAD, TAIL, CLASSES, SWEEPS = 511, 2048, 512, 64, 12
 UNITS = 1 + HEAD + TAIL
 #: Rounds over all units; one in PARTS of them moves in a round.
-ROUNDS, PARTS = 12, 3
+ROUNDS, PARTS = 9, 3
 #: Words whose counts and classes are broadcast.
 LOOKUP = 1 << 17
 ADD = 0.1
@@ -215,19 +215,20 @@ def beside_classes(pairs: DataFrame, own: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[:, :CLASSES], out[:, CLASSES:-1], out[:, -1]
 
 
-def cluster(pairs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Classes of all units from ``pairs`` (unit, other, side, n)."""
+def cluster(pairs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all units from ``pairs`` (unit, other, side, n), and how often classes follow each other."""
     core = pairs.where(f"side = 0 and unit <= {CORE} and other <= {CORE}").toArrow()
     dense = np.zeros((CORE + 1, CORE + 1), np.int64)
     dense[core.column("unit").to_numpy(), core.column("other").to_numpy()] = core.column("n").to_numpy()
     own = np.full(UNITS, -1)
     own[: CORE + 1] = exchange(dense)
-    best, most, moved = own, -np.inf, []
+    best, most, moved = (own, np.zeros((CLASSES, CLASSES))), -np.inf, []
     for k in range(rounds + 1):
         follow, precede, same = beside_classes(pairs, own)
         if (own >= 0).all():
-            now = likelihood(np.eye(CLASSES)[own].T @ follow)
-            best, most = (own, now) if now > most else (best, most)
+            table = np.eye(CLASSES)[own].T @ follow
+            if (now := likelihood(table)) > most:
+                best, most = (own, table), now
             if len(moved) >= PARTS and sum(moved[-PARTS:]) * 200 < UNITS:
                 break
         which = np.flatnonzero(own < 0) if k == 0 else np.arange(1 + (k - 1) % PARTS, UNITS, PARTS)
@@ -290,7 +291,7 @@ def unit_pairs(docs: DataFrame, head: pa.StringArray, steps: Scratch) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=16 << 20):
+            for part in slices(batch, limit=8 << 20):
                 words, codes, counts = lower_words(as_strings(part.column("text")))
                 unit = with_ends(units_of(words, shared.value)[codes], counts, 0)
                 pair, n = runs_of(before(unit, counts, 0) * UNITS + unit)
@@ -318,7 +319,7 @@ def label_by_neighbours(docs: DataFrame, model: ClassModel, table: np.ndarray) -
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: ClassModel = shared.value
         for batch in batches:
-            for part in slices(batch, limit=16 << 20):
+            for part in slices(batch, limit=8 << 20):
                 words, codes, counts = lower_words(as_strings(part.column("text")))
                 label, place = own.classes_of(words)
                 label, place = with_ends(label[codes], counts, 0), with_ends(place[codes], counts, -1)
@@ -403,12 +404,12 @@ def train(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     total = counts.agg(F.sum("n"), F.count("*")).first()
     top = counts.where((F.col("word") != "") & (F.col("n") >= common_from(counts))).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     words, often = as_strings(top.column("word")), top.column("n").to_numpy()
-    own = cluster(unit_pairs(docs, words.slice(0, HEAD), steps))
+    own, table = cluster(unit_pairs(docs, words.slice(0, HEAD), steps))
     groups = own[1 + HEAD :]
     labels = np.concatenate([own[1 : 1 + min(HEAD, len(words))], groups[spelling(words.slice(HEAD))]])
     model = ClassModel(words, often, labels, groups, train_tokens=int(total[0] or 0))
     if len(words) > HEAD:
-        model = ClassModel(words, often, label_by_neighbours(docs, model, class_bigrams(docs, model)), groups, train_tokens=model.train_tokens)
+        model = ClassModel(words, often, label_by_neighbours(docs, model, table), groups, train_tokens=model.train_tokens)
     model.base = float(np.log10(model.train_tokens + ADD * (int(total[1]) + 1)))
     model.settle(class_bigrams(docs, model), words_by_class(counts, model))
     steps.drop()
