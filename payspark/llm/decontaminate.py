@@ -8,8 +8,8 @@ locations. A window is ``WINDOW`` consecutive words of an item, or all words of
 a shorter item. Documents with a word inside an occurrence are contaminated.
 
 Documents are not shuffled. The items go to the tasks in broadcast blocks of
-about ``BLOCK_BYTES`` each; a larger benchmark takes several blocks, one map
-after the other, whose findings are joined document by document.
+about ``BLOCK_BYTES`` each, of which the driver holds one at a time. A shard is
+sorted once, in one map, and every block is looked up in it.
 
 Defined results: a null or empty text, document or item, has no words, so it
 neither hits nor is hit; items without an id are left out; an id that comes
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,15 +186,19 @@ def runs(mask: np.ndarray, counts: np.ndarray) -> list[list[int]]:
     return out
 
 
-def blocks_of(items: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[Items]:
-    """The items that have an id, in blocks of about ``limit`` bytes."""
+def blocks_of(items: DataFrame, limit: int = BLOCK_BYTES) -> tuple[list[Broadcast], int]:
+    """The items that have an id, in broadcast blocks of about ``limit`` bytes, and the words of the longest."""
+    context = items.sparkSession.sparkContext
     known = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull())
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(total // limit) + 1
-    for k in range(blocks):
-        own = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+    count, out, longest = int(total // limit) + 1, [], 1
+    for k in range(count):
+        own = known if count == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
         found = own.toArrow()
-        yield Items.of(found.column("item_id").to_pylist(), as_strings(found.column("text")))
+        block = Items.of(found.column("item_id").to_pylist(), as_strings(found.column("text")))
+        longest = max(longest, int(max(block.counts, default=1)))
+        out.append(context.broadcast(block))
+    return out, longest
 
 
 def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
@@ -202,49 +207,40 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_by
 
     name = free_name("result", docs.columns)
     kind = to_arrow_type(FIELDS)
-    given = docs.schema.names
-
-    def against(block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own: Items = block.value
-            depth = int(max(own.counts, default=1))
-            for batch in batches:
-                for part in slices(batch, limit=SHARD_BYTES):
-                    shard = Shard.of(as_strings(part.column("text")), depth)
+    blocks, longest = blocks_of(items, block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, limit=SHARD_BYTES):
+                shard = Shard.of(as_strings(part.column("text")), longest)
+                covered, counts = np.zeros(len(shard.codes), bool), shard.counts
+                listed: list[set[str]] = [set() for _ in counts]
+                for block in blocks:
+                    own: Items = block.value
                     mask, doc, item, _ = shard.hits(own, window)
-                    mask, counts = mask[shard.codes > 0], shard.counts
-                    listed: list[set[str]] = [set() for _ in counts]
+                    covered |= mask
                     for d, i in zip(doc.tolist(), item.tolist()):
                         listed[d].add(own.ids[i])
-                    if name in part.schema.names:
-                        starts = np.cumsum(counts) - counts
-                        for row, old in enumerate(part.column(name).to_pylist()):
-                            listed[row].update(old["items"])
-                            for a, b in zip(old["spans"][::2], old["spans"][1::2]):
-                                mask[starts[row] + a : starts[row] + b] = True
-                    ids = [sorted(x) for x in listed]
-                    hit = sums_by_row(mask.astype(np.int64), counts)
-                    rows = [counts, hit, [len(x) for x in ids], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], hit > 0, runs(mask, counts), ids]
-                    struct = pa.StructArray.from_arrays([pa.array(v, type=f.type) for v, f in zip(rows, kind)], fields=list(kind))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in given), struct], names=[*given, name])
-
-        return run
-
-    out, schema = docs, T.StructType([*docs.schema.fields, T.StructField(name, FIELDS)])
-    for block in blocks_of(items, block_bytes):
-        out = out.mapInArrow(against(docs.sparkSession.sparkContext.broadcast(block)), schema)
-    return out, name
+                mask = covered[shard.codes > 0]
+                ids = [sorted(x) for x in listed]
+                hit = sums_by_row(mask.astype(np.int64), counts)
+                rows = [counts, hit, [len(x) for x in ids], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], hit > 0, runs(mask, counts), ids]
+                struct = pa.StructArray.from_arrays([pa.array(v, type=f.type) for v, f in zip(rows, kind)], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([*part.columns, struct], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, FIELDS)])), name
 
 
 def longest_matches(docs: DataFrame, items: DataFrame, least: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The longest verbatim match of each item suffix in each shard with at least ``least`` words, and where it is (``MATCHES``)."""
-
-    def against(block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own: Items = block.value
-            for batch in batches:
-                for part in slices(batch, limit=SHARD_BYTES):
-                    shard = Shard.of(as_strings(part.column("text")), int(max(own.counts, default=1)))
+    blocks, longest = blocks_of(items, block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, limit=SHARD_BYTES):
+                shard = Shard.of(as_strings(part.column("text")), longest)
+                for block in blocks:
+                    own: Items = block.value
                     length, place, _ = shard.lookup(own)
                     at = np.flatnonzero(length >= least)
                     where = shard.array[place[at]]
@@ -255,13 +251,7 @@ def longest_matches(docs: DataFrame, items: DataFrame, least: int = WINDOW, bloc
                         part.column("doc_id").cast(pa.int64()).take(pa.array(shard.doc[where])), pa.array(where - begin),
                     ], names=["item_id", "item_word", "length", "doc_id", "doc_word"])
 
-        return run
-
-    parts = [docs.select("doc_id", "text").mapInArrow(against(docs.sparkSession.sparkContext.broadcast(b)), MATCHES) for b in blocks_of(items, block_bytes)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return docs.select("doc_id", "text").mapInArrow(run, MATCHES)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
