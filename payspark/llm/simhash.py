@@ -8,8 +8,10 @@ four 16-bit blocks is equal, and of the other 48 bits one of four 12-bit
 blocks, so each fingerprint goes to 16 tiles, named by 28 of its bits. Within
 a tile rows are ordered by population count and compared with numpy exclusive-
 or and bit counts, a sub-tile at a time; sub-tiles whose counts differ beyond
-the radius are skipped. A tile of more than ``HOT`` rows is split by population
-count and hash, and its parts meet pairwise in different tasks.
+the radius are skipped, and in small tiles, which are compared together, rows
+whose counts do. A tile of more than ``HOT`` rows is split by population count
+and hash into parts that meet pairwise in different tasks, so each of its rows
+is copied about three times the number of parts of its counts' neighbourhood.
 
 A tile reports a spanning forest, not all pairs. Components come from
 distributed contraction of these links, so copies are never expanded.
@@ -124,11 +126,15 @@ def forest(keys: np.ndarray, prints: np.ndarray, small: int = 48) -> tuple[np.nd
         a.append(tile[moved])
         b.append(tile[root[moved]])
     tile = np.repeat(np.where(sizes > small, -1, np.arange(len(sizes))), sizes)
-    rows = np.flatnonzero((tile >= 0) & (np.repeat(sizes, sizes) > 1))
+    # Small tiles are compared together, each in the order of population counts.
+    weight = np.bitwise_count(prints).astype(np.int64)
+    order = np.lexsort((weight, tile))
+    tile, prints, weight = tile[order], prints[order], weight[order]
+    rows = np.flatnonzero((tile >= 0) & (np.repeat(sizes, sizes)[order] > 1))
     label, pairs = np.arange(len(keys)), []
     for lag in range(1, small):
         rows = rows[rows + lag < len(keys)]
-        rows = rows[tile[rows] == tile[rows + lag]]
+        rows = rows[(tile[rows] == tile[rows + lag]) & (weight[rows + lag] - weight[rows] <= RADIUS)]
         if not len(rows):
             break
         near = rows[np.bitwise_count(prints[rows] ^ prints[rows + lag]) <= RADIUS]
