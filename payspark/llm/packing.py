@@ -18,6 +18,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -70,8 +71,38 @@ def bounds(sizes: np.ndarray | list[int]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
+#: What the short way stands for: composed, spaces joined, lower-cased; then cut at this pattern, without spaces.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def is_known(path: str) -> bool:
+    """Whether a tokenizer's file normalizes and splits as the short way assumes."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    steps = (said.get("normalizer") or {}).get("normalizers")
+    cuts = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = {"type": "Split", "pattern": {"Regex": CUT}, "behavior": "Removed", "invert": True}
+    level = {k: cuts[-1].get(k) for k in ("type", "add_prefix_space", "use_regex")}
+    return steps == NORMALIZER and len(cuts) == 2 and cuts[0] == split and level == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
+
+class WholeTokenizer:
+    """Ids of texts by any tokenizer, as it is."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each text has."""
+        ids = [np.array(found.ids, np.int32) for found in self.whole.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([*ids, np.zeros(0, np.int32)]), np.array([len(x) for x in ids], np.int64)
+
+
 class WordTokenizer:
-    """Ids of texts by a tokenizer that never joins characters across white space.
+    """Ids of texts by a tokenizer that ``is_known``: it never joins characters across white space.
 
     Each distinct word of a slice is split once, each distinct part encoded
     once while the cache has it, and the texts' ids are gathered from these.
@@ -132,8 +163,9 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def text_tokenizer(path: str) -> WordTokenizer | WholeTokenizer:
+    """The short way where the file allows it, else the tokenizer itself."""
+    return WordTokenizer(path) if is_known(path) else WholeTokenizer(path)
 
 
 def binary_pieces(lengths: np.ndarray, full: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +191,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     schema = pa.schema(kinds if with_ids else kinds[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_tokenizer(tokenizer or default_tokenizer())
+        words = text_tokenizer(tokenizer or default_tokenizer())
         number, task = 0, TaskContext.get().partitionId()
         for batch in batches:
             for part in slices(batch, limit=SLICE):

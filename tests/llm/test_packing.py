@@ -22,12 +22,16 @@ def test_binary_pieces(lengths):
         assert start[row == k].tolist() == np.cumsum([0, *own])[:-1].tolist()
 
 
-def test_pack(spark):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pack(spark, name):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(P.default_tokenizer())
+    path = public_tokenizers.path(name)
+    assert P.is_known(path) == (name == "word_bpe_49k.json")  # any other file goes the long way
+    whole = Tokenizer.from_file(path)
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(TEXTS)] + [(None, "no id", "y")], "doc_id long, text string, start string").repartition(3)
-    rows = P.pack(docs).collect()
+    rows = P.pack(docs, path).collect()
     for k, text in [*enumerate(TEXTS), (None, "no id")]:
         want = whole.encode(text or "", add_special_tokens=False).ids + [2]
         own = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.start)
