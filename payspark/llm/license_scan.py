@@ -1,17 +1,24 @@
 """License scan with a positional rare-token index, in DataFrame functions alone.
 
-The templates' words are weighed by inverse document frequency over all
-documents. The index keeps, for the ``RARE`` highest-weighed words of each
-template, their postings (template, position). A file's words that are in the
-index are its rarest license words; each, looked up, says where in the file a
-template would have to begin. Postings that agree on that relative position
-are one candidate. A candidate counts if the template's mandatory key phrase
-stands there word for word and the matched share of the template's weight is
-at least ``ENOUGH``; a base phrase is a template that is all key phrase, so
-each of its places is found: every place holds the phrase's rarest word.
-
-Both passes are row by row; only the frequencies of template words (some 80
-rows) are shuffled and collected. Nothing is joined, so no row meets another.
+The templates are bodies of licenses, notices and phrases. Their words are
+weighed by inverse document frequency over all documents. The index keeps the
+postings (template, position) of each template's highest-weighed words, as
+many as hold more than 1 - ``ENOUGH`` of its weight. A file's words that are
+in the index are its rarest license words; each, looked up, says where in the
+file a template would have to begin. Postings that agree on that relative
+position are one candidate. A candidate counts if the template's mandatory key
+phrase stands there word for word and the matched share of the template's
+weight is at least ENOUGH. As the rest is less than what the index has, no
+place with enough weight is missed; a base phrase is a template that is all
+key phrase, so each of its places is found.
+
+Words are compared place by place: a text in which words are missing or added
+matches up to there, so bodies are also cut into their sentences, each a
+template of its own with the same label.
+
+Both passes are row by row; only the frequencies of template words (some
+hundred rows) are shuffled and collected. Nothing is joined, so no row meets
+another.
 
 Defined results: a null or empty text has no words, null places, empty labels
 and the score 0; repeated rows get the same result each; a null ``doc_id``
@@ -20,14 +27,18 @@ stays null; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Indexed words of a template, and the share of its weight that must match.
-RARE, ENOUGH = 3, 0.75
+#: The share of a template's weight that must match.
+ENOUGH = 0.75
+#: Sentences of a body with fewer words are no templates.
+SENTENCE = 12
 
 # Label, text, key phrase; a base phrase has its whole text as key.
 BASE = (
@@ -56,6 +67,93 @@ NOTICES = (
     ("proprietary", "all rights reserved", "all rights reserved"),
 )
 
+# Label, body, key phrase. Names that vary stand outside the bodies.
+PERMISSION = """
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions.
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+The Software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability,
+fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other
+liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings
+in the Software.
+"""
+REDISTRIBUTION = """
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+"""
+ENDORSEMENT = """
+Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission.
+"""
+DISCLAIMER = """
+This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the
+implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be
+liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute
+goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict
+liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such
+damage.
+"""
+PLAIN_PERMISSION = """
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright
+notice and this permission notice appear in all copies. The software is provided "as is" and the author disclaims all warranties with regard to this
+software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or
+consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other
+tortious action, arising out of or in connection with the use or performance of this software.
+"""
+APACHE = """
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of
+the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the
+License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License.
+"""
+# The same words for three licenses.
+COPYLEFT = """
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation,
+either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but
+WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details. You
+should have received a copy of the GNU {kind} along with this program.
+"""
+PUBLIC_DOMAIN = """
+This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that
+recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make
+this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law.
+"""
+ZLIB = """
+This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the
+use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions. The origin of this software must not be misrepresented; you must not claim that you wrote
+the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or
+altered from any source distribution.
+"""
+MOZILLA = """
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can
+obtain one at http://mozilla.org/MPL/2.0/.
+"""
+BOOST = """
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following.
+"""
+BODIES = (
+    ("mit", PERMISSION, "permission is hereby granted free of charge to any person obtaining"),
+    ("bsd", REDISTRIBUTION + DISCLAIMER, "redistribution and use in source and binary forms"),
+    ("bsd-3-clause", REDISTRIBUTION + ENDORSEMENT + DISCLAIMER, "endorse or promote products derived from this software"),
+    ("isc", PLAIN_PERMISSION, "distribute this software for any purpose"),
+    ("apache-2.0", APACHE, "apache license version 2"),
+    *((f"{label}-{version}.0", COPYLEFT.format(kind=kind, version=version), f"terms of the gnu {kind.lower()}") for label, kind in
+      (("gpl", "General Public License"), ("lgpl", "Lesser General Public License"), ("agpl", "Affero General Public License")) for version in (2, 3)),
+    ("unlicense", PUBLIC_DOMAIN, "free and unencumbered software"),
+    ("zlib", ZLIB, "permission is granted to anyone to use this software"),
+    ("mpl-2.0", MOZILLA, "mozilla public license"),
+    ("bsl-1.0", BOOST, "person or organization obtaining a copy"),
+)
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Of a candidate as one number: template above, start plus this offset below.
@@ -72,12 +170,25 @@ class Template:
 
     @classmethod
     def of(cls, label: str, text: str, key: str, base: bool = False) -> Template:
-        words, own = text.split(), key.split()
+        words, own = WORD.findall(text.lower()), key.split()
         start = next(k for k in range(len(words)) if words[k : k + len(own)] == own)
         return cls(label, tuple(words), start, len(own), base)
 
 
-TEMPLATES = (*(Template.of(label, text, text, True) for label, text in BASE), *(Template.of(*n) for n in NOTICES))
+WORD = re.compile("[a-z0-9]+")
+
+
+def of_body(label: str, body: str, key: str) -> list[Template]:
+    """The whole body; and, as longer texts are rarely without a change, the sentence that has its key phrase."""
+    sentences = [t for t in re.split(r"[.;:](?=\s)", body) if key in " ".join(WORD.findall(t.lower()))]
+    return [Template.of(label, body, key), *(Template.of(label, t, key) for t in sentences if len(WORD.findall(t.lower())) >= SENTENCE)]
+
+
+TEMPLATES = (
+    *(Template.of(label, text, text, True) for label, text in BASE),
+    *(Template.of(*n) for n in NOTICES),
+    *(t for body in BODIES for t in of_body(*body)),
+)
 
 
 def words_column(text: str = "text") -> Column:
@@ -101,23 +212,34 @@ def weights_of(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) ->
     return {w: math.log((total + 1) / (count.get(w, 0) + 0.5)) for w in vocabulary}
 
 
+def postings_of(templates: tuple[Template, ...], weight: dict[str, float]) -> dict[str, list[int]]:
+    """The index: of each template the highest-weighed words that hold more than 1 - ENOUGH of its weight."""
+    out: dict[str, list[int]] = {}
+    for k, t in enumerate(templates):
+        needed = (1 - ENOUGH) * sum(weight[w] for w in t.words) * (1 + 1e-9)
+        for word in sorted(set(t.words), key=lambda w: (-weight[w], w)):
+            places = [at for at, w in enumerate(t.words) if w == word]
+            out.setdefault(word, []).extend(k * PLACE + SHIFT - at for at in places)
+            needed -= weight[word] * len(places)
+            if needed < 0:
+                break
+    return out
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places) of every document.
 
     ``places`` lists what was verified: label, first word, words, matched share.
     """
     weight = {w: max(v, 1e-3) for w, v in weights_of(docs, templates).items()}
-    postings: dict[str, list[int]] = {}
-    for k, t in enumerate(templates):
-        for word in sorted(set(t.words), key=lambda w: (-weight[w], w))[:RARE]:
-            postings.setdefault(word, []).extend(k * PLACE + SHIFT - at for at, w in enumerate(t.words) if w == word)
-    index = F.create_map(*(x for w, p in sorted(postings.items()) for x in (F.lit(w), F.array(*map(F.lit, p)))))
-    facts = F.array(*(
-        F.struct(
-            F.lit(t.label).alias("label"), F.array(*map(F.lit, t.words)).alias("words"), F.array(*(F.lit(weight[w]) for w in t.words)).alias("weights"),
-            F.lit(sum(weight[w] for w in t.words)).alias("total"), F.lit(t.key_start).alias("key_start"), F.lit(t.key_length).alias("key_length"), F.lit(t.base).alias("base"),
-        ) for t in templates
-    ))
+    postings = postings_of(templates, weight)
+    # Constants as JSON, which the optimizer reads once.
+    index = F.from_json(F.lit(json.dumps(postings)), "map<string, array<bigint>>")
+    said = [
+        {"label": t.label, "words": t.words, "weights": [weight[w] for w in t.words], "total": sum(weight[w] for w in t.words), "key_start": t.key_start, "key_length": t.key_length, "base": t.base}
+        for t in templates
+    ]
+    facts = F.from_json(F.lit(json.dumps(said)), "array<struct<label string, words array<string>, weights array<double>, total double, key_start int, key_length int, base boolean>>")
     rare = sorted(postings)
     spots = F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
     begins = F.flatten(F.transform("spots", lambda i: F.transform(F.element_at(index, F.get("words", i)), lambda p: p + i)))
