@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from payspark.llm.arrowtext import annotate, as_strings, data_of, offsets_of, slices
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "iban", "ssn")
 STRICT = 4
 LABELERS = 7
 
@@ -49,17 +49,25 @@ PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 # Looser patterns, and what the labelers know.
 LOOSE_PHONE = re.compile(rb"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])")
 HIDDEN_AT = re.compile(rb"[\[(](?:at|AT)[\])]")
-HIDDEN_DOMAIN = re.compile(rb" ?[A-Za-z0-9-]{1,63}(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){1,8}")
+HIDDEN_DOMAIN = re.compile(rb" ?[A-Za-z0-9-]+(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+")
+IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+SSN = re.compile(rb"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 SECRET = re.compile(rb"[=:] ?[\"']?([A-Za-z0-9_/+-]{16,})")
 ENDINGS = frozenset("com org net edu gov mil int info biz io co ai dev app eu uk de fr es it nl be ch at pl pt se no dk fi ie us ca mx br ar au nz jp cn in ru".split())
 COUNTRIES = tuple("1 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 58 60 61 62 63 64 65 66 7 81 82 84 86 90 91 92 93 94 95 98".split())
-SECRET_HEADS = ("sk-", "pk-", "ghp_", "xox", "AKIA", "eyJ")
+BANKS = frozenset(
+    "AD AE AL AT AZ BA BE BG BH BR CH CR CY CZ DE DK DO EE ES FI FO FR GB GE GI GL GR GT HR HU IE IL IS IT JO KW KZ LB LC LI LT LU LV MC MD ME MK MR MT MU"
+    " NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM TN TR UA VA VG XK".split()
+)
+SECRET_HEADS = ("sk-", "pk-", "rk_", "ghp_", "gho_", "github_pat_", "glpat-", "xox", "AKIA", "ASIA", "AIza", "ya29.", "eyJ", "hf_", "npm_", "SG.")
 CONTEXT = {
     "email": re.compile(r"e-?mail|contact|write|reach|address|correo|courriel|kontakt", re.I),
     "ip": re.compile(r"\bip\b|host|server|addr|login|client|from", re.I),
     "card": re.compile(r"card|visa|master|amex|credit|debit|pay|tarjeta|carte|karte", re.I),
     "phone": re.compile(r"phone|tel|call|mobile|cell|fax|tél|anruf|llam", re.I),
     "secret": re.compile(r"token|secret|api.?key|passw|pwd|credential|private|bearer", re.I),
+    "iban": re.compile(r"iban|account|bank|transfer|cuenta|konto|compte", re.I),
+    "ssn": re.compile(r"ssn|social|security|insured|patient|tax", re.I),
 }
 AGAINST = re.compile(r"(version|release|isbn|issn|page|pp|fig|figure|section|chapter|sha1|sha256|md5|commit|http|https|www|no|nr|№|[$€£#v])\W{0,3}$", re.I)
 
@@ -113,7 +121,7 @@ def loose_spans(data: bytes) -> Iterator[tuple[int, int, int]]:
     for at in HIDDEN_AT.finditer(data):
         end = at.start() - (data[at.start() - 1 : at.start()] == b" ")
         start = end
-        while start > 0 and end - start < 64 and data[start - 1] in LOCAL:
+        while start > 0 and data[start - 1] in LOCAL:
             start -= 1
         if start < end and (found := HIDDEN_DOMAIN.match(data, at.end())):
             yield 0, start, found.end()
@@ -124,6 +132,15 @@ def loose_spans(data: bytes) -> Iterator[tuple[int, int, int]]:
         yield 3, found.start(), found.end()
     for found in SECRET.finditer(data):
         yield 4, *found.span(1)
+    for kind, pattern in ((5, IBAN), (6, SSN)):
+        for found in pattern.finditer(data):
+            yield kind, *found.span()
+
+
+def account(own: str) -> bool:
+    """The check of an account number: its letters as numbers, country and check digits last, leave 1 by 97."""
+    plain = own.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
 def votes(data: bytes, kind: int, start: int, end: int, strict: bool) -> int:
@@ -141,6 +158,10 @@ def votes(data: bytes, kind: int, start: int, end: int, strict: bool) -> int:
         fine, listed = 2 if luhn("".join(digits).encode()) else 0, 2 if digits[0] in "3456" else 0
     elif kind == 3:
         fine, listed = 2 if 10 <= len(digits) <= 13 else 0, 2 if own[0] == "+" and "".join(digits).startswith(COUNTRIES) else 1
+    elif kind == 5:
+        fine, listed = 2 if account(own) else 0, 2 if own[:2] in BANKS else 0
+    elif kind == 6:
+        fine, listed = 0 if own[:3] in ("000", "666") or own[0] == "9" or own[4:6] == "00" or own[7:] == "0000" else 2, 1
     else:
         fine, listed = 2 if digits and any(c.isalpha() for c in own) else 0, 2 if own.startswith(SECRET_HEADS) else 1
     near = (data[start - 1 : start] + data[end : end + 1]).decode(errors="ignore")

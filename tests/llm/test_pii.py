@@ -43,6 +43,52 @@ def test_strict_spans(texts):
     assert strict(texts) == [brute(t) for t in texts]
 
 
+LOOSE = {
+    0: r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]+(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+",
+    2: r"[0-9](?:[\x20-]?[0-9])+",
+    3: r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])",
+    4: r"(?<=[=:])( ?[\"']?)([A-Za-z0-9_/+-]{16,})",
+    5: r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    6: r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+}
+SEEN = [
+    "write " + "long.local.part" * 12 + " [at] " + "sub-domain" * 9 + " (dot) example [dot] org now", "me(at)x.y.z.a.b.c.d.e.f.g.h.i.org", "card 1234 5678 9012 3456 no", "tel (555) 123-4567 or 555.123.4567",
+    "key = 'abcd1234efgh5678ijkl' and x:0123456789abcdef0", "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432.", "ssn 123-45-6789 not 1123-45-6789", "a@b.c [at] d.e 1.2.3.4",
+]
+
+
+def plain_added(text):
+    strict_ones = brute(text)
+    out = []
+    for kind, pattern in LOOSE.items():
+        for m in re.finditer(pattern, text):
+            a, b = m.span(2) if kind == 4 else m.span()
+            size = len(re.sub("[^0-9]", "", m.group()))
+            if (kind != 2 or 13 <= size <= 19) and not any(x < b and a < y for _, x, y in strict_ones):
+                out.append((kind, a, b))
+    return sorted(out)
+
+
+def test_added_candidates_are_those_of_plain_patterns():
+    for text in SEEN:
+        assert [c[:3] for c in P.candidates(pa.array([text]))[1] if not c[3]] == plain_added(text), text
+    assert [k for t in SEEN for k, *_ in plain_added(t)].count(5) == 2
+
+
+def test_added_spans(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(SEEN * 40)], "doc_id long, text string")
+    model = P.fit(docs)
+    found, name = P.find_personal_data(docs, model)
+    for r in found.collect():
+        want = [(k, a, b, True) for k, a, b in brute(r.text)]
+        for kind, a, b in plain_added(r.text):
+            pattern = np.array([P.votes(r.text.encode(), kind, a, b, False)])
+            if model.probability(np.array([kind]), pattern)[0] >= 0.5:
+                want.append((kind, a, b, False))
+        assert r[name].spans == ",".join(f"{P.KINDS[k]}:{a}:{b}" for k, a, b, _ in sorted(want))
+    assert P.account("GB82WEST12345698765432") and not P.account("GB82WEST12345698765433")
+
+
 def test_long_runs_take_linear_time():
     text = "a" * 300_000 + "@ " + "1" * 300_000 + ". " + "1." * 100_000 + " +" * 50_000 + "@" * 100_000
     assert strict([text]) == [[(1, s, e) for _, s, e in strict([text])[0]]]
