@@ -1,13 +1,15 @@
 """Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 A text's words are lower-cased as in ``simhash``; fewer than five words are
-one shingle. At 0.8 some ten of 64 SimHash bits differ, and blocks that two
-such fingerprints surely share are three or four bits wide, so tiles of blocks
-would compare all with all. Candidates come from min-hashes instead: ``BANDS``
-times ``ROWS`` least values of a text's shingles under different orders; texts
-that share all least values of a band are candidates. A pair at 0.8 shares
-none with a probability of (1 - 0.8^5)^40, about 1 in 8 million; a more similar
-pair with less. Texts of equal words are one from the start.
+one shingle. Candidates come from the SimHash fingerprints of these shingles,
+by the tiles of ``simhash``, and from min-hashes, as fingerprints don't reach
+down to 0.8: some ten of 64 bits differ there, and blocks that two such
+fingerprints surely share are three or four bits wide, so tiles of blocks
+would compare all with all. Of min-hashes there are ``BANDS`` times ``ROWS``
+least values of a text's shingles under different orders; texts that share all
+least values of a band are candidates. A pair at 0.8 shares none with a
+probability of (1 - 0.8^5)^40, about 1 in 8 million; a more similar pair with
+less. Texts of equal words are one from the start.
 
 Each component of candidates is compared in full with exact counts of common
 shingles. One with more than ``TILE_TEXTS`` texts or ``TILE_SHINGLES``
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from payspark.llm.arrowtext import as_strings, free_name, slices
 from payspark.llm.checkpoints import saved
 from payspark.llm.components import components
-from payspark.llm.simhash import shingle_hashes
+from payspark.llm.simhash import links_of, majority, shingle_hashes
 
 WIDTH, BANDS, ROWS = 5, 40, 5
 #: Texts, and shingles, of a candidate component's part.
@@ -58,7 +60,7 @@ def bands_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(row, key, size, bands) of rows (row, text): a hash of all words, how many shingles, the bands."""
+    """(row, key, size, fp, bands) of rows (row, text): a hash of all words, how many shingles, the fingerprint, the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,9 +71,9 @@ def sketches(rows: DataFrame) -> DataFrame:
                 bands = bands_of(hashes, counts)
                 bounds = np.concatenate([[0], np.cumsum(BANDS * (counts > 0))]).astype(np.int32)
                 found = pa.ListArray.from_arrays(pa.array(bounds), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(keys, pa.binary()), pa.array(counts.astype(np.int64)), found], names=["row", "key", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(keys, pa.binary()), pa.array(counts.astype(np.int64)), pa.array(majority(hashes, counts).view(np.int64)), found], names=["row", "key", "size", "fp", "bands"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, key binary, size long, bands array<long>")
+    return rows.select("row", "text").mapInArrow(run, "row long, key binary, size long, fp long, bands array<long>")
 
 
 def chains(bands: DataFrame) -> DataFrame:
@@ -88,6 +90,16 @@ def chains(bands: DataFrame) -> DataFrame:
     return bands.select("band", "row").repartition("band").sortWithinPartitions("band").mapInArrow(run, "a long, b long")
 
 
+def print_links(texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join the rows of ``texts`` (row, fp) whose fingerprints are equal or linked."""
+    prints = saved(texts.groupBy("fp").agg(F.min("row").alias("own")))
+    equal = texts.join(prints, "fp").where("row <> own").select(F.col("row").alias("a"), F.col("own").alias("b"))
+    linked = links_of(prints.select("fp"))
+    for end in "ab":
+        linked = linked.join(prints.select(F.col("fp").alias(end), F.col("own").alias(f"row_{end}")), end)
+    return equal.unionByName(linked.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")))
+
+
 def shingle_sets(rows: DataFrame) -> DataFrame:
     """(row, shingles) of rows (row, text): the sorted distinct hashes as bytes."""
 
@@ -161,7 +173,8 @@ def groups(rows: DataFrame, tile_texts: int = TILE_TEXTS, tile_shingles: int = T
     found = saved(sketches(rows))
     firsts = saved(found.groupBy("key").agg(F.min("row").alias("first")))
     distinct = found.join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
-    near = components(chains(distinct.select("row", F.explode("bands").alias("band"))))
+    links = chains(distinct.select("row", F.explode("bands").alias("band"))).unionByName(print_links(distinct.select("row", "fp")))
+    near = components(links)
     members = saved(near.join(found.select(F.col("row").alias("node"), "size"), "node").select(F.col("node").alias("row"), "root", "size"))
     parts = F.greatest(F.ceil(F.count("*") / tile_texts), F.ceil(F.sum("size") / tile_shingles)).cast("int")
     dealt = members.join(members.groupBy("root").agg(parts.alias("parts")), "root")

@@ -4,6 +4,8 @@ import re
 
 import corpus_pipeline
 from payspark.llm import queries
+from test_decontaminate import brute as brute_hits
+from test_near_copies import brute_groups
 
 DOCUMENTS = "/root/testdata/sf0.001"
 
@@ -25,9 +27,12 @@ def test_stages(spark):
             mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
             assert not any(mail.search(r.text) for r in rows.values()) and all(r.n_chars == len(r.text) for r in rows.values())
         if name == "simhash near-dedup":
-            from tests_support import groups_of
-
-            assert set(rows) == {min(g) for g in groups_of({k: r.text for k, r in old.items()})}
+            ids = sorted(old)
+            assert set(rows) == {ids[min(g)] for g in brute_groups([old[k].text for k in ids])}
+        if name == "benchmark decontamination":
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DOCUMENTS}/benchmark.parquet").collect()]
+            hit = [w[4] for w in brute_hits([old[k].text for k in sorted(old)], items)]
+            assert set(rows) == {k for k, h in zip(sorted(old), hit) if not h}
         docs = after
     assert 0 < len(rows) < before
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DOCUMENTS).collect()
@@ -36,6 +41,31 @@ def test_stages(spark):
     assert sorted((r.doc_id, r.start, r.ids_crc32) for r in packed) == sorted((r.doc_id, r.start, r.ids_crc32) for r in corpus_pipeline.run(spark, DOCUMENTS).collect())
 
 
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, null ids, further columns with the stages' own names, empty tables."""
+    from pyspark.sql import functions as F
+
+    names = ["row", "key", "kept", "result", "result_", "text_", "ids", "score", "label", "idx"]
+    base = spark.read.parquet(f"{DOCUMENTS}/documents.parquet")
+    first = base.where("doc_id < 60")
+    odd = first.limit(3).withColumn("doc_id", F.lit(None).cast("long")).unionByName(first.limit(2)).unionByName(first.limit(2).withColumn("text", F.lit(None).cast("string")))
+    odd = odd.unionByName(first.limit(1).withColumns({"doc_id": F.lit(900_001).cast("long"), "text": F.lit("")}))
+    odd = odd.unionByName(first.limit(1).withColumns({"doc_id": F.lit(900_002).cast("long"), "text": F.repeat(F.lit("a long line of plain words here\n"), F.lit(60_000))}))
+    whole = first.unionByName(odd).withColumns({n: F.lit(n) for n in names})
+    for rows, sub in ((whole, "odd"), (whole.limit(0), "empty")):
+        folder = str(tmp_path / sub)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            own = spark.read.parquet(f"{DOCUMENTS}/{table}.parquet")
+            (own if sub == "odd" else own.limit(0)).write.parquet(f"{folder}/{table}.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.saved(stage(spark, docs, folder))
+            assert docs.columns == rows.columns
+        packed = corpus_pipeline.run(spark, folder)
+        assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count() and (sub == "odd") == (packed.count() > 0)
+
+
 def test_registry():
     import __spark_entry__ as entry
 
