@@ -1,4 +1,4 @@
-"""The queries of this subpackage by name, and DuckDB SQL where it expresses them."""
+"""The queries of this subpackage by name; ``ORACLE_SQL`` has DuckDB SQL where it expresses them."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from payspark.llm.packing import packing
 from payspark.llm.pii import personal_data
 from payspark.llm.rules import quality_rules
 from payspark.llm.simhash import simhash
+from payspark.llm.sql import ORACLE_SQL  # noqa: F401 - part of this module's interface
 from payspark.llm.substrings import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,5 +30,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": quality_rules,
     "op10_packing": packing,
 }
-
-ORACLE_SQL: dict[str, str] = {}
