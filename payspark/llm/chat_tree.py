@@ -32,6 +32,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -60,22 +61,57 @@ TREE = "node binary, parent binary, depth long, start long, position long, n_tok
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+# Fixed value: how the vocabulary's own tokenizer splits text into parts.
+PARTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    import os
+class RankedTokenizer:
+    """A byte-level vocabulary given as a list of ranks."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in (row.split() for row in file if row.strip())}
+        self.own = tiktoken.Encoding("vocabulary", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; nothing in it is a control token."""
+        return [self.own.encode_ordinary(t) for t in texts]
+
+    def decode(self, pieces: list[list[int]]) -> list[str]:
+        return [self.own.decode_bytes(p).decode() for p in pieces]
+
 
-    from tokenizers import Tokenizer
+class FileTokenizer:
+    """A byte-level vocabulary with its rules in one file."""
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    def __init__(self, path: str):
+        import os
+
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        self.own = Tokenizer.from_file(path)
+        self.own.encode_special_tokens = True
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; nothing in it is a control token."""
+        return [found.ids for found in self.own.encode_batch(texts, add_special_tokens=False)]
+
+    def decode(self, pieces: list[list[int]]) -> list[str]:
+        return self.own.decode_batch(pieces, skip_special_tokens=False)
+
+
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> RankedTokenizer | FileTokenizer:
+    return RankedTokenizer(path) if path.endswith(".tiktoken") else FileTokenizer(path)
 
 
 def escape(text: str) -> str:
@@ -142,14 +178,14 @@ def encode_turns(conversations: DataFrame, vocabulary: str | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(vocabulary or default_tokenizer())
-        encoded = lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.int32)
+        encoded = lambda text: np.array(own.encode([text])[0], np.int32)
         foot, heads = encoded(f"{END}\n"), {}
         row, talk, last, node, path = TaskContext.get().partitionId() << 36, -1, None, ROOT, bytearray()
         for part in (p for b in batches for p in slices(b, limit=SLICE)):
             roles, texts = part.column("role").to_pylist(), part.column("text").to_pylist()
             pieces: list[np.ndarray] = []
             out: list[list] = [[] for _ in range(7)]
-            for conv, role, text, coded in zip(part.column("conv_id").to_pylist(), roles, texts, own.encode_batch([escape(t) for t in texts], add_special_tokens=False)):
+            for conv, role, text, coded in zip(part.column("conv_id").to_pylist(), roles, texts, own.encode([escape(t) for t in texts])):
                 if talk < 0 or conv is None or conv != last:
                     if path:
                         yield path_row(path)
@@ -157,7 +193,7 @@ def encode_turns(conversations: DataFrame, vocabulary: str | None = None) -> Dat
                 if role not in heads:
                     heads = heads if len(heads) < 1000 else {}
                     heads[role] = encoded(header(role))
-                head, body = heads[role], np.array(coded.ids, np.int32)
+                head, body = heads[role], np.array(coded, np.int32)
                 pieces += [head, body, foot]
                 named = role.encode()
                 parent, node = node, hashlib.blake2b(node + len(named).to_bytes(8, "little") + named + text.encode(), digest_size=16).digest()
@@ -319,7 +355,7 @@ def decoded(batch: pa.RecordBatch, own) -> Iterator[tuple[str, str]]:
     for low, high, a, b in zip(bounds[:-1], bounds[1:], batch.column("loss_start").to_pylist(), batch.column("loss_end").to_pylist()):
         cuts = (low, low + a, low + b, high) if b > a else (low, high, high, high)
         pieces += [values[x:y].tolist() for x, y in zip(cuts[:-1], cuts[1:])]
-    texts = iter(own.decode_batch(pieces, skip_special_tokens=False))
+    texts = iter(own.decode(pieces))
     for head, body, foot in zip(texts, texts, texts):
         yield head + body + foot, unescape(body)
 
