@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from payspark.sources.checkpoints import settled
+
 #: Ties of a period go by id.
 ORDER = ("periodo", "id")
 
@@ -43,11 +45,41 @@ def pay_series_long(rows: DataFrame) -> DataFrame:
     return pays.orderBy("series", *ORDER)
 
 
+def ranked(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, n, first, total): distinct values, how often each comes, the rank from 0 of its first place, and
+    the size of its group.
+
+    Values are counted before they are shuffled and dealt out by ranges, so a
+    group of any size is spread over tasks; what one of them has of a group is
+    a row in a small table, from which the next one's ranks go on.
+    """
+    counted = rows.groupBy(group, value).agg(F.count("*").alias("n")).repartitionByRange(group, value)
+    parts = settled(counted.withColumn("part", F.spark_partition_id()))
+    sums = parts.groupBy(group, "part").agg(F.sum("n").alias("own"))
+    whole = Window.partitionBy(group)
+    before = F.sum("own").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    known = sums.select(F.col(group).alias("in_group"), F.col("part").alias("in_part"), F.coalesce(before, F.lit(0)).alias("before"), F.sum("own").over(whole).alias("total"))
+    here = F.sum("n").over(Window.partitionBy("part", group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    joined = parts.withColumn("here", F.coalesce(here, F.lit(0))).join(known, F.col(group).eqNullSafe(F.col("in_group")) & (F.col("part") == F.col("in_part")))
+    return joined.select(group, value, "n", (F.col("before") + F.col("here")).alias("first"), "total")
+
+
 def pay_ranges(rows: DataFrame) -> DataFrame:
     """Quartiles (interpolated), extremes and number of gross pays of each company."""
-    pay = "total_devengado"
-    quartile = [F.percentile(pay, q / 4).alias(n) for q, n in ((1, "q1"), (2, "median"), (3, "q3"))]
-    return valid(rows).groupBy("empresa").agg(F.min(pay).alias("lowest"), *quartile, F.max(pay).alias("highest"), F.count("*").alias("documents"))
+    pay = F.col("total_devengado")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("first") <= place) & (place < F.col("first") + F.col("n")), pay))
+
+    def quartile(share: float) -> Column:
+        place = (F.col("total") - 1) * share
+        low, high, here = F.floor(place), F.ceil(place), F.max(place)
+        between = (F.max(high) - here) * at(low) + (here - F.max(low)) * at(high)
+        return F.when(F.max(low) == F.max(high), at(low)).otherwise(between)
+
+    quartiles = [quartile(q / 4).alias(n) for q, n in ((1, "q1"), (2, "median"), (3, "q3"))]
+    found = ranked(valid(rows).select("empresa", "total_devengado"), "empresa", "total_devengado")
+    return found.groupBy("empresa").agg(F.min(pay).alias("lowest"), *quartiles, F.max(pay).alias("highest"), F.sum("n").alias("documents"))
 
 
 def outliers(rows: DataFrame) -> DataFrame:

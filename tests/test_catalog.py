@@ -50,6 +50,15 @@ def test_analytics_edges(spark):
     assert [r.total_devengado for r in analytics.outliers(many).collect()] == [90.0]
 
 
+def test_quartiles_of_skewed_groups(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("AAAAAAAB") if k % 50 else None, float(rnd.choice([1, 2, 2, 3, 50, rnd.randrange(1, 10**4)]))) for k in range(3000)] + [("one", 5.0), ("two", 1.0), ("two", 2.0)]
+    table = spark.createDataFrame(rows, "empresa string, total_devengado double").repartition(5)
+    expected = table.groupBy("empresa").agg(*(F.percentile("total_devengado", q / 4).alias(n) for q, n in ((1, "q1"), (2, "median"), (3, "q3"))), F.count("*").alias("documents"))
+    plain = lambda frame: {r.empresa: (r.q1, r.median, r.q3, r.documents) for r in frame.collect()}
+    assert plain(analytics.pay_ranges(table)) == plain(expected) and len(plain(expected)) == 5
+
+
 def test_scan_reads_needed_columns(spark):
     found = catalog.new_store(spark, catalog.documents_of(spark, DATA)).certificates().select("id", "total_devengado")
     plan = found._jdf.queryExecution().executedPlan().toString()
