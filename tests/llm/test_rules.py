@@ -44,6 +44,17 @@ def test_forest_isolates_outliers():
     assert kept[good].mean() >= R.KEEP_GOOD - 0.01 and kept[~good].mean() < 0.5
 
 
+def plain_score(forest, row):
+    """One row walked down every tree by itself."""
+    total = 0.0
+    for feature, cut, length in zip(forest.feature, forest.cut, forest.length):
+        node = 0
+        while feature[node] >= 0:
+            node = 2 * node + (1 if row[feature[node]] < cut[node] else 2)
+        total += length[node]
+    return 2 ** (-total / len(forest.feature) / forest.norm)
+
+
 def test_judge(spark):
     good = [(k, " ".join(f"word{k}x{i}" for i in range(40)), "c") for k in range(60)]
     bad = [(100 + k, " ".join(f"w{i}#$%&***" for i in range(40 + k)), "c") for k in range(8)]
@@ -57,6 +68,13 @@ def test_judge(spark):
     for k, t in enumerate(TEXTS):
         assert [rows[900 + k][c] for c in R.BASE] == brute(t)
     assert rows[900].base_failed and not rows[900].kept and rows[None].n_words == 2
+    forest = R.fit(docs, labels)
+    assert forest.threshold < np.inf
+    for r in judged.collect():
+        base, matrix = R.statistics(pa.array([r.text or ""]))
+        score = plain_score(forest, matrix[0])
+        failed = base["n_words"][0] < 10 or 100 * base["n_repeat_words"][0] > 20 * base["n_words"][0]
+        assert np.isclose(r[name].anomaly, score) and r[name].kept == (not failed and score <= forest.threshold)
     nothing, name = R.judge(docs, R.fit(docs, labels.limit(0)))
     assert all(r[name].kept != r[name].base_failed for r in nothing.collect())
     assert R.judge(docs.limit(0), None)[0].count() == 0
