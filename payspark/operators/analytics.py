@@ -58,7 +58,9 @@ def ranked(rows: DataFrame, group: str, value: str) -> DataFrame:
     sums = parts.groupBy(group, "part").agg(F.sum("n").alias("own"))
     whole = Window.partitionBy(group)
     before = F.sum("own").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    known = sums.select(F.col(group).alias("in_group"), F.col("part").alias("in_part"), F.coalesce(before, F.lit(0)).alias("before"), F.sum("own").over(whole).alias("total"))
+    known = sums.select(
+        F.col(group).alias("in_group"), F.col("part").alias("in_part"), F.coalesce(before, F.lit(0)).alias("before"), F.sum("own").over(whole).alias("total")
+    )
     here = F.sum("n").over(Window.partitionBy("part", group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
     joined = parts.withColumn("here", F.coalesce(here, F.lit(0))).join(known, F.col(group).eqNullSafe(F.col("in_group")) & (F.col("part") == F.col("in_part")))
     return joined.select(group, value, "n", (F.col("before") + F.col("here")).alias("first"), "total")
@@ -86,7 +88,9 @@ def outliers(rows: DataFrame) -> DataFrame:
     """Gross pays over 1.5 interquartile ranges from the quartiles of their company."""
     wide = pay_ranges(rows).withColumn("reach", 1.5 * (F.col("q3") - F.col("q1"))).select("empresa", "q1", "q3", "reach")
     joined = valid(rows).join(wide, "empresa")
-    return joined.where((F.col("total_devengado") < F.col("q1") - F.col("reach")) | (F.col("total_devengado") > F.col("q3") + F.col("reach"))).select("id", "empresa", "periodo", "total_devengado")
+    pay = F.col("total_devengado")
+    far = (pay < F.col("q1") - F.col("reach")) | (pay > F.col("q3") + F.col("reach"))
+    return joined.where(far).select("id", "empresa", "periodo", "total_devengado")
 
 
 def tax_series(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from payspark.functions.text import captured, cents, found
 from payspark.operators.formats.base import PayslipFormat, or_zero
 from payspark.schema import MISSING_NET, MISSING_PERIOD, MISSING_TOTALS
 
-# The layout's patterns.
+# The company's name and tax id, the layout's patterns.
+COMPANY, TAX_ID = "Alten", "A28250271"
 PERIOD = r"(\d{4})(\d{2})"
 GATE = r"TOTAL\s+DEVENGADO\s+TOTAL\s+DEDUCCIONES\s+[\d.,]+\s+[\d.,]+"
 TOTALS = r"TOTAL\s+DEVENGADO\s+TOTAL\s+DEDUCCIONES\s*[\n\s]*([\d\.,]+)\s+([\d\.,]+)"
@@ -53,4 +54,4 @@ def errors(raw, number, flag):
     ]
 
 
-FORMAT = PayslipFormat("alten", "Alten", "A28250271", captures, lambda text: {"gate": found(text, GATE, "i")}, totals, details, errors, clean=rejoin_numbers)
+FORMAT = PayslipFormat("alten", COMPANY, TAX_ID, captures, lambda text: {"gate": found(text, GATE, "i")}, totals, details, errors, clean=rejoin_numbers)

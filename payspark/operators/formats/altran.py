@@ -8,7 +8,8 @@ from payspark.functions.text import captured, cents, found
 from payspark.operators.formats.base import PayslipFormat, not_negative, or_zero, unless_zero, unparsable
 from payspark.schema import MISSING_PERIOD, MISSING_TOTALS, RAW_AMOUNT_ERROR
 
-# The layout's patterns.
+# The company's name and tax id, the layout's patterns.
+COMPANY, TAX_ID = "Altran", "B80428972"
 PERIOD = r"(\d{4})_?(\d{2})"
 TOTALS_GATE = r"Totales\s+[\d.,]+\s+[\d.,]+"
 NET_GATE = r"Líquido a percibir\s+[\d.,]+"
@@ -48,4 +49,8 @@ def errors(raw, number, flag):
     return [(raw("year").isNull(), MISSING_PERIOD), (~flag("gate"), MISSING_TOTALS), (bad, RAW_AMOUNT_ERROR)]
 
 
-FORMAT = PayslipFormat("altran", "Altran", "B80428972", captures, lambda text: {"gate": found(text, TOTALS_GATE) & found(text, NET_GATE, "i")}, totals, details, errors)
+def flags(text):
+    return {"gate": found(text, TOTALS_GATE) & found(text, NET_GATE, "i")}
+
+
+FORMAT = PayslipFormat("altran", COMPANY, TAX_ID, captures, flags, totals, details, errors)

@@ -11,7 +11,8 @@ from payspark.operators.formats import altran
 from payspark.operators.formats.base import PayslipFormat, not_negative, or_zero, unless_zero
 from payspark.schema import MISSING_PERIOD, MISSING_TOTALS
 
-# The layout's patterns.
+# The company's name and tax id, the layout's patterns.
+COMPANY, TAX_ID = "Exceltic", "B84242767"
 PERIOD = r"(\d{4})(\d{2})"
 GATES = (r"TOTAL\s+DEVENGO[^\d]*[\d.,]+", r"TOTAL\s+DEDU[^\d]*[\d.,]+", r"(?:LIQUIDO\s+)?TOTAL\s+A\s+PERCIBIR[^\d]*[\d.,]+")
 AMOUNTS = {
@@ -46,4 +47,4 @@ def flags(text):
     return {"gate": reduce(lambda a, b: a & b, (found(text, g, "i") for g in GATES))}
 
 
-FORMAT = PayslipFormat("exceltic", "Exceltic", "B84242767", captures, flags, totals, altran.details, errors)
+FORMAT = PayslipFormat("exceltic", COMPANY, TAX_ID, captures, flags, totals, altran.details, errors)

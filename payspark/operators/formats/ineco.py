@@ -8,7 +8,8 @@ from payspark.functions.text import captured, captured_or_empty, cents, found, s
 from payspark.operators.formats.base import PayslipFormat, or_zero, unless_zero, unparsable
 from payspark.schema import INVALID_TOTAL, MISSING_PERIOD, MISSING_TOTAL, MISSING_TOTALS, RAW_AMOUNT_ERROR, SETTLEMENT_UNSUPPORTED
 
-# The layout's patterns and words.
+# The company's name and tax id, the layout's patterns and words.
+COMPANY, TAX_ID = "Ingeniería y Economía del Transporte S.M.E. M.P. S.A.", "A28220168"
 PERIOD = r"(\d{2})\.(\d{2})\.(\d{4})\s+\d{2}\.\d{2}\.\d{4}"
 HEADER_GATE = r"Total\s+Devengos\s+Total\s+Deducciones"
 NET_GATE = r"Líquido\s+a\s+percibir:\s*[\d.,]+"
@@ -41,7 +42,8 @@ def captures(text, filename):
 
 def flags(text):
     upper = F.upper(text)
-    return {"gate": found(text, HEADER_GATE) & found(text, NET_GATE), "settlement": F.contains(upper, F.lit(SETTLEMENT)), "is_extra": F.contains(upper, F.lit(EXTRA))}
+    has = lambda word: F.contains(upper, F.lit(word))
+    return {"gate": found(text, HEADER_GATE) & found(text, NET_GATE), "settlement": has(SETTLEMENT), "is_extra": has(EXTRA)}
 
 
 def totals(raw, number):
@@ -75,4 +77,4 @@ def errors(raw, number, flag):
     ]
 
 
-FORMAT = PayslipFormat("ineco", "Ingeniería y Economía del Transporte S.M.E. M.P. S.A.", "A28220168", captures, flags, totals, details, errors)
+FORMAT = PayslipFormat("ineco", COMPANY, TAX_ID, captures, flags, totals, details, errors)

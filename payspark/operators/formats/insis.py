@@ -8,7 +8,8 @@ from payspark.functions.text import captured, cents, spaced_european
 from payspark.operators.formats.base import PayslipFormat, or_zero, unless_zero, unparsable
 from payspark.schema import INVALID_TOTAL, MISSING_PERIOD, MISSING_TOTAL, MISSING_TOTALS, RAW_AMOUNT_ERROR
 
-# The layout's patterns and words.
+# The company's name and tax id, the layout's patterns and words.
+COMPANY, TAX_ID = "INTELIGENCIA SISTEMATICA 4, S.L.", "B84225283"
 MONTHS = ("ENERO", "FEBRERO", "MARZO", "ABRIL", "MAYO", "JUNIO", "JULIO", "AGOSTO", "SEPTIEMBRE", "OCTUBRE", "NOVIEMBRE", "DICIEMBRE")
 PERIOD = r"P\s*e\s*r\s*í\s*o\s*d\s*o.*?DE\s+([A-Z]+)\s+DE\s+(\d{4})"
 GATES = ("TOTALDEVENGADO", "TOTALADEDUCIR", "LIQUIDOTOTALAPERCIBIR")
@@ -72,7 +73,8 @@ def details(number, total):
 def errors(raw, number, flag):
     bad = unparsable(raw("irpf_rate"), number("irpf_rate")) | unparsable(raw("irpf_amount"), number("irpf_amount"))
     required = lambda n: [(raw(n).isNull(), MISSING_TOTAL), (number(n).isNull(), INVALID_TOTAL)]
-    return [(raw("year").isNull(), MISSING_PERIOD), (~flag("gate"), MISSING_TOTALS), *required("gross"), (bad, RAW_AMOUNT_ERROR), *required("deductions"), *required("net")]
+    head = [(raw("year").isNull(), MISSING_PERIOD), (~flag("gate"), MISSING_TOTALS)]
+    return [*head, *required("gross"), (bad, RAW_AMOUNT_ERROR), *required("deductions"), *required("net")]
 
 
-FORMAT = PayslipFormat("insis", "INTELIGENCIA SISTEMATICA 4, S.L.", "B84225283", captures, flags, totals, details, errors, convert=spaced_european)
+FORMAT = PayslipFormat("insis", COMPANY, TAX_ID, captures, flags, totals, details, errors, convert=spaced_european)

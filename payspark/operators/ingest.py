@@ -47,7 +47,8 @@ def outcomes(documents: DataFrame, ids: DataFrame, order: str, registry: Registr
     agrees = matches_net(F.col("total_devengado"), F.col("total_deducir"), F.col("liquido_percibir")) if recheck else F.lit(True)
     ready = parsed.withColumn("_ready", fine & agrees)
     # Rows without an id can't meet; a null rank key would gather them in one task.
-    key = F.coalesce(F.when(F.col("_ready"), F.col("id")), F.concat(F.lit("\u0000"), F.col(order).cast("string"), F.lit("\u0000"), F.coalesce("filename", F.lit(""))))
+    own = F.concat(F.lit("\u0000"), F.col(order).cast("string"), F.lit("\u0000"), F.coalesce("filename", F.lit("")))
+    key = F.coalesce(F.when(F.col("_ready"), F.col("id")), own)
     ranked = ready.withColumn("_key", key).withColumn("_first", first_of_each(ready, "_key", order, "filename"))
     known = ids.select(F.col("id").alias("_key")).distinct().withColumn("_known", F.lit(True))
     joined = ranked.join(known, "_key", "left")
@@ -62,7 +63,8 @@ def outcomes(documents: DataFrame, ids: DataFrame, order: str, registry: Registr
 def summary_of(outcome: DataFrame) -> DataFrame:
     """One row: files, and how many of them were loaded, failed, mismatched or existed."""
     count = lambda o: F.count_if(F.col("outcome") == o)
-    return outcome.agg(F.count("*").alias("total"), count(LOADED).alias("loaded"), count(FAILED).alias("failed"), count(MISMATCHED).alias("mismatched"), count(EXISTS).alias("existing"))
+    counts = {"loaded": LOADED, "failed": FAILED, "mismatched": MISMATCHED, "existing": EXISTS}
+    return outcome.agg(F.count("*").alias("total"), *(count(o).alias(n) for n, o in counts.items()))
 
 
 def parse_file(spark: SparkSession, source: str | bytes, filename: str | None = None, extractor: Extractor = pdf_pages, registry: Registry = DEFAULT) -> DataFrame:
@@ -112,4 +114,5 @@ def ingest_company(documents: DataFrame, store: DocumentStore, key: str, order:
 def report(outcome: DataFrame) -> DataFrame:
     """A line of text for each file."""
     loaded = F.concat(F.lit("[OK] "), "filename", F.lit(" -> "), "periodo", F.lit(" "), F.format_number("liquido_percibir", 2))
-    return outcome.select("filename", F.when(F.col("outcome") == LOADED, loaded).otherwise(F.concat(F.lit("["), "outcome", F.lit("] "), "filename", F.lit(": "), "error_message")).alias("line"))
+    other = F.concat(F.lit("["), "outcome", F.lit("] "), "filename", F.lit(": "), "error_message")
+    return outcome.select("filename", F.when(F.col("outcome") == LOADED, loaded).otherwise(other).alias("line"))

@@ -78,7 +78,9 @@ def parse_documents(documents: DataFrame, registry: Registry = DEFAULT, only: st
     def read(f: PayslipFormat) -> Column:
         return F.struct(_struct(no_raw, captures[f.key], "string").alias("raw"), _struct(no_flag, f.flags(text), "boolean").alias("flag"))
 
-    raw, flag, number, total, amount = (lambda n: F.col(f"{mark}read")["raw"][n]), (lambda n: F.col(f"{mark}read")["flag"][n]), field("number"), field("total"), field("amount")
+    inside = lambda part: lambda n: F.col(f"{mark}read")[part][n]
+    raw, flag = inside("raw"), inside("flag")
+    number, total, amount = field("number"), field("total"), field("amount")
     dates = ("year", "month")
     no_number = _blank(tuple(c for c in CAPTURES if c not in dates), "double")
     when_read = [raw(c).try_cast("int").alias(c) for c in dates]
@@ -103,7 +105,8 @@ def parse_documents(documents: DataFrame, registry: Registry = DEFAULT, only: st
     fine = error.isNull()
     constant = lambda value: _by_format(registry, own, lambda f: F.lit(value(f)))
     values = {
-        "id": F.concat(when, F.lit("-"), constant(lambda f: f.suffix or f.key.upper()), F.when(extra, "-EXTRA").otherwise("")), "anio": number("year"), "mes": number("month"), "periodo": when,
+        "id": F.concat(when, F.lit("-"), constant(lambda f: f.suffix or f.key.upper()), F.when(extra, "-EXTRA").otherwise("")),
+        "anio": number("year"), "mes": number("month"), "periodo": when,
         "empresa": constant(lambda f: f.company), "cif": constant(lambda f: f.cif), "tipo": F.when(extra, EXTRA).otherwise(ORDINARY), "es_procesable": F.lit(True),
         "observaciones": F.concat(F.lit(NOTE), name), "categoria": raw("category"), "grupo_cotizacion": raw("group"),
     } | {c: amount(c) for c in PAYSLIP_AMOUNTS}

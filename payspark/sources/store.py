@@ -36,7 +36,8 @@ def payload_column(documents: DataFrame) -> Column:
 def to_stored(documents: DataFrame, *more: str) -> DataFrame:
     """Documents of any kind as stored rows; amounts that a kind lacks are 0.0. ``more`` columns are kept."""
     has = set(documents.columns)
-    values = {f.name: F.coalesce(F.col(f.name), F.lit(0.0)) if f.name in STORED_AMOUNTS and f.name in has else F.lit(0.0) if f.name in STORED_AMOUNTS else F.col(f.name) for f in STORED if f.name in has or f.name in STORED_AMOUNTS}
+    values = {n: F.col(n) for n in STORED.names if n in has and n not in STORED_AMOUNTS}
+    values |= {n: F.coalesce(F.col(n), F.lit(0.0)) if n in has else F.lit(0.0) for n in STORED_AMOUNTS}
     values["payload"] = payload_column(documents)
     values["es_procesable"] = F.coalesce(F.col("es_procesable").cast("int"), F.lit(1)) if "es_procesable" in has else F.lit(1)
     values["observaciones"] = F.coalesce(F.col("observaciones"), F.lit("")) if "observaciones" in has else F.lit("")
