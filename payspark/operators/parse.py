@@ -9,6 +9,7 @@ stages refer to fields instead of repeating expressions.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def _by_format(registry: Registry, key: Column, value: Callable[[PayslipFormat],
     return out
 
 
-def _stage(value: Column) -> Column:
+def _guarded(value: Column) -> Column:
     """``value`` as a stage that is computed once for each row.
 
     The condition holds always. As it is drawn at random, the optimizer
@@ -56,50 +57,47 @@ def _struct(blank: dict[str, Column], values: dict[str, Column], kind: str) -> C
     return F.struct(*(values[n].cast(kind).alias(n) if n in values else own for n, own in blank.items()))
 
 
-def parse_documents(documents: DataFrame, registry: Registry = DEFAULT, only: str | None = None) -> DataFrame:
-    """One row for each document (filename, text, and other columns that are kept).
+@lru_cache(maxsize=16)
+def _stages(registry: Registry, only: str | None, mark: str, application: str) -> list[tuple[str, Column]]:
+    """The stages in order, each a struct that refers to ``text``, ``filename``, ``format`` and the stages before it.
 
-    Adds the payslip's fields, null if it was rejected, ``format``, and
-    ``status`` (OK or ERROR) with ``error_code`` and ``error_message``. With
-    ``only`` every document is read as that format, without dispatch.
+    Building some thousand expressions takes seconds, so an application does
+    it once, not for each batch of a stream.
     """
-    given = [F.col(c) for c in documents.columns]
-    own, mark = F.col("format"), "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in documents.columns))
+    own = F.col("format")
     field = lambda stage: lambda name: F.col(f"{mark}{stage}")[name]
+    inside = lambda part: lambda name: F.col(f"{mark}read")[part][name]
     text, name = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("filename"), F.lit(""))
-    key = F.lit(only) if only else registry.key(text, name)
+    raw, flag, number, total, amount = inside("raw"), inside("flag"), field("number"), field("total"), field("amount")
     written = found(text, NOT_BLANK)
-    keyed = documents.select(*given, _stage(F.struct(F.when(written, key).alias("format"), written.alias("written"))).alias(f"{mark}key"))
-    keyed = keyed.select(*given, field("key")("format").alias("format"), field("key")("written").alias(f"{mark}written"))
+    key = F.lit(only) if only else registry.key(text, name)
+    stages = [("key", F.struct(F.when(written, key).alias("format"), written.alias("written")))]
+    stages.append(("clean", F.struct(F.coalesce(_by_format(registry, own, lambda f: f.clean(text) if f.clean else text), text).alias("text"))))
 
-    captures = {f.key: f.captures(f.clean(text) if f.clean else text, name) for f in registry.formats.values()}
+    clean = F.col(f"{mark}clean")["text"]
+    captures = {f.key: f.captures(clean, name) for f in registry.formats.values()}
     no_raw, no_flag = _blank((*CAPTURES, *LABELS), "string"), _blank(FLAGS, "boolean", False)
 
     def read(f: PayslipFormat) -> Column:
         return F.struct(_struct(no_raw, captures[f.key], "string").alias("raw"), _struct(no_flag, f.flags(text), "boolean").alias("flag"))
 
-    inside = lambda part: lambda n: F.col(f"{mark}read")[part][n]
-    raw, flag = inside("raw"), inside("flag")
-    number, total, amount = field("number"), field("total"), field("amount")
     dates = ("year", "month")
     no_number = _blank(tuple(c for c in CAPTURES if c not in dates), "double")
     when_read = [raw(c).try_cast("int").alias(c) for c in dates]
 
     def numbers(f: PayslipFormat) -> Column:
-        return F.struct(*when_read, *(f.convert(raw(c)).alias(c) if c in captures[f.key] else own for c, own in no_number.items()))
+        return F.struct(*when_read, *(f.convert(raw(c)).alias(c) if c in captures[f.key] else none for c, none in no_number.items()))
 
-    staged = keyed
-    for stage, value in (
-        ("read", read),
-        ("number", numbers),
-        ("total", lambda f: _struct(_blank(TOTALS, "double", 0.0), f.totals(raw, number), "double")),
-        ("amount", lambda f: _struct(_blank(PAYSLIP_AMOUNTS, "double", 0.0), f.details(number, total), "double")),
-    ):
-        staged = staged.select("*", _stage(_by_format(registry, own, value)).alias(f"{mark}{stage}"))
+    stages += [
+        ("read", _by_format(registry, own, read)),
+        ("number", _by_format(registry, own, numbers)),
+        ("total", _by_format(registry, own, lambda f: _struct(_blank(TOTALS, "double", 0.0), f.totals(raw, number), "double"))),
+        ("amount", _by_format(registry, own, lambda f: _struct(_blank(PAYSLIP_AMOUNTS, "double", 0.0), f.details(number, total), "double"))),
+    ]
 
     checks = total_checks(number("year"), number("month"), amount("total_devengado"), amount("total_deducir"), amount("liquido_percibir"))
     code = F.when(own.isNull(), F.lit(UNKNOWN_FORMAT)).otherwise(_by_format(registry, own, lambda f: first_code([*f.errors(raw, number, flag), *checks])))
-    judged = staged.select("*", _stage(F.struct(F.when(~F.col(f"{mark}written"), NO_TEXT).otherwise(code).alias("code"))).alias(f"{mark}judged"))
+    stages.append(("judged", F.struct(F.when(~field("key")("written"), NO_TEXT).otherwise(code).alias("code"))))
 
     error, when, extra = field("judged")("code"), period(number("year"), number("month")), flag("is_extra")
     fine = error.isNull()
@@ -113,9 +111,24 @@ def parse_documents(documents: DataFrame, registry: Registry = DEFAULT, only: st
     messages = F.create_map(*(F.lit(x) for pair in MESSAGES.items() for x in pair))
     model = [F.when(fine, values[f.name]).cast(f.dataType).alias(f.name) for f in PAYSLIP]
     state = [F.when(fine, "OK").otherwise("ERROR").alias("status"), error.alias("error_code"), F.try_element_at(messages, error).alias("error_message")]
+    return [(stage, _guarded(value).alias(f"{mark}{stage}")) for stage, value in [*stages, ("row", F.struct(*model, *state))]]
+
+
+def parse_documents(documents: DataFrame, registry: Registry = DEFAULT, only: str | None = None) -> DataFrame:
+    """One row for each document (filename, text, and other columns that are kept).
+
+    Adds the payslip's fields, null if it was rejected, ``format``, and
+    ``status`` (OK or ERROR) with ``error_code`` and ``error_message``. With
+    ``only`` every document is read as that format, without dispatch.
+    """
+    given = [F.col(c) for c in documents.columns]
+    mark = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in documents.columns))
+    (_, key), *stages = _stages(registry, only, mark, documents.sparkSession.sparkContext.applicationId)
+    staged = documents.select(*given, key).select("*", F.col(f"{mark}key")["format"].alias("format"))
+    for _, stage in stages:
+        staged = staged.select("*", stage)
     # Out of a generator, whose columns no rule traces back through all stages (as that for join keys would).
-    whole = judged.select(*given, "format", _stage(F.struct(*model, *state)).alias(f"{mark}row"))
-    return whole.select(*given, "format", F.inline(F.array(f"{mark}row")))
+    return staged.select(*given, "format", F.inline(F.array(f"{mark}row")))
 
 
 def strict(parsed: DataFrame) -> DataFrame:
