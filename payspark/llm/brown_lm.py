@@ -338,7 +338,8 @@ def label_by_neighbours(docs: DataFrame, model: ClassModel, table: np.ndarray) -
                 total[own] += np.add.reduceat(weights.value[beside[order]] * n[order][:, None], first, axis=0)
                 seen[own] = True
         mine = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(mine.astype(np.int32)), pa.array((1 + np.argmax(total[mine][:, 1:], axis=1)).astype(np.int32))], names=["word", "label"])
+        label = 1 + np.argmax(total[mine][:, 1:], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(mine.astype(np.int32)), pa.array(label.astype(np.int32))], names=["word", "label"])
 
     beside = docs.select("text").mapInArrow(occurrences, "word int, beside int, n long").repartition("word")
     found = beside.mapInArrow(choose, "word int, label int").toArrow()
@@ -443,10 +444,13 @@ def score(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
                 keys = np.zeros(len(words), np.int64)
                 digest = xxhash.xxh64_intdigest
                 keys[wanted] = np.fromiter((digest(w, SEED) for w in words.take(pa.array(wanted)).to_pylist()), np.uint64, len(wanted)).view(np.int64)
-                kinds = [("doc_id", part.column("doc_id").cast(pa.int64())), ("flag", part.column("flag")), ("n_tokens", pa.array(sizes + 1)), ("known", pa.array(seen)), ("logs", pa.array(logs)), ("steps", pa.array(steps))]
-                whole = pa.StructArray.from_arrays([v for _, v in kinds], names=[n for n, _ in kinds])
+                kinds = {"doc_id": part.column("doc_id").cast(pa.int64()), "flag": part.column("flag")}
+                kinds |= {n: pa.array(v) for n, v in (("n_tokens", sizes + 1), ("known", seen), ("logs", logs), ("steps", steps))}
+                whole = pa.StructArray.from_arrays(list(kinds.values()), names=list(kinds))
                 yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.array(np.zeros(len(row), np.int64)), whole], names=["key", "row", "times", "doc"])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[code]), pa.array(row[rare[first] // max(len(words), 1)]), pa.array(times), pa.nulls(len(first), whole.type)], names=["key", "row", "times", "doc"])
+                owner = row[rare[first] // max(len(words), 1)]
+                rest = [pa.array(keys[code]), pa.array(owner), pa.array(times), pa.nulls(len(first), whole.type)]
+                yield pa.RecordBatch.from_arrays(rest, names=["key", "row", "times", "doc"])
 
     schema = "key long, row long, times long, doc struct<doc_id long, flag boolean, n_tokens long, known long, logs double, steps double>"
     found = docs.select("doc_id", "text", "flag").mapInArrow(run, schema)

@@ -370,8 +370,11 @@ def copies_of(rows: DataFrame, steps: Scratch) -> DataFrame:
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """What stays of each document's bytes, as RESULT says; ``repeats`` is 1 if PASSAGE bytes of it also start elsewhere, else 0."""
     steps = Scratch(docs.sparkSession)
-    facts = [F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"), F.xxhash64("text").alias("key_a"), F.xxhash64("text", F.lit(1)).alias("key_b")]
-    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    facts = [
+        F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"),
+        F.xxhash64("text").alias("key_a"), F.xxhash64("text", F.lit(1)).alias("key_b"),
+    ]
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = steps.save(given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *facts))
     copies = copies_of(rows, steps)
     suffixes = steps.save(anchored(rows.where(F.col("n_bytes") >= PASSAGE)).join(copies.where("row <> first").select("row"), "row", "left_anti"))
@@ -384,7 +387,9 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     touched = matched.select("row", "text", "cyclic").join(ranges, "row", "left").where("cyclic or ranges is not null")
     removed = steps.save(touched.mapInArrow(removal, REMOVED))
     short = short_repeats(rows, possible, removed, steps).withColumn("short", F.lit(1))
-    known = rows.drop("text", "key_a", "key_b").join(removed, "row", "left").join(short, "row", "left").join(copies.withColumnRenamed("first", "copy"), "row", "left")
+    known = rows.drop("text", "key_a", "key_b")
+    for more in (removed, short, copies.withColumnRenamed("first", "copy")):
+        known = known.join(more, "row", "left")
     copied = F.col("copy").isNotNull()
     gone = F.when(copied, F.when(F.col("n_bytes") >= LENGTH, F.col("n_bytes")).otherwise(0)).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
     result = known.select(
