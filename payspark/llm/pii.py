@@ -71,7 +71,10 @@ CONTEXT = {
 }
 AGAINST = re.compile(r"(version|release|isbn|issn|page|pp|fig|figure|section|chapter|sha1|sha256|md5|commit|http|https|www|no|nr|№|[$€£#v])\W{0,3}$", re.I)
 
-FIELDS = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:STRICT]), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+FIELDS = T.StructType([
+    *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:STRICT]), T.StructField("base_sha256", T.StringType()),
+    T.StructField("spans", T.StringType()), T.StructField("n_spans", T.LongType()),
+])
 
 
 def luhn(digits: bytes) -> bool:
@@ -227,7 +230,9 @@ class SpanModel:
                     np.add.at(table[:, y, k], (kind, vote[:, k]), q * count)
             table /= table.sum(axis=3, keepdims=True)
             prior /= prior.sum(axis=1, keepdims=True)
-            log = np.log(prior[kind]) + np.stack([np.log(table[kind, y][np.arange(len(kind))[:, None], np.arange(LABELERS), vote]).sum(axis=1) for y in (0, 1)], axis=1)
+            row = np.arange(len(kind))[:, None]
+            each = [np.log(table[kind, y][row, np.arange(LABELERS), vote]).sum(axis=1) for y in (0, 1)]
+            log = np.log(prior[kind]) + np.stack(each, axis=1)
             p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -30, 30)))
         x, weights = cls.features(kind, pattern), np.zeros(len(KINDS) + 2 * LABELERS)
         share = count / max(count.sum(), 1) * 1000
@@ -247,7 +252,8 @@ def fit(docs: DataFrame) -> SpanModel:
             for part in slices(batch):
                 _, spans, data = candidates(as_strings(part.column("text")))
                 found.update((k, votes(data, k, a, b, s)) for k, a, b, s in spans)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([v for _, v in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["kind", "pattern", "n"])
+            keys = [pa.array([key[k] for key in found], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(list(found.values()), pa.int64())], names=["kind", "pattern", "n"])
 
     counted = docs.select("text").mapInArrow(run, "kind int, pattern int, n long").groupBy("kind", "pattern").agg(F.sum("n").alias("n"))
     rows = sorted(tuple(r) for r in counted.collect())  # at most kinds x 3^7 rows
@@ -283,6 +289,7 @@ def find_personal_data(docs: DataFrame, model: SpanModel) -> tuple[DataFrame, st
                 said[f"n_{KINDS[k]}"].append(sum(s[0] == k and s[3] for s in own))
             said["base_sha256"].append(hashlib.sha256(",".join(w for w, strict in written if strict).encode()).hexdigest())
             said["spans"].append(",".join(w for w, _ in written))
+            said["n_spans"].append(len(written))
         return said
 
     return annotate(docs, describe, FIELDS)
@@ -308,7 +315,9 @@ def redact(docs: DataFrame) -> DataFrame:
     given = docs.columns
     changed, name = annotate(docs, rewrite, T.StructType([T.StructField("text", T.StringType())]))
     text = F.when(F.col("text").isNotNull(), F.col(f"{name}.text"))
-    values = {c: text.alias(c) if c == "text" else F.coalesce(F.length(text).cast(docs.schema[c].dataType), F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in given}
+    values = {c: F.col(c) for c in given} | {"text": text.alias("text")}
+    if "n_chars" in given:
+        values["n_chars"] = F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), F.col("n_chars")).alias("n_chars")
     return changed.select(*(values[c] for c in given))
 
 
