@@ -50,8 +50,8 @@ PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE_PHONE = re.compile(rb"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])")
 HIDDEN_AT = re.compile(rb"[\[(](?:at|AT)[\])]")
 HIDDEN_DOMAIN = re.compile(rb" ?[A-Za-z0-9-]+(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+")
-IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-SSN = re.compile(rb"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+IBAN = re.compile(rb"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+SSN = re.compile(rb"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 SECRET = re.compile(rb"[=:] ?[\"']?([A-Za-z0-9_/+-]{16,})")
 ENDINGS = frozenset("com org net edu gov mil int info biz io co ai dev app eu uk de fr es it nl be ch at pl pt se no dk fi ie us ca mx br ar au nz jp cn in ru".split())
 COUNTRIES = tuple("1 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 58 60 61 62 63 64 65 66 7 81 82 84 86 90 91 92 93 94 95 98".split())
@@ -119,6 +119,20 @@ def strict_spans(data: bytes) -> Iterator[tuple[int, int, int]]:
             yield 3, found.start(), found.end()
 
 
+ALNUM = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+
+def starting(pattern: re.Pattern, data: bytes, before: frozenset[int]) -> Iterator[tuple[int, int]]:
+    """Matches that none of the bytes ``before`` precedes; a pattern that looked back itself would be slower."""
+    at = 0
+    while found := pattern.search(data, at):
+        if found.start() and data[found.start() - 1] in before:
+            at = found.start() + 1
+        else:
+            yield found.span()
+            at = found.end()
+
+
 def loose_spans(data: bytes) -> Iterator[tuple[int, int, int]]:
     """Further candidates; those that overlap a strict match are dropped later."""
     for at in HIDDEN_AT.finditer(data):
@@ -135,9 +149,9 @@ def loose_spans(data: bytes) -> Iterator[tuple[int, int, int]]:
         yield 3, found.start(), found.end()
     for found in SECRET.finditer(data):
         yield 4, *found.span(1)
-    for kind, pattern in ((5, IBAN), (6, SSN)):
-        for found in pattern.finditer(data):
-            yield kind, *found.span()
+    for kind, pattern, before in ((5, IBAN, ALNUM), (6, SSN, frozenset(b"0123456789-"))):
+        for a, b in starting(pattern, data, before):
+            yield kind, a, b
 
 
 def account(own: str) -> bool:
