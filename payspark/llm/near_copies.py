@@ -94,10 +94,10 @@ def print_links(texts: DataFrame) -> DataFrame:
     """Links (a, b) that join the rows of ``texts`` (row, fp) whose fingerprints are equal or linked."""
     prints = saved(texts.groupBy("fp").agg(F.min("row").alias("own")))
     equal = texts.join(prints, "fp").where("row <> own").select(F.col("row").alias("a"), F.col("own").alias("b"))
-    linked = links_of(prints.select("fp"))
+    linked = saved(links_of(prints.select("fp")))  # tables in between keep the driver's plans small
     for end in "ab":
         linked = linked.join(prints.select(F.col("fp").alias(end), F.col("own").alias(f"row_{end}")), end)
-    return equal.unionByName(linked.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")))
+    return saved(equal.unionByName(linked.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))))
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def groups(rows: DataFrame, tile_texts: int = TILE_TEXTS, tile_shingles: int = T
     found = saved(sketches(rows))
     firsts = saved(found.groupBy("key").agg(F.min("row").alias("first")))
     distinct = found.join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
-    links = chains(distinct.select("row", F.explode("bands").alias("band"))).unionByName(print_links(distinct.select("row", "fp")))
+    links = chains(distinct.select("row", F.explode("bands").alias("band"))).unionByName(print_links(saved(distinct.select("row", "fp"))))
     near = components(links)
     members = saved(near.join(found.select(F.col("row").alias("node"), "size"), "node").select(F.col("node").alias("row"), "root", "size"))
     parts = F.greatest(F.ceil(F.count("*") / tile_texts), F.ceil(F.sum("size") / tile_shingles)).cast("int")
