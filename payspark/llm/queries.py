@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from payspark.llm.alignment import token_alignment
+from payspark.llm.best_fit import best_fit_packing
 from payspark.llm.brown_lm import brown_scores
 from payspark.llm.chat_tree import chat_tree
 from payspark.llm.decontaminate import decontaminate
+from payspark.llm.fim import middle_filling
 from payspark.llm.license_scan import license_scan
 from payspark.llm.line_crf import line_quality
 from payspark.llm.packing import packing
@@ -29,4 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": license_scan,
     "op9_quality_rules": quality_rules,
     "op10_packing": packing,
+    "op11_token_alignment": token_alignment,
+    "op12_best_fit_packing": best_fit_packing,
+    "op13_middle_filling": middle_filling,
 }

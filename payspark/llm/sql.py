@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries whose whole result it expresses.
 
 The others have none: fingerprints and tokens need functions that SQL lacks
-(op7, op10), and classifiers, language models and forests are fitted (op2, op3,
+(op7, op10, op11, op12), and classifiers, language models and forests are fitted (op2, op3,
 op5, op8, op9, pipeline).
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from payspark.llm.chat_tree import END, LEARNT, START
 from payspark.llm.decontaminate import WINDOW
+from payspark.llm.fim import CUT_RATE, MIDDLE, PREFIX, SPM_RATE, SUFFIX
 from payspark.llm.license_scan import LOWER, SEPARATORS, UPPER
 from payspark.llm.substrings import LENGTH, PASSAGE
 
@@ -67,4 +68,21 @@ SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r) LEFT JOIN passages USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_tree": CHAT, "op4_decontaminate": CONTAMINATION, "op6_substring_dedup": REPEATS}
+DRAWN = ", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)" for k in range(4))
+FORMS = f"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+x AS (SELECT *, CAST(len(u) AS BIGINT) AS n, [{DRAWN}] AS d FROM t),
+c AS (
+  SELECT doc_id, text, u, n, least(d[1] % (n + 1), d[2] % (n + 1)) AS p, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS m,
+    CASE WHEN text = '' OR contains(text, '{PREFIX}') OR contains(text, '{SUFFIX}') OR contains(text, '{MIDDLE}') OR d[3] % 100 >= {CUT_RATE} THEN 'plain'
+      WHEN d[4] % 100 < {SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM x),
+f AS (SELECT doc_id, text, n, form, array_to_string(u[1:p], '') AS prefix, array_to_string(u[p + 1:m], '') AS middle, array_to_string(u[m + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{PREFIX}' || prefix || '{SUFFIX}' || suffix || '{MIDDLE}' || middle
+    ELSE '{SUFFIX}' || suffix || '{PREFIX}' || prefix || '{MIDDLE}' || middle END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_tree": CHAT, "op4_decontaminate": CONTAMINATION, "op6_substring_dedup": REPEATS, "op13_middle_filling": FORMS}
