@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from payspark.llm.queries import ORACLE_SQL, QUERIES
@@ -18,5 +19,6 @@ def test_query_equals_sql(spark, name):
     own, other = QUERIES[name](spark, DATA).toPandas(), con.sql(ORACLE_SQL[name]).df()
     columns = sorted(own.columns)
     assert columns == sorted(other.columns)
-    rows = lambda frame: sorted(tuple(r) for r in frame[columns].astype(object).itertuples(index=False))
+    value = lambda v: (0, "") if pd.isna(v) else (1, v)  # noqa: E731 - nulls of either side alike, and sortable
+    rows = lambda frame: sorted(tuple(map(value, r)) for r in frame[columns].astype(object).itertuples(index=False))
     assert rows(own) == rows(other)
