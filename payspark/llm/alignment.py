@@ -42,10 +42,12 @@ from payspark.llm.arrowtext import as_strings, slices, sums_by_row
 from payspark.llm.checkpoints import Scratch, saved
 from payspark.llm.segments import Numbered, byte_tokenizer, encoded, gathered, piece_tokenizer, segments_of
 
-#: Text handled at once: large, as a slice's words repeat.
-SLICE = 8 << 20
+#: Text handled at once, and bytes of the segments that a worker remembers.
+SLICE, REMEMBERED = 3 << 20, 3 << 20
 #: Links that a task holds before it sums them.
 HELD = 1 << 20
+#: Bits of a packed link that hold the second vocabulary's id.
+SHIFT = 24
 GROUPS = "array<struct<a array<int>, b array<int>>>"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
 
@@ -60,7 +62,7 @@ class Transducer:
         self.states: list[tuple[int, bytes]] = [(1, b"")]  # which side leads, and its bytes ahead; with none the first side reads
         self.numbers = {self.states[0]: self.EMPTY}
         self.leads = [1]
-        self.moves: dict[tuple[int, int], int] = {}
+        self.moves: dict[int, int] = {}  # by state and token, packed
 
     def state(self, side: int, ahead: bytes) -> int:
         if not ahead:
@@ -85,7 +87,7 @@ class Transducer:
             to = self.state(behind, new[len(ahead) :])
         else:
             return None
-        self.moves[at, token] = to
+        self.moves[at << SHIFT | token] = to
         return to
 
     def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
@@ -103,7 +105,7 @@ class Transducer:
                     return None
                 token = b[j]
                 j += 1
-            to = moves.get((at, token))
+            to = moves.get(at << SHIFT | token)
             if to is None:
                 to = self.move(at, token)
                 if to is None:
@@ -117,11 +119,12 @@ class Transducer:
 class Aligner:
     """Aligns texts, each distinct segment once while it is remembered."""
 
-    def __init__(self, tokenizer_a: str, model_b: str, shift: int):
-        self.a, self.b, self.shift = byte_tokenizer(tokenizer_a), piece_tokenizer(model_b), shift
+    def __init__(self, tokenizer_a: str, model_b: str):
+        self.a, self.b = byte_tokenizer(tokenizer_a), piece_tokenizer(model_b)
         self.cut = self.a.cuts and self.b.cuts
         self.transducer = Transducer(self.a.tokens, self.b.tokens)
-        self.numbers = Numbered()
+        self.heads, self.tails = [f"{i}|" for i in range(max(self.a.tokens) + 1)], [str(i) for i in range(max(self.b.tokens) + 1)]
+        self.numbers = Numbered(REMEMBERED)
         self.forget()
 
     def forget(self) -> None:
@@ -135,7 +138,7 @@ class Aligner:
         sides = [encoded(new, own) for own in (self.a, self.b)]
         (a, sizes_a), (b, sizes_b) = sides
         a, b = a.tolist(), b.tolist()
-        counts, links, sizes, run = [], [], [], self.transducer.groups
+        counts, links, sizes, run, heads, tails = [], [], [], self.transducer.groups, self.heads, self.tails
         i = j = 0
         for n, m in zip(sizes_a.tolist(), sizes_b.tolist()):
             own_a, own_b = a[i : i + n], b[j : j + m]
@@ -148,10 +151,13 @@ class Aligner:
                 continue
             counts.append((n, m, len(ends), 1))
             sizes.append(len(ends))
-            links += [(own_a[x - 1] << self.shift) | own_b[y - 1] for x, y in ends]
+            links += [(own_a[x - 1] << SHIFT) | own_b[y - 1] for x, y in ends]
             from_x, from_y, said = 0, 0, []
             for x, y in ends:
-                said.append(f"{','.join(map(str, own_a[from_x:x]))}|{','.join(map(str, own_b[from_y:y]))}")
+                if x - from_x == 1 == y - from_y:  # most groups
+                    said.append(heads[own_a[from_x]] + tails[own_b[from_y]])
+                else:
+                    said.append(f"{','.join(map(str, own_a[from_x:x]))}|{','.join(map(str, own_b[from_y:y]))}")
                 from_x, from_y = x, y
             self.written.append(";".join(said).encode())
         self.counts = np.concatenate([self.counts, np.array(counts, np.int64).reshape(-1, 4)])
@@ -197,10 +203,6 @@ def digest(parts: list[bytes]) -> str:
     return own.hexdigest()
 
 
-#: Bits of a packed link that hold the second vocabulary's id.
-SHIFT = 24
-
-
 def aligned(docs: DataFrame, tokenizer_a: str | None = None, model_b: str | None = None, with_groups: bool = False) -> DataFrame:
     """A row for each document (doc_id, text), see ``ALIGNED``; ``links`` has each link's two ids packed in 8 bytes.
 
@@ -215,7 +217,7 @@ def aligned(docs: DataFrame, tokenizer_a: str | None = None, model_b: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = default_tokenizers()
-        own = Aligner(tokenizer_a or known[0], model_b or known[1], SHIFT)
+        own = Aligner(tokenizer_a or known[0], model_b or known[1])
         for batch in batches:
             for part in slices(batch, limit=SLICE):
                 totals, raw, parts = own.align(as_strings(part.column("text")))

@@ -194,7 +194,7 @@ def gathered(place: np.ndarray, starts: np.ndarray, values: np.ndarray) -> tuple
 class Numbered:
     """Numbers of segments that a worker has met, from 0; beyond ``most`` bytes of them it starts anew."""
 
-    def __init__(self, most: int = 12 << 20):
+    def __init__(self, most: int):
         self.most, self.kept, self.known = most, 0, {}
 
     def places(self, segments: pa.StringArray) -> tuple[np.ndarray, pa.StringArray, bool]:

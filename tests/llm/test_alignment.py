@@ -101,7 +101,7 @@ def test_segments_have_the_tokens_of_whole_texts(texts):
 
 
 def test_remembering_ends(plain):
-    own = L.Aligner(BYTES, PIECES, L.SHIFT)
+    own = L.Aligner(BYTES, PIECES)
     own.numbers.most = 40  # forgets at nearly every call
     for _ in range(2):
         for text in ("one two three four", "five six seven eight nine", "two nine"):
