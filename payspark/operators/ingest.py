@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from payspark.functions.validate import matches_net
@@ -13,7 +13,8 @@ from payspark.operators.parse import parse_documents
 from payspark.schema import DUPLICATE_ID, MESSAGES, MISMATCH
 from payspark.sources.checkpoints import settled
 from payspark.sources.documents import UNNAMED, Extractor, extract_text, file_name, pdf_pages, read_folder, spread
-from payspark.sources.store import DocumentStore, first_of_each, to_stored
+from payspark.sources.commits import Version
+from payspark.sources.store import DocumentStore, to_stored
 
 LOADED, EXISTS, FAILED, MISMATCHED = "LOADED", "EXISTS", "ERROR", "DESCUADRE"
 
@@ -35,36 +36,65 @@ class Batch:
         return self.outcome.where(F.col("outcome") == FAILED)
 
 
-def outcomes(documents: DataFrame, ids: DataFrame, order: str, registry: Registry = DEFAULT, only: str | None = None, recheck: bool = False) -> DataFrame:
-    """Parsed ``documents`` with ``outcome``.
+#: Columns that a batch's rows have on the way.
+NUMBER, READY, FIRST = "_number", "_ready", "_first"
 
-    Of files with one id the first in ``order`` is loaded, unless ``ids`` has
-    it. With ``recheck`` net pay is compared once more, before that, as the
-    companies' own scripts do.
+
+def parsed_rows(documents: DataFrame, registry: Registry = DEFAULT, only: str | None = None, recheck: bool = False) -> tuple[DataFrame, int]:
+    """``documents`` parsed once and kept, numbered, with whether each may be loaded; and how many there are.
+
+    With ``recheck`` net pay is compared once more, as the companies' own
+    scripts do.
     """
-    parsed = parse_documents(documents, registry, only)
-    fine = F.col("status") == "OK"
     agrees = matches_net(F.col("total_devengado"), F.col("total_deducir"), F.col("liquido_percibir")) if recheck else F.lit(True)
-    ready = parsed.withColumn("_ready", fine & agrees)
-    # Rows without an id can't meet; a null rank key would gather them in one task.
-    own = F.concat(F.lit("\u0000"), F.col(order).cast("string"), F.lit("\u0000"), F.coalesce("filename", F.lit("")))
-    key = F.coalesce(F.when(F.col("_ready"), F.col("id")), own)
-    ranked = ready.withColumn("_key", key).withColumn("_first", first_of_each(ready, "_key", order, "filename"))
-    known = ids.select(F.col("id").alias("_key")).distinct().withColumn("_known", F.lit(True))
-    joined = ranked.join(known, "_key", "left")
-    outcome = (
-        F.when(~fine, FAILED).when(~F.col("_ready"), MISMATCHED).when(F.col("_first") & F.col("_known").isNull(), LOADED).otherwise(EXISTS)
-    )
+    ready = (F.col("status") == "OK") & agrees
+    count = Observation()
+    rows = parse_documents(documents, registry, only).withColumns({NUMBER: F.monotonically_increasing_id(), READY: ready})
+    return settled(rows.observe(count, F.count("*").alias("n"))), count.get["n"]
+
+
+def first_files(rows: DataFrame, order: str) -> DataFrame:
+    """(id, number) of the first file of each id, by ``order`` and file name.
+
+    The least file is an aggregate: a task sends one row of an id at most, so a
+    month that a third of all files have is no hot key.
+    """
+    least = F.min(F.struct(*dict.fromkeys((order, "filename", NUMBER))))
+    return settled(rows.where(READY).groupBy("id").agg(least[NUMBER].alias(FIRST)))
+
+
+def decided(rows: DataFrame, first: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with ``outcome``: the first file of an id that is not ``known`` is loaded."""
+    new = first.join(known, "id", "left_anti").select(FIRST)
+    joined = rows.join(new, F.col(NUMBER) == F.col(FIRST), "left")
+    failed, loaded = F.col("status") != "OK", F.col(FIRST).isNotNull()
+    outcome = F.when(failed, FAILED).when(~F.col(READY), MISMATCHED).when(loaded, LOADED).otherwise(EXISTS)
     code = F.when(outcome == EXISTS, DUPLICATE_ID).when(outcome == MISMATCHED, MISMATCH).otherwise(F.col("error_code"))
     said = F.when(outcome == EXISTS, MESSAGES[DUPLICATE_ID]).when(outcome == MISMATCHED, MESSAGES[MISMATCH]).otherwise(F.col("error_message"))
-    return joined.withColumns({"outcome": outcome, "error_code": code, "error_message": said}).drop("_ready", "_key", "_first", "_known", "status")
+    return joined.withColumns({"outcome": outcome, "error_code": code, "error_message": said}).drop(NUMBER, READY, FIRST, "status")
+
+
+def outcomes(documents: DataFrame, ids: DataFrame, order: str, registry: Registry = DEFAULT, only: str | None = None, recheck: bool = False) -> DataFrame:
+    """Parsed ``documents`` with ``outcome``.
+
+    Of files with one id the first in ``order`` is loaded, unless ``ids`` has
+    it. What ``recheck`` finds, see ``parsed_rows``, is out before that.
+    """
+    rows, _ = parsed_rows(documents, registry, only, recheck)
+    return decided(rows, first_files(rows, order), ids.select("id"))
+
+
+#: Counters of a batch and the outcomes that they count.
+COUNTERS = {"loaded": LOADED, "failed": FAILED, "mismatched": MISMATCHED, "existing": EXISTS}
+
+
+def counters() -> list:
+    return [F.count("*").alias("total"), *(F.count_if(F.col("outcome") == o).alias(n) for n, o in COUNTERS.items())]
 
 
 def summary_of(outcome: DataFrame) -> DataFrame:
     """One row: files, and how many of them were loaded, failed, mismatched or existed."""
-    count = lambda o: F.count_if(F.col("outcome") == o)
-    counts = {"loaded": LOADED, "failed": FAILED, "mismatched": MISMATCHED, "existing": EXISTS}
-    return outcome.agg(F.count("*").alias("total"), *(count(o).alias(n) for n, o in counts.items()))
+    return outcome.agg(*counters())
 
 
 def parse_file(spark: SparkSession, source: str | bytes, filename: str | None = None, extractor: Extractor = pdf_pages, registry: Registry = DEFAULT) -> DataFrame:
@@ -92,23 +122,43 @@ def ingest_folder(spark: SparkSession, folder: str, store: DocumentStore, key: s
 def ingest_batch(documents: DataFrame, store: DocumentStore, order: str = "filename", registry: Registry = DEFAULT, only: str | None = None, recheck: bool = False) -> Batch:
     """Parse ``documents`` (filename, text) and insert what is new.
 
-    No file ends the batch. The outcome is settled before the insert, which
-    changes the ids that it was compared with.
+    No file ends the batch. Documents are parsed once, as a table. The insert
+    counts the outcomes as it writes; where tasks ran twice, so that more rows
+    were counted than there are, they are counted anew. If another writer
+    commits first, outcomes are decided again by what it has inserted.
     """
     store.init()
-    outcome = settled(outcomes(documents, store.ids(), order, registry, only, recheck))
-    summary = documents.sparkSession.createDataFrame(summary_of(outcome).collect())  # one row
-    loaded = outcome.where(F.col("outcome") == LOADED)
-    if summary.first()["loaded"]:
-        store._insert(to_stored(loaded))
-    return Batch(outcome, summary)
+    rows, total = parsed_rows(documents, registry, only, recheck)
+    first = first_files(rows, order)
+    last: dict = {}
+
+    def made(before: Version | None) -> DataFrame:
+        seen = Observation()
+        outcome = decided(rows, first, store.known(first.select("id"), before))
+        if store.in_memory:
+            outcome = settled(outcome)  # such a table has no versions
+        last.update(seen=seen, outcome=outcome)
+        return to_stored(outcome.observe(seen, *counters()).where(F.col("outcome") == LOADED))
+
+    store.insert(made)
+    counts = last["seen"].get
+    if counts["total"] != total:
+        counts = summary_of(last["outcome"]).first().asDict()
+    return Batch(last["outcome"], summary_row(documents.sparkSession, counts))
+
+
+def summary_row(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    names = ("total", *COUNTERS)
+    return spark.createDataFrame([Row(*(counts[n] for n in names))], ", ".join(f"{n} long" for n in names))
 
 
 def ingest_company(documents: DataFrame, store: DocumentStore, key: str, order: str = "filename") -> Batch:
     """The companies' scripts: one format for all files, with the second check; an existing id counts as failed there."""
     batch = ingest_batch(documents, store, order, only=key, recheck=True)
     outcome = batch.outcome.withColumn("outcome", F.when(F.col("outcome") == EXISTS, FAILED).otherwise(F.col("outcome")))
-    return Batch(outcome, documents.sparkSession.createDataFrame(summary_of(outcome).collect()))
+    counts = batch.summary.first().asDict()
+    counts |= {"failed": counts["failed"] + counts["existing"], "existing": 0}
+    return Batch(outcome, summary_row(documents.sparkSession, counts))
 
 
 def report(outcome: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from payspark.plans.synth import FALLBACKS, REJECTED, fallbacks, named, payslips
 from payspark.schema import CERTIFICATE, EXTRA, ORDINARY, PAYSLIP_AMOUNTS
 from payspark.sources.checkpoints import new_folder
 from payspark.sources.documents import spread
-from payspark.sources.store import DocumentStore, as_payslips, decoded, first_of_each, to_stored
+from payspark.sources.store import DocumentStore, as_payslips, decoded, first_rows, to_stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -208,7 +208,7 @@ LINE_ORDER = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_disc
 def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of line items with one id the first, as the store takes repeated ids of a batch."""
     items = table(spark, sf_dir, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return items.withColumn("first", first_of_each(items, "id", *LINE_ORDER)).where("first").select("id", "l_partkey", "l_suppkey", "l_extendedprice")
+    return first_rows(items, "id", *LINE_ORDER).select("id", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 KINDS = {"F": ORDINARY, "O": EXTRA, "P": CERTIFICATE}

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from payspark.operators.dispatch import DEFAULT, Registry
 from payspark.operators.ingest import ingest_batch
-from payspark.sources.store import DocumentStore
+from payspark.sources.store import MANY_PARTS, DocumentStore
 
 ARRIVING = T.StructType([T.StructField("filename", T.StringType()), T.StructField("text", T.StringType())])
 
@@ -22,10 +22,13 @@ def ingest_stream(documents: DataFrame, store: DocumentStore, checkpoint: str, r
     """Insert each micro-batch.
 
     The store skips ids that it has, so a batch that is repeated after a
-    failure changes nothing. Stops when all that is there is done.
+    failure changes nothing. Its small parts are folded into one when there
+    are many. Stops when all that is there is done.
     """
 
     def insert(batch: DataFrame, number: int) -> None:
         ingest_batch(batch, store, registry=registry)
+        if not store.in_memory and len(store.version().parts) >= MANY_PARTS:
+            store.compact()
 
     return documents.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
