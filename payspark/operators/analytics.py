@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from payspark.functions.text import cents, format_amount
 from payspark.sources.checkpoints import settled
 
 #: Ties of a period go by id.
@@ -21,7 +22,7 @@ def valid(rows: DataFrame) -> DataFrame:
 
 
 def kpis(rows: DataFrame) -> DataFrame:
-    """One row: latest gross, net and tax rate, growth of gross pay since the first in percent, companies.
+    """One row: latest gross, net and tax rate, growth of gross pay since the first in percent to one decimal, companies.
 
     First and last are aggregates, so nothing is sorted.
     """
@@ -30,10 +31,25 @@ def kpis(rows: DataFrame) -> DataFrame:
     last, first = pick(F.max_by, "total_devengado"), pick(F.min_by, "total_devengado")
     return valid(rows).agg(
         last.alias("latest_gross"), pick(F.max_by, "liquido_percibir").alias("latest_net"), pick(F.max_by, "irpf_porcentaje").alias("latest_irpf"),
-        ((last / first - 1) * 100).alias("growth_percent"), F.count_distinct("empresa").alias("companies"), F.count("*").alias("documents"),
+        F.round((last / first - 1) * 100, 1).alias("growth_percent"), F.count_distinct("empresa").alias("companies"), F.count("*").alias("documents"),
     )
 
 
+def kpi_texts(rows: DataFrame) -> DataFrame:
+    """The same as they are shown: amounts with thousands separators and their unit, rates in percent."""
+    found = kpis(rows)
+    percent = lambda c: F.concat(F.format_number(c, 1), F.lit(" %"))
+    return found.select(
+        format_amount(F.col("latest_gross")).alias("gross"), format_amount(F.col("latest_net")).alias("net"), percent("latest_irpf").alias("tax_rate"),
+        percent("growth_percent").alias("growth"), F.col("companies").cast("string").alias("companies"),
+    )
+
+
+def with_deductions(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``total_deducciones``, gross less net pay to the cent, which documents don't hold."""
+    return rows.withColumn("total_deducciones", cents(F.col("total_devengado") - F.col("liquido_percibir")))
+
+
 def pay_series(rows: DataFrame) -> DataFrame:
     """(periodo, id, total_devengado, liquido_percibir) in order, for a line of each."""
     return by_period(valid(rows).select("periodo", "id", "total_devengado", "liquido_percibir"))
@@ -66,8 +82,12 @@ def ranked(rows: DataFrame, group: str, value: str) -> DataFrame:
     return joined.select(group, value, "n", (F.col("before") + F.col("here")).alias("first"), "total")
 
 
-def pay_ranges(rows: DataFrame) -> DataFrame:
-    """Quartiles (interpolated), extremes and number of gross pays of each company."""
+#: Interquartile ranges from the quartiles beyond which a pay is an outlier.
+REACH = 1.5
+
+
+def quartiles(found: DataFrame) -> DataFrame:
+    """(empresa, lowest, q1, median, q3, highest, documents, low_fence, high_fence) of ``ranked`` gross pays."""
     pay = F.col("total_devengado")
 
     def at(place: Column) -> Column:
@@ -79,18 +99,37 @@ def pay_ranges(rows: DataFrame) -> DataFrame:
         between = (F.max(high) - here) * at(low) + (here - F.max(low)) * at(high)
         return F.when(F.max(low) == F.max(high), at(low)).otherwise(between)
 
-    quartiles = [quartile(q / 4).alias(n) for q, n in ((1, "q1"), (2, "median"), (3, "q3"))]
-    found = ranked(valid(rows).select("empresa", "total_devengado"), "empresa", "total_devengado")
-    return found.groupBy("empresa").agg(F.min(pay).alias("lowest"), *quartiles, F.max(pay).alias("highest"), F.sum("n").alias("documents"))
+    named = [quartile(q / 4).alias(n) for q, n in ((1, "q1"), (2, "median"), (3, "q3"))]
+    boxes = found.groupBy("empresa").agg(F.min(pay).alias("lowest"), *named, F.max(pay).alias("highest"), F.sum("n").alias("documents"))
+    reach = REACH * (F.col("q3") - F.col("q1"))
+    return boxes.select("*", (F.col("q1") - reach).alias("low_fence"), (F.col("q3") + reach).alias("high_fence"))
 
 
-def outliers(rows: DataFrame) -> DataFrame:
-    """Gross pays over 1.5 interquartile ranges from the quartiles of their company."""
-    wide = pay_ranges(rows).withColumn("reach", 1.5 * (F.col("q3") - F.col("q1"))).select("empresa", "q1", "q3", "reach")
-    joined = valid(rows).join(wide, "empresa")
+def pay_ranges(rows: DataFrame) -> DataFrame:
+    """Of each company's gross pays the quartiles (interpolated), extremes, number, whisker ends and number of outliers.
+
+    A whisker ends at the last pay within 1.5 interquartile ranges of its
+    quartile. Values are ranked once; the fences, a row for each company, meet
+    the ranked values again, which have a row for each distinct pay.
+    """
+    found = settled(ranked(valid(rows).select("empresa", "total_devengado"), "empresa", "total_devengado"))
+    boxes = quartiles(found)
     pay = F.col("total_devengado")
-    far = (pay < F.col("q1") - F.col("reach")) | (pay > F.col("q3") + F.col("reach"))
-    return joined.where(far).select("id", "empresa", "periodo", "total_devengado")
+    fences = boxes.select(F.col("empresa").alias("_of"), "low_fence", "high_fence")
+    inside = pay.between(F.col("low_fence"), F.col("high_fence"))
+    ends = found.join(fences, F.col("empresa").eqNullSafe(F.col("_of"))).groupBy("_of").agg(
+        F.min(F.when(inside, pay)).alias("low_whisker"), F.max(F.when(inside, pay)).alias("high_whisker"), F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers")
+    )
+    both = boxes.join(ends, F.col("empresa").eqNullSafe(F.col("_of")))
+    return both.select("empresa", "lowest", "q1", "median", "q3", "highest", "documents", "low_whisker", "high_whisker", "outliers")
+
+
+def outliers(rows: DataFrame) -> DataFrame:
+    """Documents whose gross pay is over 1.5 interquartile ranges from the quartiles of its company."""
+    found = valid(rows)
+    fences = quartiles(ranked(found.select("empresa", "total_devengado"), "empresa", "total_devengado"))
+    joined = found.join(fences.select(F.col("empresa").alias("_of"), "low_fence", "high_fence"), F.col("empresa").eqNullSafe(F.col("_of")))
+    return joined.where(~F.col("total_devengado").between(F.col("low_fence"), F.col("high_fence"))).select("id", "empresa", "periodo", "total_devengado")
 
 
 def tax_series(rows: DataFrame) -> DataFrame:
@@ -99,6 +138,12 @@ def tax_series(rows: DataFrame) -> DataFrame:
 
 
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that one side has more often than the other, by ``side`` (added or removed), each as often as that."""
-    added, removed = right.exceptAll(left), left.exceptAll(right)
-    return added.withColumn("side", F.lit("added")).unionByName(removed.withColumn("side", F.lit("removed")))
+    """Rows that one side has more often than the other, by ``side`` (added or removed), each as often as that.
+
+    Both sides are counted in one aggregation, with opposite signs, so each is
+    read once and shuffled once, summed up before.
+    """
+    counted = right.withColumn("_sign", F.lit(1)).union(left.withColumn("_sign", F.lit(-1)))
+    net = counted.groupBy(*right.columns).agg(F.sum("_sign").alias("_net")).where("_net <> 0")
+    side = F.when(F.col("_net") > 0, "added").otherwise("removed").alias("side")
+    return net.select(*right.columns, side, F.explode(F.sequence(F.lit(1), F.abs("_net"))).alias("_copy")).drop("_copy")

@@ -8,25 +8,32 @@ from pyspark.sql import functions as F
 from payspark.functions.text import folded
 from payspark.operators.formats import FORMATS
 from payspark.operators.formats.base import PayslipFormat
+from payspark.operators.formats.python import PythonFormat
 
 # Fixed value: a phrase that stands for a name.
 ALIASES = {"inteligencia sistematica": "insis"}
 
 
 class Registry:
-    """Formats by their key; a copy can be extended with further ones."""
+    """Formats by their key, as columns or as Python classes; a copy can be extended with further ones."""
 
-    def __init__(self, formats: tuple[PayslipFormat, ...] = FORMATS):
-        self.formats = {f.key: f for f in formats}
+    def __init__(self, formats: tuple[PayslipFormat | PythonFormat, ...] = FORMATS):
+        self.formats = {f.key: f for f in formats if isinstance(f, PayslipFormat)}
+        self.classes = {f.key: f for f in formats if isinstance(f, PythonFormat)}
 
-    def register(self, added: PayslipFormat) -> Registry:
-        return Registry((*self.formats.values(), added))
+    @property
+    def keys(self) -> tuple[str, ...]:
+        return (*self.formats, *self.classes)
+
+    def register(self, added: PayslipFormat | PythonFormat) -> Registry:
+        kept = (f for f in (*self.formats.values(), *self.classes.values()) if f.key != added.key)
+        return Registry((*kept, added))
 
     def hits(self, text: Column, filename: Column) -> Column:
         """Keys that occur, in any case and also inside words, in text or file name."""
         value = folded(F.concat(F.coalesce(text, F.lit("")), F.lit(" "), F.coalesce(filename, F.lit(""))))
         found = []
-        for key in self.formats:
+        for key in self.keys:
             hit = F.contains(value, F.lit(key))
             for phrase, stands_for in ALIASES.items():
                 hit = hit | F.contains(value, F.lit(phrase)) if stands_for == key else hit

@@ -6,6 +6,7 @@ SQL computes the same values from the orders themselves.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import partial
 
@@ -17,12 +18,14 @@ from payspark.operators import analytics
 from payspark.operators.dispatch import DEFAULT
 from payspark.operators.formats import alten, altran, exceltic, ineco, insis
 from payspark.operators.ingest import ingest_batch, ingest_company, outcomes, report, summary_of
-from payspark.operators.parse import parse_documents
+from payspark.operators.formats.python import PythonFormat
+from payspark.operators.parse import formats_of, parse_documents
 from payspark.plans.synth import FALLBACKS, REJECTED, fallbacks, named, payslips, rejected
 from payspark.schema import CERTIFICATE, EXTRA, ORDINARY, PAYSLIP_AMOUNTS
 from payspark.sources.checkpoints import new_folder
 from payspark.sources.documents import spread
-from payspark.sources.store import DocumentStore, as_payslips, decoded, first_rows, to_stored
+from payspark.sources.files import opened, read_files
+from payspark.sources.store import DocumentStore, as_payslips, decoded, first_rows, merged, to_stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,13 +138,13 @@ def parse_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that fail each check, and one that a company's phrase alone names."""
-    return parse_documents(rejected(orders(spark, sf_dir).select("key"))).select("key", "status", "error_code", "observaciones")
+    return parse_documents(rejected(orders(spark, sf_dir).select("key")), fields=["observaciones"]).select("key", "status", "error_code", "observaciones")
 
 
 @query(f"SELECT key, CAST(NULL AS VARCHAR) AS id, 'NOT_IMPLEMENTED' AS error_code FROM ({CENTS})")
 def parse_coritel(spark: SparkSession, sf_dir: str) -> DataFrame:
     slips = payslips(orders(spark, sf_dir), "coritel").select("key", "filename", "text")
-    return parse_documents(slips).select("key", "id", "error_code")
+    return parse_documents(slips, fields=["id"]).select("key", "id", "error_code")
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,12 +277,153 @@ def delete_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.all().select("id", money(F.col("total_devengado")).alias("total"))
 
 
-@query("SELECT 0 AS n_documents")
+@query(f"SELECT count(*) AS n_before, CAST(0 AS BIGINT) AS n_after, count(*) FILTER (WHERE empresa = 'BUILDING') AS n_again FROM ({DOCUMENTS})")
 def reset_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A store after all its rows were dropped."""
-    store = new_store(spark, documents_of(spark, sf_dir))
+    """A store's rows, none after a reset, and a company's, whose ids are free again then."""
+    rows = documents_of(spark, sf_dir)
+    store = new_store(spark, rows)
+    before = store.version()
     store.reset()
-    return store.ids().agg(F.count("*").cast("int").alias("n_documents"))
+    empty = store.version()
+    store.append(rows.where("empresa = 'BUILDING'"))
+    seen = [store.table(v).select(F.lit(n).alias("at")) for v, n in ((before, 0), (empty, 1), (store.version(), 2))]
+    count = lambda n: F.count_if(F.col("at") == n)
+    return seen[0].unionByName(seen[1]).unionByName(seen[2]).agg(count(0).alias("n_before"), count(1).alias("n_after"), count(2).alias("n_again"))
+
+
+@query(f"SELECT id, total FROM ({DOCUMENTS})")
+def concurrent_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers at a time, each with two thirds of all documents: none is lost, none comes twice."""
+    rows, store = documents_of(spark, sf_dir), new_store(spark)
+    turn = F.pmod(F.col("id").cast("long"), F.lit(3))
+    errors: list[Exception] = []
+
+    def write(left_out: int) -> None:
+        try:
+            DocumentStore(spark, store.path).append(rows.where(turn != left_out), "id", strict=False)
+        except Exception as error:  # noqa: BLE001 - raised below, by the thread that waits
+            errors.append(error)
+
+    writers = [threading.Thread(target=write, args=(k,)) for k in (0, 1)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    if errors:
+        raise errors[0]
+    return store.table().select("id", money(F.col("total_devengado")).alias("total"))
+
+
+@query(f"SELECT id, empresa, total FROM ({DOCUMENTS}) WHERE key % 5 <> 0 AND empresa <> 'MACHINERY'")
+def compacted_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of three inserts after a fifth of all documents and then a company went, between them folded into one part."""
+    rows, store = documents_of(spark, sf_dir), new_store(spark)
+    key = F.col("id").cast("long")
+    for part in range(3):
+        store.append(rows.where(F.pmod(key, F.lit(3)) == part))
+    store.delete_all(rows.where(key % 5 == 0).select("id"))
+    store.compact()
+    store.delete_all(rows.where("empresa = 'MACHINERY'").select("id"))
+    return store.all().select("id", "empresa", money(F.col("total_devengado")).alias("total"))
+
+
+@query(
+    f"SELECT DISTINCT lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS id FROM lineitem WHERE l_quantity > 48 AND lpad(CAST(l_orderkey AS VARCHAR), 12, '0') IN (SELECT id FROM ({DOCUMENTS}) WHERE empresa = 'BUILDING')"
+)
+def known_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the line items' orders a store has, asked of its id filters."""
+    store = new_store(spark, documents_of(spark, sf_dir).where("empresa = 'BUILDING'"))
+    return store.known(table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.format_string("%012d", "l_orderkey").alias("id")).distinct())
+
+
+@query(
+    f"""SELECT id, 'row' AS cif, CAST(total / 4 AS BIGINT) AS rest_of, key % 7 AS level, 'P' || (key % 3) AS place, CASE WHEN key % 2 = 0 THEN 'k' || (key % 5) END AS tag
+    FROM ({DOCUMENTS}) WHERE total % 4 = 0"""
+)
+def open_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with fields that no model has, read by path and as a whole; where both have a name the column counts."""
+    key = F.col("id").cast("long")
+    own = documents_of(spark, sf_dir).withColumns({
+        "level": key % 7, "where": F.struct(F.concat(F.lit("P"), (key % 3).cast("string")).alias("name")), "tags": F.when(key % 2 == 0, F.array(F.concat(F.lit("k"), (key % 5).cast("string"))))
+    })
+    store = new_store(spark)
+    store.append(own, extra=("level", "where", "tags"))
+    changed = store.table().withColumn("cif", F.lit("row"))
+    found = merged(changed, level="$.level: long", place="$.where.name: string")
+    tag = F.try_variant_get("rest", "$.tags[0]", "string")
+    picked = found.select("id", "cif", money(F.col("complementos")).alias("rest_of"), "level", "place", tag.alias("tag"), money(F.col("total_devengado")).alias("total"))
+    return picked.where("total % 4 = 0").drop("total")
+
+
+def text_pages(content: bytes) -> list[str]:
+    """Pages of a plain text file."""
+    return content.decode().split("\f")
+
+
+@query(
+    f"SELECT CAST(o_custkey AS BIGINT) AS customer, strftime(max(day), '%Y-%m') || '-ALTRAN' AS id, CAST(sum(gross) AS BIGINT) AS gross, CAST(NULL AS VARCHAR) AS extract_error FROM ({CENTS}) WHERE o_custkey % 9 > 0 GROUP BY o_custkey"
+    f" UNION ALL SELECT DISTINCT CAST(o_custkey AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), 'UnicodeDecodeError' FROM ({CENTS}) WHERE o_custkey % 9 = 0"
+)
+def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each customer, written to a folder and read as a data source; a ninth of them are no texts."""
+    folder = new_folder(spark, "files")
+    own = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.sum(money(F.col("o_totalprice"))).alias("gross"), F.max("o_orderdate").alias("day"))
+    slips = payslips(own, "altran").select("key", F.date_format("day", "yyyy_MM").alias("month"), "text")
+
+    def write(batches):
+        import pyarrow as pa
+
+        store, place = opened(folder)
+        store.create_dir(place)
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                with store.open_output_stream(f"{place}/{row['month']}_c{row['key']}.pdf") as file:
+                    file.write(row["text"].encode() if row["key"] % 9 else b"\xff\xfe")
+            yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["n"])
+
+    slips.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    files = read_files(spark, folder, text_pages)
+    found = parse_documents(files, only="altran", fields=["id", "total_devengado"])
+    customer = F.regexp_extract("filename", r"_c(\d+)\.pdf$", 1).cast("long")
+    error = F.nullif(F.substring_index("extract_error", ":", 1), F.lit(""))
+    return found.select(customer.alias("customer"), "id", F.coalesce(money(F.col("total_devengado")), F.lit(0)).alias("gross"), error.alias("extract_error"))
+
+
+class PlainParser:
+    """Payslips of lines like ``gross: 12.34``."""
+
+    def parse(self, text: str, filename: str) -> dict:
+        said = dict(line.split(": ", 1) for line in text.splitlines() if ": " in line)
+        if "period" not in said:
+            raise ValueError("MISSING_PERIOD")
+        year, month = map(int, said["period"].split("-"))
+        gross, net = float(said["gross"]), float(said["net"])
+        return {
+            "id": f"{said['period']}-ACME", "anio": year, "mes": month, "periodo": said["period"], "empresa": "Acme", "cif": "A0",
+            "total_devengado": gross, "total_deducir": float(said["less"]), "liquido_percibir": net, "observaciones": filename,
+        }
+
+
+@query(
+    f"""SELECT key, CASE WHEN k < 3 THEN 'acme' ELSE 'altran' END AS format, CASE WHEN k = 0 OR k >= 3 THEN periodo || CASE WHEN k = 0 THEN '-ACME' ELSE '-ALTRAN' END END AS id,
+    CAST(CASE WHEN k = 0 OR k >= 3 THEN gross ELSE 0 END AS BIGINT) AS total_devengado, CASE k WHEN 1 THEN 'UNBALANCED' WHEN 2 THEN CASE WHEN key % 2 = 0 THEN 'MISSING_PERIOD' ELSE 'PARSER_ERROR' END END AS error_code
+    FROM (SELECT *, key % 5 AS k FROM ({SLIPS}))"""
+)
+def python_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A company's parser in Python beside the column formats, in one scan; its documents pass, don't balance, or can't be read."""
+    own = orders(spark, sf_dir)
+    gross, net = F.col("gross"), F.col("gross") - F.floor(F.col("gross") * 17 / 100)
+    amount = lambda cents: F.format_string("%d.%02d", F.floor(cents / 100), F.pmod(cents, F.lit(100)))
+    k = F.col("key") % 5
+    lines = F.concat(
+        F.lit("Acme\n"), F.when((k == 2) & (F.col("key") % 2 == 0), "").otherwise(F.concat(F.lit("period: "), F.date_format("day", "yyyy-MM"), F.lit("\n"))),
+        F.lit("gross: "), F.when(k == 2, "much").otherwise(amount(gross)), F.lit("\nless: "), amount(gross - net), F.lit("\nnet: "), amount(F.when(k == 1, net - 5).otherwise(net)), F.lit("\n"),
+    )
+    theirs = payslips(own, "altran").where("key % 5 >= 3").select("key", "filename", "text")
+    slips = own.where(k < 3).select("key", F.lit("slip.pdf").alias("filename"), lines.alias("text")).unionByName(theirs)
+    found = parse_documents(slips, DEFAULT.register(PythonFormat("acme", PlainParser)), fields=["id", "total_devengado"])
+    return found.select("key", "format", "id", F.coalesce(money(F.col("total_devengado")), F.lit(0)).alias("total_devengado"), "error_code")
 
 
 @query(f"SELECT count(DISTINCT id) AS n_ids, count(*) AS n_documents, count(DISTINCT periodo) AS n_periods FROM ({DOCUMENTS})")
@@ -288,8 +432,7 @@ def stored_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents_of(spark, sf_dir)
     store = new_store(spark, rows)
     store.append(rows, "id", strict=False)
-    ids = store.ids().agg(F.count("*").alias("n_ids"))
-    return ids.crossJoin(store.table().agg(F.count("*").alias("n_documents"), F.count_distinct("periodo").alias("n_periods")))  # one row each
+    return store.table().agg(F.count_distinct("id").alias("n_ids"), F.count("*").alias("n_documents"), F.count_distinct("periodo").alias("n_periods"))
 
 
 @query(f"SELECT id, tipo, total, CAST(total / 4 AS BIGINT) AS rest, 1 AS es_procesable FROM ({DOCUMENTS}) WHERE total % 4 = 0")
@@ -362,7 +505,7 @@ def kpi_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH r AS ({ROWS}), v AS (SELECT * FROM r WHERE total_devengado > 0)
-    SELECT ((SELECT total_devengado FROM v ORDER BY periodo DESC, id DESC LIMIT 1) / (SELECT total_devengado FROM v ORDER BY periodo, id LIMIT 1) - 1) * 100 AS growth_percent"""
+    SELECT round(((SELECT total_devengado FROM v ORDER BY periodo DESC, id DESC LIMIT 1) / (SELECT total_devengado FROM v ORDER BY periodo, id LIMIT 1) - 1) * 100, 1) AS growth_percent"""
 )
 def kpi_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.kpis(rows_of(spark, sf_dir)).select("growth_percent")
@@ -386,21 +529,51 @@ def line_series_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.pay_series_long(rows_of(spark, sf_dir))
 
 
+#: Pays with a long tail, so that some are far from the others.
+TAILED = f"SELECT * REPLACE (total_devengado * total_devengado / 1000.0 AS total_devengado) FROM ({ROWS})"
+FENCES = (
+    "q AS (SELECT empresa, quantile_cont(total_devengado, 0.25) AS q1, quantile_cont(total_devengado, 0.5) AS median, quantile_cont(total_devengado, 0.75) AS q3,"
+    " min(total_devengado) AS lowest, max(total_devengado) AS highest, count(*) AS documents FROM v GROUP BY empresa)"
+)
+
+
+def tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows_of(spark, sf_dir).withColumn("total_devengado", F.col("total_devengado") * F.col("total_devengado") / 1000.0)
+
+
 @query(
-    f"""WITH v AS (SELECT * FROM ({ROWS}) WHERE total_devengado > 0), q AS (
-      SELECT empresa, quantile_cont(total_devengado, 0.25) AS q1, quantile_cont(total_devengado, 0.75) AS q3 FROM v GROUP BY empresa)
+    f"""WITH v AS (SELECT * FROM ({TAILED}) WHERE total_devengado > 0), {FENCES}
     SELECT id, empresa, periodo, total_devengado FROM v JOIN q USING (empresa) WHERE total_devengado < q1 - 1.5 * (q3 - q1) OR total_devengado > q3 + 1.5 * (q3 - q1)"""
 )
 def pay_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.outliers(rows_of(spark, sf_dir))
+    return analytics.outliers(tailed(spark, sf_dir))
 
 
 @query(
-    f"""SELECT empresa, min(total_devengado) AS lowest, quantile_cont(total_devengado, 0.25) AS q1, quantile_cont(total_devengado, 0.5) AS median, quantile_cont(total_devengado, 0.75) AS q3,
-      max(total_devengado) AS highest, count(*) AS documents FROM ({ROWS}) WHERE total_devengado > 0 GROUP BY empresa"""
+    f"""WITH v AS (SELECT * FROM ({TAILED}) WHERE total_devengado > 0), {FENCES}
+    SELECT empresa, lowest, q1, median, q3, highest, documents, min(total_devengado) FILTER (WHERE inside) AS low_whisker, max(total_devengado) FILTER (WHERE inside) AS high_whisker,
+      count(*) FILTER (WHERE NOT inside) AS outliers FROM (SELECT *, total_devengado BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM v JOIN q USING (empresa))
+    GROUP BY empresa, lowest, q1, median, q3, highest, documents"""
 )
 def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.pay_ranges(rows_of(spark, sf_dir))
+    return analytics.pay_ranges(tailed(spark, sf_dir))
+
+
+@query(
+    f"""WITH r AS ({ROWS}), v AS (SELECT * FROM r WHERE total_devengado > 0), l AS (SELECT * FROM v ORDER BY periodo DESC, id DESC LIMIT 1), f AS (SELECT * FROM v ORDER BY periodo, id LIMIT 1)
+    SELECT format('{{:,.2f}} €', l.total_devengado) AS gross, format('{{:,.2f}} €', l.liquido_percibir) AS net, format('{{:,.1f}} %', l.irpf_porcentaje) AS tax_rate,
+      format('{{:,.1f}} %', round((l.total_devengado / f.total_devengado - 1) * 100, 1)) AS growth, CAST((SELECT count(DISTINCT empresa) FROM v) AS VARCHAR) AS companies FROM l, f"""
+)
+def kpi_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest values as they are shown."""
+    return analytics.kpi_texts(rows_of(spark, sf_dir))
+
+
+@query(f"SELECT id, CAST(round(total_devengado * 100) AS BIGINT) - CAST(round(liquido_percibir * 100) AS BIGINT) AS deductions FROM (SELECT id, total_devengado, floor(total_devengado * 50) / 100 AS liquido_percibir FROM ({ROWS}))")
+def derived_deductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gross less net pay, which isn't stored."""
+    rows = rows_of(spark, sf_dir).withColumn("liquido_percibir", F.floor(F.col("total_devengado") * 50) / 100)
+    return analytics.with_deductions(rows).select("id", money(F.col("total_deducciones")).alias("deductions"))
 
 
 @query(f"SELECT periodo, id, total_devengado, liquido_percibir FROM ({ROWS}) WHERE total_devengado > 0")
@@ -444,5 +617,5 @@ def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders as payslips of five formats, parsed in one scan, checked and summed up by month."""
     slips = named(orders(spark, sf_dir), ("alten", "altran", "exceltic", "ineco", "insis")).select("key", "filename", "text")
-    fine = parse_documents(slips).where("status = 'OK'")
+    fine = parse_documents(slips, fields=["periodo", "total_devengado", "liquido_percibir"]).where("status = 'OK'")
     return fine.groupBy("periodo").agg(F.count("*").alias("n_documents"), F.sum(money(F.col("total_devengado"))).alias("gross"), F.sum(money(F.col("liquido_percibir"))).alias("net"))

@@ -47,31 +47,31 @@ REQUIRED = ("id", "anio", "mes", "periodo", "empresa", "cif", "tipo", "payload")
 #: All model fields, by name, for decoding payloads of any kind.
 PAYLOAD = T.StructType(list({f.name: f for s in (PAYSLIP, SETTLEMENT, TAX_CERTIFICATE) for f in s}.values()))
 
-#: Text and file name of a document to parse.
-EXTRACTED = T.StructType([T.StructField("filename", T.StringType()), T.StructField("text", T.StringType())])
-
 #: Why a document was rejected, in the order in which checks are made.
 NO_TEXT, UNKNOWN_FORMAT, NOT_IMPLEMENTED = "NO_TEXT", "UNKNOWN_OR_AMBIGUOUS_FORMAT", "NOT_IMPLEMENTED"
 MISSING_PERIOD, MISSING_TOTALS, SETTLEMENT_UNSUPPORTED, MISSING_NET = "MISSING_PERIOD", "MISSING_TOTALS", "SETTLEMENT_UNSUPPORTED", "MISSING_NET"
 MISSING_TOTAL, INVALID_TOTAL, RAW_AMOUNT_ERROR = "MISSING_TOTAL", "INVALID_TOTAL", "RAW_AMOUNT_ERROR"
 INVALID_PERIOD, NON_FINITE, UNBALANCED = "INVALID_PERIOD", "NON_FINITE", "UNBALANCED"
 DUPLICATE_ID, MISMATCH = "DUPLICATE_ID", "DESCUADRE"
+#: Whatever else a parser given as Python raises.
+CUSTOM_ERROR = "PARSER_ERROR"
 
 #: What people are told.
 MESSAGES = {
-    NO_TEXT: "Document has no extractable text",
-    UNKNOWN_FORMAT: "Unknown or ambiguous payroll format; name the company",
-    NOT_IMPLEMENTED: "This company's format is not implemented",
-    MISSING_PERIOD: "Missing payroll period",
-    MISSING_TOTALS: "Missing payroll totals",
-    SETTLEMENT_UNSUPPORTED: "Settlement documents are not supported",
-    MISSING_NET: "Missing net payroll total",
-    MISSING_TOTAL: "Missing payroll total",
-    INVALID_TOTAL: "Invalid payroll total",
-    RAW_AMOUNT_ERROR: "An amount is not a number",
-    INVALID_PERIOD: "Invalid or missing payroll period",
-    NON_FINITE: "Non-finite payroll total",
-    UNBALANCED: "Payroll totals do not balance",
+    NO_TEXT: "The file holds no text that can be read",
+    UNKNOWN_FORMAT: "Text and file name must name exactly one known company",
+    NOT_IMPLEMENTED: "Payslips of this company can't be read yet",
+    MISSING_PERIOD: "No payroll period was found",
+    MISSING_TOTALS: "The line of totals was not found",
+    SETTLEMENT_UNSUPPORTED: "This is a settlement, which is not read",
+    MISSING_NET: "Net pay was not found",
+    MISSING_TOTAL: "A required total was not found",
+    INVALID_TOTAL: "A required total is no number",
+    RAW_AMOUNT_ERROR: "An amount is no number",
+    INVALID_PERIOD: "The payroll period is no month from 1900 on",
+    NON_FINITE: "A total is not finite",
+    UNBALANCED: "Gross less deductions is not net pay",
     DUPLICATE_ID: "A document with this id exists",
     MISMATCH: "Net pay differs from gross less deductions",
+    CUSTOM_ERROR: "The company's own parser failed",
 }

@@ -19,7 +19,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,6 +116,12 @@ def as_payslips(rows: DataFrame, exact: bool = False) -> DataFrame:
     return rows.select(*((kind if f.name == "tipo" else F.col(f.name)).cast(f.dataType).alias(f.name) for f in PAYSLIP))
 
 
+def to_dict(row: Row) -> dict[str, object]:
+    """A payslip row's model fields by name, in the model's order; other columns are left out."""
+    has = row.asDict()
+    return {n: has[n] for n in PAYSLIP.names if n in has}
+
+
 def first_rows(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """Of the rows of each key the first one by ``order``, then by all other columns.
 

@@ -50,6 +50,37 @@ def test_analytics_edges(spark):
     assert [r.total_devengado for r in analytics.outliers(many).collect()] == [90.0]
 
 
+def test_whiskers_and_derived_values(spark):
+    schema = "id string, periodo string, empresa string, total_devengado double, liquido_percibir double, irpf_porcentaje double"
+    pays = [10, 11, 12, 13, 90, -50]
+    rows = spark.createDataFrame([(str(k), f"2099-0{k + 1}", "E" if k < 7 else None, float(v), v / 3, 2.0) for k, v in enumerate(pays + [1234567.891] + [5, 5])], schema)
+    box = {r.empresa: r for r in analytics.pay_ranges(rows).collect()}
+    assert (box["E"].low_whisker, box["E"].high_whisker, box["E"].outliers, box["E"].documents, box["E"].highest) == (10.0, 90.0, 1, 6, 1234567.891)
+    assert (box[None].low_whisker, box[None].high_whisker, box[None].outliers) == (5.0, 5.0, 0)
+    assert [r.id for r in analytics.outliers(rows).collect()] == ["6"]
+    shown = analytics.kpi_texts(rows.where("empresa = 'E'")).first()
+    assert (shown.gross, shown.net, shown.growth, shown.tax_rate, shown.companies) == ("1,234,567.89 €", "411,522.63 €", "12,345,578.9 %", "2.0 %", "1")
+    assert [r.total_deducciones for r in analytics.with_deductions(rows).where("id = '3'").collect()] == [8.67]
+
+
+def test_multiset_difference_is_one_pass(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), ("b", 1)], "k string, v int")
+    right = spark.createDataFrame([("a", 1), (None, 2), (None, 2), (None, 2), ("c", 1)], "k string, v int")
+    found = analytics.multiset_difference(left, right)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("a", 1, "removed"), ("b", 1, "removed"), (None, 2, "added"), (None, 2, "added"), ("c", 1, "added")], key=str)
+
+
+def test_rows_as_dicts(spark):
+    from payspark.schema import PAYSLIP
+    from payspark.sources.store import to_dict
+
+    row = catalog.new_store(spark, catalog.documents_of(spark, DATA)).all().first()
+    said = to_dict(row)
+    assert list(said) == [n for n in PAYSLIP.names if n in row] and said["id"] == row.id and "payload" not in said
+
+
 def test_quartiles_of_skewed_groups(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice("AAAAAAAB") if k % 50 else None, float(rnd.choice([1, 2, 2, 3, 50, rnd.randrange(1, 10**4)]))) for k in range(3000)] + [("one", 5.0), ("two", 1.0), ("two", 2.0)]

@@ -1,6 +1,7 @@
 """Parsing of all formats: the samples, fallbacks and every rejection."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from payspark import schema as S
 from payspark.operators.dispatch import DEFAULT
@@ -119,7 +120,7 @@ def test_insis(spark):
 
 def test_strict_fails(spark):
     frame = spark.createDataFrame([("a.pdf", "nothing")], "filename string, text string")
-    with pytest.raises(Exception, match="ambiguous"):
+    with pytest.raises(Exception, match="exactly one known company"):
         strict(parse_documents(frame)).collect()
 
 
@@ -129,3 +130,69 @@ def test_registered_format(spark):
     added = replace(FORMATS[0], key="acme", company="Acme", cif="X1", suffix="ACME")
     frame = spark.createDataFrame([("209903_acme.pdf", ALTEN)], "filename string, text string")
     assert parse_documents(frame, DEFAULT.register(added)).first()["id"] == "2099-03-ACME"
+
+
+def test_python_format(spark):
+    class Counted:
+        """A parser in Python that says how it fared."""
+
+        def parse(self, text, filename):
+            if "broken" in text:
+                raise RuntimeError("no such line")
+            if "later" in text:
+                raise NotImplementedError
+            if "settled" in text:
+                raise ValueError("SETTLEMENT_UNSUPPORTED", "more")
+            if "lacking" in text:
+                return {"id": "x"}
+            gross = 100.0 if "bad" not in text else 99.0
+            return {"id": filename, "anio": 2099, "mes": 13 if "month" in text else 1, "periodo": "2099-01", "empresa": "Own", "cif": "Z", "total_devengado": gross, "total_deducir": 40, "liquido_percibir": 60.0}
+
+    from payspark.operators.formats.python import PythonFormat
+    from payspark.schema import PAYSLIP
+
+    registry = DEFAULT.register(PythonFormat("ownco", Counted))
+    texts = ["ownco fine", "ownco broken", "ownco later", "ownco settled", "ownco lacking", "ownco bad", "ownco month", "ownco altran", "ownco", "", None]
+    rows = [(k, f"{k}.pdf", t) for k, t in enumerate(texts)] + [(20, "209903_alten.pdf", "Alten " + ALTEN), (21, None, "nothing")]
+    found = {r.k: r for r in parse_documents(spark.createDataFrame(rows, "k int, filename string, text string").repartition(3), registry).collect()}
+    codes = {k: r.error_code for k, r in found.items()}
+    assert codes == {0: None, 1: "PARSER_ERROR", 2: "NOT_IMPLEMENTED", 3: "SETTLEMENT_UNSUPPORTED", 4: "PARSER_ERROR", 5: "UNBALANCED", 6: "INVALID_PERIOD", 7: "UNKNOWN_OR_AMBIGUOUS_FORMAT", 8: None, 9: "NO_TEXT", 10: "NO_TEXT", 20: None, 21: "UNKNOWN_OR_AMBIGUOUS_FORMAT"}
+    assert (found[0].id, found[0].total_deducir, found[0].tipo, found[0].es_procesable, found[0].categoria, found[0].salario_base) == ("0.pdf", 40.0, "NOMINA_ORDINARIA", True, None, 0.0)
+    assert found[1].error_message == "RuntimeError: no such line" and "missing fields: ['anio'" in found[4].error_message and found[5].id is None
+    assert found[20].id == "2099-03-ALTEN" and found[0].asDict().keys() >= set(PAYSLIP.names)
+    plan = parse_documents(spark.createDataFrame(rows, "k int, filename string, text string"), registry)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    only = parse_documents(spark.createDataFrame([("a.pdf", "anything")], "filename string, text string"), registry, only="ownco").first()
+    assert (only.format, only.id) == ("ownco", "a.pdf")
+
+
+def test_fields_that_are_asked_for(spark):
+    from payspark.operators.parse import formats_of, statuses_of
+    from payspark.plans.synth import fallbacks, rejected
+
+    keys = spark.range(0, 120).select(F.col("id").alias("key"), (F.col("id") * 1000 + 5000).alias("gross"), F.lit("2099-03-01").cast("timestamp").alias("day"))
+    texts = fallbacks(keys).select("key", "filename", "text").unionByName(rejected(keys.select((F.col("key") + 1000).alias("key"))).select("key", "filename", "text"))
+    texts = texts.cache()
+    whole = {r.key: r for r in parse_documents(texts).collect()}
+    for fields in (["id"], ["complementos", "tipo"], ["categoria", "periodo"], ["base_ss_comunes", "irpf_importe", "otras_deducciones"], []):
+        for r in parse_documents(texts, fields=fields).collect():
+            assert [r[f] for f in fields] + [r.format, r.error_code] == [whole[r.key][f] for f in fields] + [whole[r.key].format, whole[r.key].error_code]
+    assert {r.key: r.format for r in formats_of(texts).collect()} == {k: r.format for k, r in whole.items()}
+    assert all((r.status, r.error_message) == (whole[r.key].status, whole[r.key].error_message) for r in statuses_of(texts).collect())
+    with pytest.raises(ValueError, match="surname"):
+        parse_documents(texts, fields=["surname"])
+
+
+def test_filters_reach_the_scan_and_unread_stages_go(spark, tmp_path):
+    from payspark.operators.parse import formats_of, statuses_of
+
+    spark.createDataFrame([(7, "a.pdf", "Alten " + ALTEN, 1)], "doc_id long, filename string, text string, more int").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    own = plan(parse_documents(docs).where("doc_id = 7 and status = 'OK'").select("doc_id", "id"))
+    assert "EqualTo(doc_id,7)" in own.split("PushedFilters")[1] and "more" not in own.split("ReadSchema")[1]
+    assert len(plan(statuses_of(docs))) < len(plan(parse_documents(docs)))
+    short = plan(formats_of(docs).where("doc_id = 7").select("doc_id", "format"))
+    assert "EqualTo(doc_id,7)" in short and "regexp_extract" not in short and len(short) < 5000
+    totals = plan(parse_documents(docs, fields=["total_devengado"]))
+    assert "9001" not in totals and "9001" in plan(parse_documents(docs, fields=["salario_base"]))
