@@ -530,7 +530,7 @@ def line_series_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Pays with a long tail, so that some are far from the others.
-TAILED = f"SELECT * REPLACE (total_devengado * total_devengado / 1000.0 AS total_devengado) FROM ({ROWS})"
+TAILED = f"SELECT * REPLACE (floor(total_devengado * total_devengado * total_devengado * total_devengado / 1e13) / 100 AS total_devengado) FROM ({ROWS})"
 FENCES = (
     "q AS (SELECT empresa, quantile_cont(total_devengado, 0.25) AS q1, quantile_cont(total_devengado, 0.5) AS median, quantile_cont(total_devengado, 0.75) AS q3,"
     " min(total_devengado) AS lowest, max(total_devengado) AS highest, count(*) AS documents FROM v GROUP BY empresa)"
@@ -538,7 +538,8 @@ FENCES = (
 
 
 def tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows_of(spark, sf_dir).withColumn("total_devengado", F.col("total_devengado") * F.col("total_devengado") / 1000.0)
+    pay = F.col("total_devengado")
+    return rows_of(spark, sf_dir).withColumn("total_devengado", F.floor(pay * pay * pay * pay / F.lit(1e13)) / 100)
 
 
 @query(
