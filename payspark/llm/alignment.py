@@ -43,7 +43,7 @@ from payspark.llm.checkpoints import Scratch, saved
 from payspark.llm.segments import Numbered, byte_tokenizer, encoded, gathered, piece_tokenizer, segments_of
 
 #: Text handled at once, and bytes of the segments that a worker remembers.
-SLICE, REMEMBERED = 3 << 20, 3 << 20
+SLICE, REMEMBERED = 2 << 20, 2 << 20
 #: Links that a task holds before it sums them.
 HELD = 1 << 20
 #: Bits of a packed link that hold the second vocabulary's id.
