@@ -28,7 +28,9 @@ for each unit; the class matrices have a fixed size.
 Defined results: a null or empty text is its end alone; repeated rows are
 counted and scored once each; a row without an id is in no fold, hence in
 training; without training documents all counts are 0; other columns are
-ignored; an empty table gives no rows.
+ignored; an empty table gives no rows. Words of one count are ranked by their
+bytes, so ties have one order. A very long text is held in one task with its
+words.
 """
 
 from __future__ import annotations

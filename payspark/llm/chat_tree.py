@@ -27,7 +27,8 @@ Defined results: turns go by turn, then role and text; a null role or text is
 empty, a null turn comes first; a row without ``conv_id`` is a conversation of
 its own, so that such rows are no hot group; repeated rows are turns of their
 own; only the role ``assistant`` is under the loss mask; other columns are
-ignored; an empty table gives no rows.
+ignored; an empty table gives no rows. A very long text is encoded in one call,
+with its tokens in memory.
 """
 
 from __future__ import annotations

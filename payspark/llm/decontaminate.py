@@ -15,7 +15,10 @@ Defined results: a null or empty text, document or item, has no words, so it
 neither hits nor is hit; items without an id are left out; an id that comes
 more than once has the windows of all its rows and is listed once; repeated
 documents get the same result each; an empty benchmark hits nothing; other
-columns pass through; an empty table gives no rows.
+columns pass through; an empty table gives no rows. Of equally long matches
+in a shard ``longest_matches`` reports one, and windows hit at all their
+locations. A very long text is a shard of its own, held in one task with some
+forty bytes for each word.
 """
 
 from __future__ import annotations

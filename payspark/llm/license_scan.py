@@ -22,7 +22,9 @@ another.
 
 Defined results: a null or empty text has no words, null places, empty labels
 and the score 0; repeated rows get the same result each; a null ``doc_id``
-stays null; other columns are ignored; an empty table gives no rows.
+stays null; other columns are ignored; an empty table gives no rows. Of
+templates that match at one place all give their labels. A very long text is
+one row with an array of its words.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ folders.
 
 Defined results: a null or empty text is one piece that holds the end id
 alone; repeated rows are packed once each; a null ``doc_id`` stays null; other
-columns are ignored; an empty table gives no rows.
+columns are ignored; an empty table gives no rows. Documents of one length
+don't compete for a place, as each piece is a sequence of its own. A very long
+text is held in one task with its ids.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ Scoring is a map over the documents; the forest has a fixed size.
 Defined results: a null or empty text has no words and fails the base rules;
 repeated rows get the same result each; without labelled rows of both kinds
 nothing is rejected but by the base rules; labels of unknown documents don't
-count; other columns are ignored, and an empty table gives no rows.
+count; other columns are ignored, and an empty table gives no rows. A score at
+the threshold is kept. A very long text is held in one
+task with its words.
 """
 
 from __future__ import annotations

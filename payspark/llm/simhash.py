@@ -19,9 +19,9 @@ distributed contraction of these links, so copies are never expanded.
 Defined results: a null or empty text has the fingerprint zero, linked like
 any other; fewer than three words are one shingle; repeated rows share their
 component; a row without a ``doc_id`` links its neighbours, but a component
-is named after ids alone (null if it has none); other columns pass through
-``keep_one``, which leaves one row for a repeated id and all rows without an
-id; an empty table gives no rows.
+is named after ids alone (null if it has none); fingerprints at equal distance
+all link; other columns are ignored; an empty table gives no rows. A very long
+text is held in one task with the hashes of its shingles.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payspark.llm.arrowtext import LOWER, as_strings, data_of, free_name, mapped, owners, slices, words_of
+from payspark.llm.arrowtext import LOWER, as_strings, data_of, mapped, owners, slices, words_of
 from payspark.llm.checkpoints import checkpointed
 from payspark.llm.components import components
 
@@ -226,15 +226,6 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with the columns that ``docs`` had."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    flag, own = free_name("kept", docs.columns), free_name("row", docs.columns)
-    marked = docs.join(kept.withColumn(flag, F.lit(True)), "doc_id", "left").where(F.col(flag) | F.col("doc_id").isNull())
-    marked = marked.withColumn(own, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return marked.dropDuplicates(["doc_id", own]).select(*docs.columns)
-
-
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op7: every document's fingerprint and the smallest id of its component."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

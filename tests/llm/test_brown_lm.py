@@ -68,13 +68,16 @@ def test_scores(spark):
     texts = [" ".join(rng.choice(["The", "the", "of", "Ändern", "x1", "zwölf"], 30)) + f" rare{k % 7}" for k in range(80)]
     rows = [(k, t, 1) for k, t in enumerate(texts)]
     rows += [(500, "", 1), (501, None, 1), (502, "unseen words only", 1), (None, "null id", 1), (503, "w " * 20_000, 1)]
+    twice = next(k for k in range(504, 700) if zlib.crc32(str(k).encode()) % 10 == 0)  # held out, so it isn't counted
+    rows += [(twice, "a row that comes the of twice", 1)] * 2
     table = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
     from pyspark.sql import functions as F
 
     docs = table.select("doc_id", "text", (B.fold("doc_id", 10) == 0).alias("flag"))
     model, counts = B.train(docs.where(~F.col("flag")))
-    found = {r.doc_id: r for r in B.score(docs, model, counts).collect()}
-    assert len(found) == len(rows)
+    scored = B.score(docs, model, counts).collect()
+    found = {r.doc_id: r for r in scored}
+    assert len(scored) == len(rows) == len(found) + 1 and len({tuple(r) for r in scored if r.doc_id == twice}) == 1
     token = {k: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [None] for k, t, _ in rows}
     held = {k: k is not None and zlib.crc32(str(k).encode()) % 10 == 0 for k in token}
     count = collections.Counter(w for k, ws in token.items() if not held[k] for w in ws)

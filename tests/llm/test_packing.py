@@ -30,13 +30,15 @@ def test_pack(spark, name):
     path = public_tokenizers.path(name)
     assert P.is_known(path) == (name == "word_bpe_49k.json")  # any other file goes the long way
     whole = Tokenizer.from_file(path)
-    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(TEXTS)] + [(None, "no id", "y")], "doc_id long, text string, start string").repartition(3)
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(TEXTS)] + [(None, "no id", "y")] + [(100, "met twice here", "x")] * 2, "doc_id long, text string, start string").repartition(3)
     rows = P.pack(docs, path).collect()
     for k, text in [*enumerate(TEXTS), (None, "no id")]:
         want = whole.encode(text or "", add_special_tokens=False).ids + [2]
         own = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.start)
         assert [i for r in own for i in r.ids] == want
         assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.length == len(r.ids) == 2**r.bucket and r.doc_tokens == len(want) and r.offset == 0 for r in own)
+    twice = [r for r in rows if r.doc_id == 100]  # a row that comes twice is packed twice
+    assert sum(r.length for r in twice) == 2 * twice[0].doc_tokens and all(sum(r.start == s.start for s in twice) == 2 for r in twice)
     assert len({r.sequence_id for r in rows}) == len(rows)
     assert P.pack(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
