@@ -7,16 +7,23 @@ that speak against, neighbouring characters, repetition) vote for, against or
 abstain. The votes of all candidates of the corpus are counted by kind and
 pattern of votes, a table of at most kinds x 3^7 rows whatever the input.
 From it, expectation-maximisation estimates each labeler's reliability and
-each pattern's probability, and these train the final span classifier, a
-logistic regression. Strict matches always stay; other candidates are spans if
-the classifier gives them at least one half.
+each pattern's probability. These are the labels that train the final span
+classifier, a logistic regression. It sees the votes and, beyond them, the span
+itself: its length, the entropy of its characters, its share of digits, its
+case, its separators and the characters around it. Its Newton steps sum
+gradients in tasks, over a table of candidates counted by votes and span
+features, so the driver holds a matrix of fixed size. Strict matches always
+stay; other candidates are spans if the classifier gives them at least one
+half.
 
-Both passes are maps over whole texts; only the table of patterns is shuffled.
+Both passes are maps over whole texts; only the counted candidates are shuffled.
 
 Defined results: a null or empty text has no spans; repeated rows have the
 same spans each; starts and ends count code points, ends exclusive; an added
 span never overlaps a strict one; other columns pass through ``redact``, which
-recomputes ``n_chars`` where there is one; an empty table gives no rows.
+recomputes ``n_chars`` where there is one; an empty table gives no rows. A
+probability of just one half is a span. A very long text is held in one task
+with its candidates.
 """
 
 from __future__ import annotations
@@ -35,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from payspark.llm.arrowtext import annotate, as_strings, data_of, offsets_of, slices
+from payspark.llm.checkpoints import Scratch
 
 KINDS = ("email", "ip", "card", "phone", "secret", "iban", "ssn")
 STRICT = 4
@@ -194,6 +202,41 @@ def votes(data: bytes, kind: int, start: int, end: int, strict: bool) -> int:
     return sum(v * 3**k for k, v in enumerate(found))
 
 
+#: Span features, each with so many values: how long, how mixed, how many digits, letters of which case, separators, what is before and after.
+SHAPES = (8, 8, 4, 4, 4, 4, 4)
+
+
+def _around(text: str) -> int:
+    """0 for white space or an end, 1 for a quote or a sign of assignment, 2 for other characters, 3 for letters and digits."""
+    return 0 if not text or text.isspace() else 1 if text in "\"'`=:" else 3 if text.isalnum() else 2
+
+
+def shape(data: bytes, start: int, end: int) -> int:
+    """The span's own features as one number, digits to the bases ``SHAPES``."""
+    own = data[start:end]
+    size = len(own)
+    share = np.bincount(np.frombuffer(own, np.uint8), minlength=1)
+    share = share[share > 0] / size
+    digits = sum(48 <= c < 58 for c in own)
+    case = any(97 <= c < 123 for c in own) + 2 * any(65 <= c < 91 for c in own)
+    marks = len({c for c in own if not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123)})
+    before, after = (data[max(0, start - 1) : start].decode(errors="replace"), data[end : end + 1].decode(errors="replace"))
+    values = (min(7, size.bit_length()), min(7, int(-1.5 * (share * np.log2(share)).sum())), min(3, 4 * digits // size), case, min(3, marks), _around(before), _around(after))
+    code = 0
+    for value, base in zip(values, SHAPES):
+        code = code * base + value
+    return code
+
+
+def shapes_of(code: np.ndarray) -> np.ndarray:
+    """One column for each value of each span feature."""
+    out = []
+    for base in reversed(SHAPES):
+        out.append(np.eye(base)[code % base])
+        code = code // base
+    return np.concatenate(out[::-1], axis=1)
+
+
 def digits_of(pattern: np.ndarray) -> np.ndarray:
     return pattern[:, None] // 3 ** np.arange(LABELERS) % 3
 
@@ -214,6 +257,49 @@ def candidates(texts: pa.StringArray) -> tuple[np.ndarray, list[tuple[int, int,
     return offsets_of(texts)[:-1] + np.arange(len(texts)), sorted([*((*s, True) for s in strict), *more]), data
 
 
+def weighed(kind: np.ndarray, pattern: np.ndarray, count: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation: the probability of each pattern, and each kind's labeler reliabilities P(vote | no span, span)."""
+    vote = digits_of(pattern)
+    lean = (vote == 2).sum(axis=1) - 1.5 * (vote == 0).sum(axis=1)
+    p = 1 / (1 + np.exp(-(lean - 1.5)))
+    table = np.zeros((len(KINDS), 2, LABELERS, 3))
+    for _ in range(rounds):  # one pseudo-count of a fair labeler each
+        prior = np.full((len(KINDS), 2), 1.0)
+        table[:] = np.array([[0.3, 0.5, 0.2], [0.1, 0.5, 0.4]])[None, :, None, :] * 4
+        for y, q in enumerate((1 - p, p)):
+            np.add.at(prior[:, y], kind, q * count)
+            for k in range(LABELERS):
+                np.add.at(table[:, y, k], (kind, vote[:, k]), q * count)
+        table /= table.sum(axis=3, keepdims=True)
+        prior /= prior.sum(axis=1, keepdims=True)
+        row = np.arange(len(kind))[:, None]
+        each = [np.log(table[kind, y][row, np.arange(LABELERS), vote]).sum(axis=1) for y in (0, 1)]
+        log = np.log(prior[kind]) + np.stack(each, axis=1)
+        p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -30, 30)))
+    return p, table
+
+
+def features(kind: np.ndarray, pattern: np.ndarray, code: np.ndarray) -> np.ndarray:
+    vote = digits_of(pattern)
+    return np.concatenate([np.eye(len(KINDS))[kind], (vote == 2).astype(float), (vote == 0).astype(float), shapes_of(code)], axis=1)
+
+
+WIDTH = len(KINDS) + 2 * LABELERS + sum(SHAPES)
+#: Newton steps, the penalty on weights, and the tasks that sum for a step.
+STEPS, RIDGE, TASKS = 12, 0.05, 16
+
+
+def logistic(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+
+
+def sums(weights: np.ndarray, labels: np.ndarray, kind: np.ndarray, pattern: np.ndarray, code: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of the likelihood of some counted candidates, below one another; ``labels`` by kind and pattern."""
+    x = features(kind, pattern, code)
+    q = logistic(x, weights)
+    return np.concatenate([(x.T @ (share * (labels[kind, pattern] - q)))[None], (x * (share * q * (1 - q))[:, None]).T @ x])
+
+
 @dataclass
 class SpanModel:
     """``weights`` of the span classifier, and each kind's labeler reliabilities P(vote | span)."""
@@ -221,58 +307,56 @@ class SpanModel:
     weights: np.ndarray
     reliability: np.ndarray
 
-    @staticmethod
-    def features(kind: np.ndarray, pattern: np.ndarray) -> np.ndarray:
-        vote = digits_of(pattern)
-        return np.concatenate([np.eye(len(KINDS))[kind], (vote == 2).astype(float), (vote == 0).astype(float)], axis=1)
-
-    def probability(self, kind: np.ndarray, pattern: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(kind, pattern) @ self.weights, -30, 30)))
-
-    @classmethod
-    def fit(cls, kind: np.ndarray, pattern: np.ndarray, count: np.ndarray, rounds: int = 40) -> SpanModel:
-        vote = digits_of(pattern)
-        lean = (vote == 2).sum(axis=1) - 1.5 * (vote == 0).sum(axis=1)
-        p = 1 / (1 + np.exp(-(lean - 1.5)))
-        table = np.zeros((len(KINDS), 2, LABELERS, 3))
-        for _ in range(rounds):  # expectation-maximisation; one pseudo-count of a fair labeler each
-            prior = np.full((len(KINDS), 2), 1.0)
-            table[:] = np.array([[0.3, 0.5, 0.2], [0.1, 0.5, 0.4]])[None, :, None, :] * 4
-            for y, q in enumerate((1 - p, p)):
-                np.add.at(prior[:, y], kind, q * count)
-                for k in range(LABELERS):
-                    np.add.at(table[:, y, k], (kind, vote[:, k]), q * count)
-            table /= table.sum(axis=3, keepdims=True)
-            prior /= prior.sum(axis=1, keepdims=True)
-            row = np.arange(len(kind))[:, None]
-            each = [np.log(table[kind, y][row, np.arange(LABELERS), vote]).sum(axis=1) for y in (0, 1)]
-            log = np.log(prior[kind]) + np.stack(each, axis=1)
-            p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -30, 30)))
-        x, weights = cls.features(kind, pattern), np.zeros(len(KINDS) + 2 * LABELERS)
-        share = count / max(count.sum(), 1) * 1000
-        for _ in range(30):  # Newton steps on the ridge-penalised likelihood of the soft labels
-            q = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            hessian = (x * (share * q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(len(weights))
-            weights = weights + np.linalg.solve(hessian, x.T @ (share * (p - q)) - 0.05 * weights)
-        return cls(weights, table)
+    def probability(self, kind: np.ndarray, pattern: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return logistic(features(kind, pattern, code), self.weights)
+
+
+def trained(counted: DataFrame) -> SpanModel:
+    """The model from candidates counted by kind, pattern and code: a saved table (kind, pattern, code, n)."""
+    rows = sorted(tuple(r) for r in counted.groupBy("kind", "pattern").agg(F.sum("n").alias("n")).collect())  # at most kinds x 3^7 rows
+    table = np.array(rows, np.int64).reshape(-1, 3)
+    p, reliability = weighed(table[:, 0], table[:, 1], table[:, 2].astype(np.float64))
+    labels, weights = np.zeros((len(KINDS), 3**LABELERS)), np.zeros(WIDTH)
+    labels[table[:, 0], table[:, 1]] = p
+    scale = 1000 / max(table[:, 2].sum(), 1)
+
+    def run(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((WIDTH + 1, WIDTH))
+        for batch in batches:
+            kind, pattern, code, n = (batch.column(c).to_numpy() for c in ("kind", "pattern", "code", "n"))
+            for at in range(0, len(kind), 4096):
+                some = slice(at, at + 4096)
+                total += sums(weights, labels, kind[some], pattern[some], code[some], n[some] * scale)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    for _ in range(STEPS if len(rows) else 0):
+        step = counted.mapInArrow(lambda batches, weights=weights: run(batches, weights), "sums binary")
+        total = sum(np.frombuffer(r["sums"]).reshape(WIDTH + 1, WIDTH) for r in step.collect())  # a matrix for each of TASKS tasks
+        moved = np.linalg.solve(total[1:] + RIDGE * np.eye(WIDTH), total[0] - RIDGE * weights)
+        weights = weights + moved
+        if np.abs(moved).max() < 1e-6:
+            break
+    return SpanModel(weights, reliability)
 
 
 def fit(docs: DataFrame) -> SpanModel:
-    """Weigh the labelers by their votes on all candidates of ``docs``."""
+    """Weigh the labelers by their votes on all candidates of ``docs``, and train the classifier on what they say."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter[tuple[int, int]] = Counter()
+            found: Counter[tuple[int, int, int]] = Counter()
             for part in slices(batch):
                 _, spans, data = candidates(as_strings(part.column("text")))
-                found.update((k, votes(data, k, a, b, s)) for k, a, b, s in spans)
-            keys = [pa.array([key[k] for key in found], pa.int32()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(list(found.values()), pa.int64())], names=["kind", "pattern", "n"])
+                found.update((k, votes(data, k, a, b, s), shape(data, a, b)) for k, a, b, s in spans)
+            keys = [pa.array([key[k] for key in found], pa.int32()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(list(found.values()), pa.int64())], names=["kind", "pattern", "code", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "kind int, pattern int, n long").groupBy("kind", "pattern").agg(F.sum("n").alias("n"))
-    rows = sorted(tuple(r) for r in counted.collect())  # at most kinds x 3^7 rows
-    table = np.array(rows, np.int64).reshape(-1, 3)
-    return SpanModel.fit(table[:, 0], table[:, 1], table[:, 2].astype(np.float64))
+    by = ("kind", "pattern", "code")
+    counted = docs.select("text").mapInArrow(run, "kind int, pattern int, code int, n long").groupBy(*by).agg(F.sum("n").alias("n"))
+    scratch = Scratch(docs.sparkSession)
+    model = trained(scratch.save(counted.repartition(TASKS, *by)))
+    scratch.drop()
+    return model
 
 
 def spans_of(texts: pa.StringArray, model: SpanModel) -> tuple[list[list[tuple[int, int, int, bool]]], bytes, np.ndarray]:
@@ -284,7 +368,8 @@ def spans_of(texts: pa.StringArray, model: SpanModel) -> tuple[list[list[tuple[i
         strict = np.array([f[3] for f in found])
         pattern = np.array([votes(data, *f) for f in found])
         row = np.searchsorted(begins, np.array([f[1] for f in found]), side="right") - 1
-        for k in np.flatnonzero(strict | (model.probability(kind, pattern) >= 0.5)).tolist():
+        code = np.array([shape(data, a, b) for _, a, b, _ in found])
+        for k in np.flatnonzero(strict | (model.probability(kind, pattern, code) >= 0.5)).tolist():
             out[row[k]].append(found[k])
     return out, data, begins
 

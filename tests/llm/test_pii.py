@@ -82,8 +82,8 @@ def test_added_spans(spark):
     for r in found.collect():
         want = [(k, a, b, True) for k, a, b in brute(r.text)]
         for kind, a, b in plain_added(r.text):
-            pattern = np.array([P.votes(r.text.encode(), kind, a, b, False)])
-            if model.probability(np.array([kind]), pattern)[0] >= 0.5:
+            pattern, code = np.array([P.votes(r.text.encode(), kind, a, b, False)]), np.array([P.shape(r.text.encode(), a, b)])
+            if model.probability(np.array([kind]), pattern, code)[0] >= 0.5:
                 want.append((kind, a, b, False))
         assert r[name].spans == ",".join(f"{P.KINDS[k]}:{a}:{b}" for k, a, b, _ in sorted(want))
     assert P.account("GB82WEST12345698765432") and not P.account("GB82WEST12345698765433")
@@ -94,18 +94,50 @@ def test_long_runs_take_linear_time():
     assert strict([text]) == [[(1, s, e) for _, s, e in strict([text])[0]]]
 
 
-def test_expectation_maximisation_finds_reliable_labelers():
+def counted(spark, kind, pattern, code):
+    rows, n = np.unique(np.stack([kind, pattern, code], axis=1), axis=0, return_counts=True)
+    return spark.createDataFrame([(*map(int, r), int(k)) for r, k in zip(rows, n)], "kind int, pattern int, code int, n long").repartition(3)
+
+
+def test_expectation_maximisation_finds_reliable_labelers(spark):
     rng = np.random.default_rng(7)
     truth = rng.random(4000) < 0.4
     vote = np.where(rng.random((4000, P.LABELERS)) < 0.85, np.where(truth[:, None], 2, 0), 1)
     vote[:, 6] = rng.integers(0, 3, 4000)
-    pattern, count = np.unique((vote * 3 ** np.arange(P.LABELERS)).sum(axis=1), return_counts=True)
-    model = P.SpanModel.fit(np.zeros(len(pattern), np.int64), pattern, count.astype(float))
-    p = model.probability(np.zeros(4000, np.int64), (vote * 3 ** np.arange(P.LABELERS)).sum(axis=1))
-    assert ((p > 0.5) == truth).mean() > 0.97
+    pattern, zero = (vote * 3 ** np.arange(P.LABELERS)).sum(axis=1), np.zeros(4000, np.int64)
+    model = P.trained(counted(spark, zero, pattern, zero))
+    assert ((model.probability(zero, pattern, zero) > 0.5) == truth).mean() > 0.97
     assert model.reliability[0, 1, 0, 2] > 0.7 and model.reliability[0, 1, 6, 2] < 0.5
 
 
+def test_the_classifier_sees_the_span(spark):
+    """Two spans with the same votes, most of them abstentions, are told apart by what spans of reliable votes look like."""
+    rng = np.random.default_rng(11)
+    truth = rng.random(6000) < 0.5
+    says = rng.random((6000, P.LABELERS)) < 0.3  # mostly nobody votes
+    vote = np.where(says, np.where(truth[:, None] ^ (rng.random((6000, P.LABELERS)) < 0.05), 2, 0), 1)
+    spans = [b"Zk3v9Qp0aL7x" if t else b"aaaa aaaa" for t in truth]
+    code = np.array([P.shape(s, 0, len(s)) for s in spans])
+    pattern, kind = (vote * 3 ** np.arange(P.LABELERS)).sum(axis=1), np.full(6000, 4)
+    model = P.trained(counted(spark, kind, pattern, code))
+    silent = (vote == 1).all(axis=1)
+    assert silent.sum() > 100
+    found = model.probability(kind, pattern, code) >= 0.5
+    assert (found[silent] == truth[silent]).mean() > 0.95  # votes alone give all of them one answer
+    assert (found == truth).mean() > 0.97
+
+
+def test_span_features():
+    data = 'x = "Ab1-é" y'.encode()
+    start = data.index(b"Ab1")
+    code, values = P.shape(data, start, start + 6), []
+    for base in reversed(P.SHAPES):
+        values.append(code % base)
+        code //= base
+    assert values[::-1] == [3, 3, 0, 3, 3, 1, 1] and code == 0
+    assert P.shapes_of(np.array([P.shape(b"1", 0, 1)])).sum() == len(P.SHAPES) and P.shape(b"7" * 1000, 0, 1000) < np.prod(P.SHAPES)
+
+
 def test_documents(spark):
     seen = ["mail bob.1@mail.example.com now", "host 10.20.30.40 up", "card 4111 1111 1111 1111 ok", "call +1 (555) 123-4567 é", 'é token = "0123abcd4567ef890123" x', "clean prose", "", None, "1.2.3.400 v 1.2.3.4.5"]
     rows = [(k, t, 3) for k, t in enumerate(seen * 6)] + [(None, seen[0], 3), (0, seen[0], 3)]
