@@ -8,8 +8,11 @@ locations. A window is ``WINDOW`` consecutive words of an item, or all words of
 a shorter item. Documents with a word inside an occurrence are contaminated.
 
 Documents are not shuffled. The items go to the tasks in broadcast blocks of
-about ``BLOCK_BYTES`` each, of which the driver holds one at a time. A shard is
-sorted once, in one map, and every block is looked up in it.
+about ``BLOCK_BYTES`` each, of which the driver holds one at a time. A worker
+holds the blocks of one round, ``MOST_BYTES`` at most. Up to that size there is
+one round, a map in which a shard is sorted once and every block looked up in
+it; a larger benchmark takes more rounds, each of which sorts the shards again
+and adds to what the round before has found, saved in between.
 
 Defined results: a null or empty text, document or item, has no words, so it
 neither hits nor is hit; items without an id are left out; an id that comes
@@ -36,10 +39,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from payspark.llm.arrowtext import LOWER_ALNUM, as_strings, distinct, free_name, mapped, owners, slices, sums_by_row, words_of
+from payspark.llm.checkpoints import Scratch, saved
 
 WINDOW = 10
-#: Bytes of documents in a shard, and of item texts in a block.
-SHARD_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20
+#: Bytes of documents in a shard, of item texts in a block, and of those in all blocks of a round.
+SHARD_BYTES, BLOCK_BYTES, MOST_BYTES = 8 << 20, 16 << 20, 64 << 20
 
 FIELDS = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()),
@@ -189,35 +193,51 @@ def runs(mask: np.ndarray, counts: np.ndarray) -> list[list[int]]:
     return out
 
 
-def blocks_of(items: DataFrame, limit: int = BLOCK_BYTES) -> tuple[list[Broadcast], int]:
-    """The items that have an id, in broadcast blocks of about ``limit`` bytes, and the words of the longest."""
+def rounds_of(items: DataFrame, limit: int = BLOCK_BYTES, most: int = MOST_BYTES) -> Iterator[tuple[list[Broadcast], int, bool]]:
+    """The items that have an id, in rounds of broadcast blocks: of about ``limit`` bytes each and ``most`` together, the words of the longest item, whether it is the last round.
+
+    A round's blocks are taken back when the next one is asked for, so what
+    reads them has to be saved by then.
+    """
     context = items.sparkSession.sparkContext
     known = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull())
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count, out, longest = int(total // limit) + 1, [], 1
-    for k in range(count):
-        own = known if count == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        found = own.toArrow()
-        block = Items.of(found.column("item_id").to_pylist(), as_strings(found.column("text")))
-        longest = max(longest, int(max(block.counts, default=1)))
-        out.append(context.broadcast(block))
-    return out, longest
-
-
-def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
+    count, many = int(total // limit) + 1, max(1, most // limit)
+    for first in range(0, count, many):
+        out, longest = [], 1
+        for k in range(first, min(first + many, count)):
+            own = known if count == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
+            found = own.toArrow()
+            block = Items.of(found.column("item_id").to_pylist(), as_strings(found.column("text")))
+            longest = max(longest, int(max(block.counts, default=1)))
+            out.append(context.broadcast(block))
+        last = first + many >= count
+        yield out, longest, last
+        if not last:
+            for block in out:
+                block.destroy()
+
+
+def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, str]:
     """``docs`` with a struct column of ``FIELDS``, and that column's name."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    name = free_name("result", docs.columns)
+    name, given = free_name("result", docs.columns), list(docs.columns)
     kind = to_arrow_type(FIELDS)
-    blocks, longest = blocks_of(items, block_bytes)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, FIELDS)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast], longest: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=SHARD_BYTES):
                 shard = Shard.of(as_strings(part.column("text")), longest)
                 covered, counts = np.zeros(len(shard.codes), bool), shard.counts
                 listed: list[set[str]] = [set() for _ in counts]
+                if len(part.columns) > len(given):  # what earlier rounds have found
+                    begins = (np.cumsum(counts + 1) - counts - 1).tolist()
+                    for d, before in enumerate(part.column(len(given)).to_pylist()):
+                        listed[d].update(before["items"])
+                        for a, z in zip(before["spans"][::2], before["spans"][1::2]):
+                            covered[begins[d] + a : begins[d] + z] = True
                 for block in blocks:
                     own: Items = block.value
                     mask, doc, item, _ = shard.hits(own, window)
@@ -229,16 +249,24 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_by
                 hit = sums_by_row(mask.astype(np.int64), counts)
                 rows = [counts, hit, [len(x) for x in ids], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], hit > 0, runs(mask, counts), ids]
                 struct = pa.StructArray.from_arrays([pa.array(v, type=f.type) for v, f in zip(rows, kind)], fields=list(kind))
-                yield pa.RecordBatch.from_arrays([*part.columns, struct], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(given)], struct], names=[*given, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, FIELDS)])), name
+    found, before = docs, None
+    for blocks, longest, last in rounds_of(items, block_bytes, most_bytes):
+        found = found.mapInArrow(lambda batches, blocks=blocks, longest=longest: run(batches, blocks, longest), schema)
+        if not last:
+            scratch = Scratch(docs.sparkSession)
+            found = scratch.save(found)
+            if before:
+                before.drop()
+            before = scratch
+    return found, name
 
 
-def longest_matches(docs: DataFrame, items: DataFrame, least: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def longest_matches(docs: DataFrame, items: DataFrame, least: int = WINDOW, block_bytes: int = BLOCK_BYTES, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The longest verbatim match of each item suffix in each shard with at least ``least`` words, and where it is (``MATCHES``)."""
-    blocks, longest = blocks_of(items, block_bytes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast], longest: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=SHARD_BYTES):
                 shard = Shard.of(as_strings(part.column("text")), longest)
@@ -254,7 +282,12 @@ def longest_matches(docs: DataFrame, items: DataFrame, least: int = WINDOW, bloc
                         part.column("doc_id").cast(pa.int64()).take(pa.array(shard.doc[where])), pa.array(where - begin),
                     ], names=["item_id", "item_word", "length", "doc_id", "doc_word"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, MATCHES)
+    out = None
+    for blocks, longest, last in rounds_of(items, block_bytes, most_bytes):
+        found = docs.select("doc_id", "text").mapInArrow(lambda batches, blocks=blocks, longest=longest: run(batches, blocks, longest), MATCHES)
+        found = found if last else saved(found)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -59,8 +59,8 @@ def test_find_items(spark):
     docs, items = corpus()
     table = spark.createDataFrame([(k, t, "x") for k, t in enumerate(docs)], "doc_id long, text string, n_hit string").repartition(3)
     bench = spark.createDataFrame(items + [(None, docs[0])], "item_id long, text string")
-    for limit in (D.BLOCK_BYTES, 2000):  # one block, several blocks
-        found, name = D.find_items(table, bench, block_bytes=limit)
+    for limit, most in ((D.BLOCK_BYTES, D.MOST_BYTES), (2000, D.MOST_BYTES), (1000, 2500), (700, 1)):  # one block, several blocks, several rounds
+        found, name = D.find_items(table, bench, block_bytes=limit, most_bytes=most)
         rows = {r.doc_id: r[name] for r in found.collect()}
         want = brute(docs, items)
         assert [tuple(rows[k])[:5] for k in range(len(docs))] == want
@@ -71,8 +71,20 @@ def test_find_items(spark):
     assert D.find_items(table.limit(0), bench)[0].count() == 0
 
 
+def test_a_worker_holds_the_blocks_of_one_round(spark):
+    _, items = corpus()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    taken, sizes = [], []
+    for blocks, _, last in D.rounds_of(bench, 700, 1500):
+        sizes.append(len(blocks))
+        taken += [i for b in blocks for i in b.value.ids]
+    assert len(sizes) > 2 and max(sizes) == 2 and last
+    assert sorted(taken) == sorted(str(k) for k, _ in items)
+
+
 def test_longest_matches(spark):
     docs = spark.createDataFrame([(7, "zero " + " ".join(f"w{i}" for i in range(30)) + " end")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "x y " + " ".join(f"w{i}" for i in range(5, 25)) + " other")], "item_id long, text string")
     rows = D.longest_matches(docs, items).orderBy("item_word").collect()
     assert tuple(rows[0]) == ("1", 2, 20, 7, 6) and [r.length for r in rows] == list(range(20, 9, -1))
+    assert D.longest_matches(docs, items, block_bytes=20, most_bytes=20).orderBy("item_word").collect() == rows
