@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -89,7 +90,25 @@ def test_documents(spark):
     assert H.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_long_chain_of_links(spark):
+@pytest.mark.parametrize("few", [0, 30, 1 << 17])
+def test_long_chain_of_links(spark, few):
     links = spark.range(400).selectExpr("id as a", "id + 1 as b")
-    assert components(links).select("root").distinct().count() == 1
-    assert components(links.limit(0)).count() == 0
+    found = components(links, few)
+    assert found.select("root").distinct().count() == 1 and found.count() == 401
+    assert components(links.limit(0), few).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 40, 1 << 17])
+def test_components_of_random_links(spark, few):
+    rng = np.random.default_rng(few)
+    ends = rng.integers(-50, 150, (120, 2)).tolist()
+    group = {n: {n} for pair in ends for n in pair}
+    for a, b in ends:
+        both = group[a] | group[b]
+        for n in both:
+            group[n] = both
+    links = spark.createDataFrame([tuple(p) for p in ends + ends[:5]], "a long, b long").repartition(4)
+    root = {r.node: r.root for r in components(links, few).collect()}
+    alone = {n for n, own in group.items() if len(own) == 1}
+    assert set(root) == set(group) - alone and all(root[r] == r for r in root.values())
+    assert all((root[a] == root[b]) == (b in group[a]) for a in root for b in root)
