@@ -70,5 +70,5 @@ def test_registry():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES}
     assert "pipeline" in names and set(queries.QUERIES) <= set(names)
