@@ -47,6 +47,44 @@ def test_groups(spark):
     assert N.groups(rows.limit(0)).count() == 0
 
 
+def test_a_band_of_any_size_is_cut(spark):
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "6"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        rows = [(r, 7 if r < 500 else r // 2) for r in range(600)]
+        links = N.chains(spark.createDataFrame(rows, "row long, band long").repartition(4))
+        root = {r.node: r.root for r in N.components(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({root[r] for r in range(500)}) == 1 and len(set(root.values())) == 51
+    assert all(root[r] == root[r + 1] for r in range(500, 600, 2))
+    assert N.components(N.chains(spark.createDataFrame([], "row long, band long"))).count() == 0
+
+
+def test_large_components_are_formed_anew(spark):
+    """Texts at 0.5 of the next make one component of bands; marks take it apart but for rare pairs, near copies stay together."""
+    rnd = random.Random(3)
+    texts, shared = [], [[f"s{k}w{rnd.randrange(9000)}" for _ in range(100)] for k in range(42)]
+    for k in range(40):
+        words = [*shared[k], *shared[k + 1], *shared[k + 2]]
+        texts += [" ".join(words), " ".join("other" if i == 70 else w for i, w in enumerate(words))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    found = N.saved(N.sketches(rows))
+    whole = N.candidates(found, 1024, 2_000_000)[0]
+    assert whole.groupBy("root").count().agg({"count": "max"}).first()[0] > 20
+    for hot in (8192, 3):
+        near, sizes = N.candidates(found, 4, 2_000_000, hot)
+        assert near.groupBy("root").count().agg({"count": "max"}).first()[0] <= 4 and near.count() == 80
+        assert [r.parts for r in sizes.select("parts").distinct().collect()] == [1]
+    groups = {}
+    for r in N.groups(rows, tile_texts=4).collect():
+        groups.setdefault(r.group, set()).add(r.row)
+    assert {frozenset(g) for g in groups.values()} == brute_groups(texts)
+
+
 def test_stage_removes_near_copies(spark):
     words = [f"word{i}" for i in range(300)]
     near = " ".join("other" if i in (50, 120, 200, 250) else w for i, w in enumerate(words))
