@@ -7,7 +7,9 @@ probability of being good; their mean, weighted by line length, is the
 document's share of good text, which a logistic curve turns into a score.
 
 Training uses at most ``SAMPLE`` labelled documents, of each at most
-``CHAINS`` runs of ``CHAIN`` lines, evenly spread. Their label is given to all
+``CHAINS`` runs of ``CHAIN`` lines, evenly spread. The driver holds 13 numbers
+of four bytes for each of these lines, at most some 350 MB, and makes features
+of them for ``PART`` lines at a time. Their label is given to all
 their lines at first; then lines of bad documents that the field takes for
 good are relabelled, and it is fitted again. The curve is fitted so that 0.7
 is the best cut between the labels.
@@ -26,12 +28,13 @@ of label alone every score is 0.95 or 0.05; the columns ``labels``, ``lang``,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +47,10 @@ from payspark.llm.rules import DIGIT, MARK, SYMBOLS, UPPER, per_text, rate
 SAMPLE = 6_000
 #: Of a training document at most so many runs of so many lines are used; scoring uses whole texts.
 CHAINS, CHAIN = 4, 256
+#: Lines of training documents whose features are held at once.
+PART = 1 << 18
+#: A line's own features, and all of them: those of its neighbours, both ends of a text and a constant.
+OWN, ALL = 13, 42
 #: Lines of a segment, and lines whose features are held at once.
 SEGMENT, BLOCK = 512, 1 << 16
 #: ``predicted`` is 1 from this score on.
@@ -107,14 +114,19 @@ def feature_blocks(lines: pa.StringArray, counts: np.ndarray, block: int = BLOCK
         low, high = max(at - 1, 0), min(stop + 1, len(lines))
         own = own_features(lines.slice(low, high - low), repeated[low:high])
         own = np.concatenate([own[:0] if low < at else np.zeros((1, own.shape[1])), own, own[:0] if high > stop else np.zeros((1, own.shape[1]))])
-        before, after = own[:-2].copy(), own[2:].copy()
-        before[head[at:stop]], after[tail[at:stop]] = 0, 0
-        yield at, np.concatenate([own[1:-1], before, after, head[at:stop, None], tail[at:stop, None], np.ones((stop - at, 1))], axis=1)
+        yield at, with_neighbours(own, head[at:stop], tail[at:stop])
+
+
+def with_neighbours(own: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """All features of lines from their own ones, which begin with a line before these and end with one after."""
+    before, after = own[:-2].copy(), own[2:].copy()
+    before[head], after[tail] = 0, 0
+    return np.concatenate([own[1:-1], before, after, head[:, None], tail[:, None], np.ones((len(head), 1))], axis=1)
 
 
 def line_features(lines: pa.StringArray, counts: np.ndarray) -> np.ndarray:
     """All features at once, for few lines."""
-    return np.concatenate([x for _, x in feature_blocks(lines, counts)]) if len(lines) else np.zeros((0, 42))
+    return np.concatenate([x for _, x in feature_blocks(lines, counts)]) if len(lines) else np.zeros((0, ALL))
 
 
 def potentials(odds: np.ndarray) -> np.ndarray:
@@ -167,23 +179,35 @@ class LineField:
     @classmethod
     def fit(cls, features: np.ndarray, counts: np.ndarray, good: np.ndarray, rounds: int = 120, decay: float = 1e-3) -> LineField:
         """Maximise the conditional likelihood of the lines' states by Adam steps on the exact gradient."""
-        field = cls(np.zeros(features.shape[1]), np.zeros((2, 2)), np.zeros(2))
-        ends = np.cumsum(counts)
-        inner = np.ones(len(good), bool)
-        inner[(ends - counts)[counts > 0]] = False
-        state, at = good.astype(int), np.flatnonzero(inner)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (state[at - 1], state[at]), 1)
-        began = np.bincount(state[~inner], minlength=2)
-        n, theta, mean, square = len(good), np.zeros(features.shape[1] + 6), 0.0, 0.0
+        return cls.fit_parts(lambda: [(features, counts)], features.shape[1], good, rounds, decay)
+
+    @classmethod
+    def fit_parts(cls, parts: Callable[[], Iterable[tuple[np.ndarray, np.ndarray]]], width: int, good: np.ndarray, rounds: int = 120, decay: float = 1e-3) -> LineField:
+        """The same with features and counts part by part, each of whole chains, read once a round."""
+        field = cls(np.zeros(width), np.zeros((2, 2)), np.zeros(2))
+        state, n = good.astype(int), max(len(good), 1)
+        theta, mean, square = np.zeros(width + 6), 0.0, 0.0
         for k in range(1, rounds + 1):
-            p, moves, starts = field.marginals(features, counts)
-            slope = np.concatenate([features.T @ (state - p[:, 1]), (seen - moves).ravel(), began - starts]) / n - decay * theta
+            slope, done = np.zeros(width + 6), 0
+            for features, counts in parts():
+                slope += field.slope_of(features, counts, state[done : done + len(features)])
+                done += len(features)
+            slope = slope / n - decay * theta
             mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
             theta = theta + 0.15 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-9)
             field.weights, field.links, field.start = theta[:-6], theta[-6:-2].reshape(2, 2), theta[-2:]
         return field
 
+    def slope_of(self, features: np.ndarray, counts: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The gradient of these chains' log likelihood by weights, links and starts."""
+        begins = (np.cumsum(counts) - counts)[counts > 0]
+        inner = np.ones(len(state), bool)
+        inner[begins] = False
+        at = np.flatnonzero(inner)
+        seen = np.bincount(2 * state[at - 1] + state[at], minlength=4)
+        p, moves, starts = self.marginals(features, counts)
+        return np.concatenate([features.T @ (state - p[:, 1]), seen - moves.ravel(), np.bincount(state[begins], minlength=2) - starts])
+
     def messages(self, odds: np.ndarray, starts: np.ndarray, sizes: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What comes into each segment from the lines before, and from those after it.
 
@@ -277,20 +301,78 @@ class LineField:
         self.shift = float(np.log(CUT / (1 - CUT)) - self.slope * best)
 
 
-def train(features: list[np.ndarray], lines: list[int], sizes: list[np.ndarray], good: np.ndarray) -> LineField:
-    """A field from the documents' line features, line counts, line lengths and labels."""
+def chains_of(counts: np.ndarray) -> np.ndarray:
+    """Counts of lines cut into chains of at most CHAIN."""
+    chains = -(-counts // CHAIN)
+    number = np.arange(chains.sum()) - np.repeat(np.cumsum(chains) - chains, chains)
+    return np.minimum(np.repeat(counts, chains) - number * CHAIN, CHAIN)
+
+
+class Sample:
+    """Lines of training documents: their own features, which of them count, and how many each document has.
+
+    Beside the lines that count there are those next to them, so that what lies
+    before and after a line is known. Documents are read in the order of
+    ``order``.
+    """
+
+    def __init__(self, own: np.ndarray, used: np.ndarray, stored: np.ndarray, order: np.ndarray):
+        self.own, self.used, self.stored, self.order = own, used, stored, order
+        self.begins = np.cumsum(stored) - stored
+        self.counts = sums_by_row(used.astype(np.int64), stored)[order]
+        self.held: list[np.ndarray] | None = None
+
+    def lines(self, docs: np.ndarray) -> np.ndarray:
+        """Where the lines of some documents are."""
+        size = self.stored[docs]
+        return np.repeat(self.begins[docs] - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+    def cuts(self, part: int) -> list[np.ndarray]:
+        """The documents in order, at most ``part`` lines at a time or one document."""
+        size = np.cumsum(self.stored[self.order])
+        return np.split(self.order, np.flatnonzero(np.diff((size - 1) // part)) + 1) if len(self.order) else []
+
+    def features(self, part: int) -> Iterator[np.ndarray]:
+        """Features of the lines that count, part by part; kept where there is one part alone."""
+        cuts = self.cuts(part)
+        if self.held is None or len(cuts) > 1:
+            made = (self.features_of(docs) for docs in cuts)
+            if len(cuts) > 1:
+                yield from made
+                return
+            self.held = list(made)
+        yield from self.held
+
+    def features_of(self, docs: np.ndarray) -> np.ndarray:
+        at, edge = self.lines(docs), np.zeros((1, OWN))
+        head, tail = ends_of_texts(self.stored[docs])
+        return with_neighbours(np.concatenate([edge, self.own[at], edge]), head, tail)[self.used[at]]
+
+    def parts(self, chained: bool, part: int = PART) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Features, and counts by chain or by document."""
+        done = 0
+        for docs, x in zip(self.cuts(part), self.features(part)):
+            counts = self.counts[done : done + len(docs)]
+            done += len(docs)
+            yield x, chains_of(counts) if chained else counts
+
+
+def train(sample: Sample, sizes: np.ndarray, good: np.ndarray, part: int = PART) -> LineField:
+    """A field from the documents' lines, line lengths and labels, all in the sample's order."""
     if good.all() or not good.any():
-        fixed = LineField(np.zeros(features[0].shape[1]), np.zeros((2, 2)), np.zeros(2), 0.0)
+        fixed = LineField(np.zeros(ALL), np.zeros((2, 2)), np.zeros(2), 0.0)
         fixed.shift = float(np.log(19) if good.all() else -np.log(19))
         return fixed
-    x, counts = np.concatenate(features), np.array(lines)
-    chains = np.concatenate([np.diff(np.append(np.arange(0, c, CHAIN), c)) for c in lines])
-    state, bad = np.repeat(good, counts), np.repeat(~good, counts)
-    field = LineField.fit(x, chains, state)
-    state = state | (bad & (field.marginals(x, chains)[0][:, 1] > 0.5))
-    field = LineField.fit(x, chains, state)
-    p, weight = field.marginals(x, counts)[0][:, 1], np.concatenate(sizes).astype(np.float64) + 1
-    field.calibrate(sums_by_row(p * weight, counts) / sums_by_row(weight, counts), good)
+
+    def probable(chained: bool) -> np.ndarray:
+        return np.concatenate([field.marginals(x, counts)[0][:, 1] for x, counts in sample.parts(chained, part)])
+
+    state, bad = np.repeat(good, sample.counts), np.repeat(~good, sample.counts)
+    field = LineField.fit_parts(lambda: sample.parts(True, part), ALL, state)
+    state = state | (bad & (probable(True) > 0.5))
+    field = LineField.fit_parts(lambda: sample.parts(True, part), ALL, state)
+    p, weight = probable(False), sizes.astype(np.float64) + 1
+    field.calibrate(sums_by_row(p * weight, sample.counts) / sums_by_row(weight, sample.counts), good)
     return field
 
 
@@ -306,32 +388,42 @@ def chosen_lines(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def training_lines(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Own features of the chosen lines and those next to them, which are chosen, their lengths, and how many each text has."""
+    lines, counts = lines_of(texts)
+    chosen, (head, tail) = chosen_lines(counts), ends_of_texts(counts)
+    near = chosen.copy()
+    near[1:] |= chosen[:-1] & ~head[1:]
+    near[:-1] |= chosen[1:] & ~tail[:-1]
+    own = [f[near[at : at + len(f)], :OWN].astype(np.float32) for at, f in feature_blocks(lines, counts)]
+    return np.concatenate(own), chosen[near], pc.utf8_length(lines.filter(pa.array(near))), sums_by_row(near.astype(np.int64), counts)
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, held_out: int = 2) -> LineField | None:
     """Learn from at most ``limit`` labelled documents outside the held-out fold; None without any."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                lines, all_counts = lines_of(as_strings(part.column("text")))
-                chosen = chosen_lines(all_counts)
-                x = np.concatenate([f[chosen[at : at + len(f)]] for at, f in feature_blocks(lines, all_counts)]).astype(np.float32)
-                lines, counts = lines.filter(pa.array(chosen)), sums_by_row(chosen.astype(np.int64), all_counts)
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                values = pa.array(x.ravel())
+                own, used, size, stored = training_lines(as_strings(part.column("text")))
+                ends = np.concatenate([[0], np.cumsum(stored)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("label"), pa.ListArray.from_arrays(pa.array((ends * x.shape[1]).astype(np.int32)), values),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pc.utf8_length(lines)),
-                ], names=["label", "x", "size"])
+                    part.column("label"), pa.ListArray.from_arrays(pa.array(ends * np.int32(OWN)), pa.array(own.ravel())),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(used)), pa.ListArray.from_arrays(pa.array(ends), size),
+                ], names=["label", "own", "used", "size"])
 
     sample = labelled_sample(docs, labels, "quality", limit, fold("doc_id", 4) != held_out)
-    found = sample.mapInArrow(run, "label int, x array<float>, size array<int>").toArrow()
+    found = sample.mapInArrow(run, "label int, own array<float>, used array<boolean>, size array<int>").toArrow().combine_chunks()
     if not found.num_rows:
         return None
-    sizes = [np.array(s, np.int64) for s in found.column("size").to_pylist()]
-    features = [np.asarray(v.values, np.float64).reshape(len(s), -1) for v, s in zip(found.column("x"), sizes)]
-    good = found.column("label").to_numpy() == 1
-    order = sorted(range(len(sizes)), key=lambda i: (len(sizes[i]), features[i].tobytes(), good[i]))
-    return train([features[i] for i in order], [len(sizes[i]) for i in order], [sizes[i] for i in order], good[order])
+    own, used, size = (pc.list_flatten(found.column(c)).to_numpy() for c in ("own", "used", "size"))
+    own, stored, good = own.reshape(-1, OWN), pc.list_value_length(found.column("size")).to_numpy(), found.column("label").to_numpy() == 1
+    ends = np.cumsum(stored)
+    counts = sums_by_row(used.astype(np.int64), stored)
+    keys = [(count, xxhash.xxh3_128_digest(np.ascontiguousarray(own[e - n : e])), label) for count, e, n, label in zip(counts.tolist(), ends.tolist(), stored.tolist(), good.tolist())]
+    learnt = Sample(own, used, stored.astype(np.int64), np.array(sorted(range(len(keys)), key=keys.__getitem__)))
+    at = learnt.lines(learnt.order)
+    return train(learnt, size[at][used[at]], good[learnt.order])
 
 
 def score_documents(docs: DataFrame, field: LineField | None) -> tuple[DataFrame, str]:

@@ -86,6 +86,29 @@ def texts():
     return good, bad
 
 
+def test_training_lines_in_parts():
+    """Features made from the few numbers that the driver holds are those of the whole texts, however they are cut."""
+    good, bad = texts()
+    own = [*good[:20], *bad[:20], "", "\n".join(f"line {k} of {k % 7}." for k in range(2000)), "a\n\nb"]
+    array = pa.array(own)
+    lines, counts = L.lines_of(array)
+    whole = L.line_features(lines, counts)[L.chosen_lines(counts)]
+    found = L.training_lines(array)
+    sizes, label = found[2].to_numpy()[found[1]], np.array([k < 20 or k > 39 for k in range(len(own))])
+    fields = []
+    for part in (L.PART, 9, 700):
+        sample = L.Sample(found[0], found[1], found[3], np.arange(len(own)))
+        parts = list(sample.parts(True, part))
+        assert np.allclose(np.concatenate([x for x, _ in parts]), whole, atol=1e-6)
+        assert all(c.sum() == len(x) and c.max() <= L.CHAIN for x, c in parts) and (len(parts) > 1) == (part < L.PART)
+        fields.append(L.train(sample, sizes, label, part))
+    assert all(np.allclose(f.weights, fields[0].weights, atol=1e-6) and abs(f.shift - fields[0].shift) < 1e-6 for f in fields)
+    order = np.arange(len(own))[::-1]
+    turned = next(L.Sample(found[0], found[1], found[3], order).parts(False))
+    straight = next(L.Sample(found[0], found[1], found[3], order[::-1]).parts(False))
+    assert (turned[1] == straight[1][::-1]).all() and np.allclose(turned[0][: turned[1][0]], straight[0][-turned[1][0] :])
+
+
 def test_held_out_accuracy(spark):
     good, bad = texts()
     rows = [(k, t) for k, t in enumerate(good + bad)]
