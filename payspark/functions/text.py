@@ -34,8 +34,8 @@ def european(raw: Column) -> Column:
 
 
 def spaced_european(raw: Column) -> Column:
-    """The same with white space between the digits, rounded to cents."""
-    return cents(F.replace(F.regexp_replace(raw, f"(?{FLAGS})[.\\s]", ""), F.lit(","), F.lit(".")).try_cast("double"))
+    """The same with white space between the digits."""
+    return F.replace(F.regexp_replace(raw, f"(?{FLAGS})[.\\s]+", ""), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def cents(value: Column) -> Column:

@@ -29,21 +29,28 @@ class Registry:
         kept = (f for f in (*self.formats.values(), *self.classes.values()) if f.key != added.key)
         return Registry((*kept, added))
 
-    def hits(self, text: Column, filename: Column) -> Column:
-        """Keys that occur, in any case and also inside words, in text or file name."""
-        value = folded(F.concat(F.coalesce(text, F.lit("")), F.lit(" "), F.coalesce(filename, F.lit(""))))
-        found = []
+    @staticmethod
+    def searched(text: Column, filename: Column) -> Column:
+        """What keys are looked for in: text and file name, in any case."""
+        return folded(F.concat(F.coalesce(text, F.lit("")), F.lit(" "), F.coalesce(filename, F.lit(""))))
+
+    def only(self, value: Column) -> Column:
+        """The only key that occurs, also inside words, in a ``searched`` value, null if there is none or more than one.
+
+        Plain conditions, as an array's functions would have the value computed
+        anew for each key.
+        """
+        hits = {}
         for key in self.keys:
-            hit = F.contains(value, F.lit(key))
+            hits[key] = F.contains(value, F.lit(key))
             for phrase, stands_for in ALIASES.items():
-                hit = hit | F.contains(value, F.lit(phrase)) if stands_for == key else hit
-            found.append(F.when(hit, F.lit(key)))
-        return F.array_compact(F.array(*found))
+                hits[key] = hits[key] | F.contains(value, F.lit(phrase)) if stands_for == key else hits[key]
+        first, *others = [F.when(hit, 1).otherwise(0) for hit in hits.values()]
+        return F.when(sum(others, first) == 1, F.coalesce(*(F.when(hit, F.lit(key)) for key, hit in hits.items())))
 
     def key(self, text: Column, filename: Column) -> Column:
-        """The only key that occurs, null if there is none or more than one."""
-        hits = self.hits(text, filename)
-        return F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))
+        """The only key that occurs in text or file name."""
+        return self.only(self.searched(text, filename))
 
 
 DEFAULT = Registry()

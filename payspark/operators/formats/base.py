@@ -28,9 +28,11 @@ class PayslipFormat:
     """How to read one company's payslips, as column expressions in stages.
 
     ``clean`` prepares the text; ``captures`` and ``flags`` read it (and the
-    file name); ``convert`` makes numbers of captures; ``totals`` and then
-    ``details`` compute with them, falling back where something is missing;
-    ``errors`` lists conditions and codes in the order of checks.
+    file name); ``convert`` makes numbers of captures, which ``adjust``
+    changes, in a stage of its own, as it may refer to them many times;
+    ``totals`` and then ``details`` compute with them, falling back where
+    something is missing; ``errors`` lists conditions and codes in the order
+    of checks.
     """
 
     key: str
@@ -44,6 +46,7 @@ class PayslipFormat:
     clean: Callable[[Column], Column] | None = None
     convert: Callable[[Column], Column] = european
     suffix: str | None = None
+    adjust: Callable[[Column], Column] | None = None
 
 
 def or_zero(value: Column) -> Column:

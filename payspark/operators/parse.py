@@ -1,7 +1,7 @@
 """Payslip texts to model fields, one scan for all formats.
 
-Parsing goes in stages: what is read from the text, numbers, totals, amounts,
-the error code. A stage is one struct, chosen by a single CASE over the row's
+Parsing goes in stages: the format, what is read from the text, numbers,
+totals, amounts, the error code. A stage is one struct, chosen by a single CASE over the row's
 format, so a row is matched against its own format's patterns alone, and later
 stages refer to fields instead of repeating expressions. Stages are built from
 what is asked: a field that nobody wants is neither computed nor are the
@@ -55,7 +55,7 @@ def _guarded(value: Column) -> Column:
     projection's code is split. As it is deterministic, filters on the given
     columns pass all stages down to the scan.
     """
-    return F.when(F.exists(F.array(F.length(F.coalesce("text", F.lit("")))), lambda n: n >= 0), value)
+    return F.when(F.exists(F.array(F.octet_length(F.coalesce("text", F.lit("")))), lambda n: n >= 0), value)
 
 
 def _refers(columns: Iterable[Column], *path: str) -> set[str]:
@@ -108,19 +108,23 @@ def _stages(registry: Registry, only: str | None, mark: str, fields: tuple[str,
     inside = lambda part: lambda name: F.col(f"{mark}read")[part][name]
     text, name = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("filename"), F.lit(""))
     raw, flag, number, total, amount = inside("raw"), inside("flag"), field("number"), field("total"), field("amount")
-    written = found(text, NOT_BLANK)
-    key = F.lit(only) if only else registry.key(text, name)
-    stages = [("key", F.struct(F.when(written, key).alias("format"), written.alias("written")))]
+    searched, written = field("said")("searched"), field("key")("written")
+    key = F.lit(only) if only else registry.only(searched)
+    stages = [
+        ("said", F.struct((F.lit("") if only else registry.searched(text, name)).alias("searched"), found(text, NOT_BLANK).alias("written"))),
+        ("key", F.struct(F.when(field("said")("written"), key).alias("format"), field("said")("written").alias("written"))),
+    ]
 
     amounts = {c for c in PAYSLIP_AMOUNTS if c in fields or c in CHECKED}
     labels = {n for n, c in (("category", "categoria"), ("group", "grupo_cotizacion")) if c in fields}
     flags = {"is_extra"} if {"id", "tipo"} & set(fields) else set()
-    clean = F.col(f"{mark}clean")["text"]
+    clean = F.coalesce(F.col(f"{mark}clean")["text"], text)
     needed = {f.key: _Needed(f, amounts, labels, flags, text, clean, name, mark) for f in registry.formats.values()}
     names = lambda part, order: tuple(n for n in order if any(n in getattr(x, part) for x in needed.values()))
     each = lambda part, blank, kind: _by_format(registry, own, lambda f: _struct(blank, getattr(needed[f.key], part), kind))
 
-    stages.append(("clean", F.struct(F.coalesce(_by_format(registry, own, lambda f: f.clean(text) if f.clean else text), text).alias("text"))))
+    # Null where a format takes the text as it is, so that no row carries it twice.
+    stages.append(("clean", F.struct(_by_format(registry, own, lambda f: f.clean(text) if f.clean else F.lit(None).cast("string")).alias("text"))))
     dates = ("year", "month")
     no_raw = _blank(names("captures", (*CAPTURES, *LABELS)), "string")
     no_flag = _blank(names("flags", FLAGS) or FLAGS[:1], "boolean", False)
@@ -133,9 +137,14 @@ def _stages(registry: Registry, only: str | None, mark: str, fields: tuple[str,
     def numbers(f: PayslipFormat) -> Column:
         return F.struct(*when_read, *(needed[f.key].numbers[c].alias(c) if c in needed[f.key].numbers else none for c, none in no_number.items()))
 
+    def adjusted(f: PayslipFormat) -> Column:
+        plain = field("value")
+        return F.struct(*(f.adjust(plain(c)).alias(c) if f.adjust and c in needed[f.key].numbers else plain(c).alias(c) for c in (*dates, *no_number)))
+
     stages += [
         ("read", _by_format(registry, own, read)),
-        ("number", _by_format(registry, own, numbers)),
+        ("value", _by_format(registry, own, numbers)),
+        ("number", _by_format(registry, own, adjusted)),
         ("total", each("totals", _blank(names("totals", TOTALS) or TOTALS[:1], "double", 0.0), "double")),
         ("amount", each("details", _blank(tuple(n for n in PAYSLIP_AMOUNTS if n in amounts), "double", 0.0), "double")),
     ]
@@ -143,7 +152,7 @@ def _stages(registry: Registry, only: str | None, mark: str, fields: tuple[str,
     checks = total_checks(number("year"), number("month"), *(amount(c) for c in CHECKED))
     known = own.isin(*registry.formats)
     code = F.when(own.isNull(), F.lit(UNKNOWN_FORMAT)).when(known, _by_format(registry, own, lambda f: first_code([*needed[f.key].errors, *checks])))
-    stages.append(("judged", F.struct(F.when(~field("key")("written"), NO_TEXT).otherwise(code).alias("code"))))
+    stages.append(("judged", F.struct(F.when(~written, NO_TEXT).otherwise(code).alias("code"))))
 
     error, when, extra = field("judged")("code"), period(number("year"), number("month")), flag("is_extra")
     constant = lambda value: _by_format(registry, own, lambda f: F.lit(value(f)))
@@ -193,8 +202,8 @@ def parse_documents(documents: DataFrame, registry: Registry = DEFAULT, only: st
     if unknown:
         raise ValueError(f"a payslip has no {unknown}")
     given, mark = [F.col(c) for c in documents.columns], _mark(documents)
-    (_, key), *stages = _stages(registry, only, mark, wanted, documents.sparkSession.sparkContext.applicationId)
-    staged = documents.select(*given, key).select("*", F.col(f"{mark}key")["format"].alias("format"))
+    (_, said), (_, key), *stages = _stages(registry, only, mark, wanted, documents.sparkSession.sparkContext.applicationId)
+    staged = documents.select(*given, said).select(*given, key).select("*", F.col(f"{mark}key")["format"].alias("format"))
     for _, stage in stages:
         staged = staged.select("*", stage)
     # Out of a generator, whose columns no rule traces back through all stages (as that for join keys would).

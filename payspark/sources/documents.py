@@ -30,14 +30,19 @@ def pdf_pages(content: bytes) -> list[str | None]:
         return [page.extract_text() for page in pdf.pages]
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt out evenly where they come in fewer partitions than there are cores.
+#: Rows that one task parses.
+TASK_ROWS = 100_000
 
-    Parsing a text costs far more than moving it, and one small file, or one
-    of few row groups, would keep a single core busy.
+
+def spread(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``rows`` dealt out evenly, to one task for each core and to as many rounds of them as there are rows for.
+
+    Parsing a text costs far more than moving it. A file's partitions go by its
+    bytes, and those of a file of few row groups are empty but for some, so
+    their number says nothing; rows are counted, which reads no column.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    return rows.repartition(cores * max(1, -(-rows.count() // (task_rows * cores))))
 
 
 def file_name(path: str | Column) -> Column:
