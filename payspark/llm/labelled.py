@@ -1,4 +1,4 @@
-"""Bounded, deterministic samples of labelled documents."""
+"""Labelled documents, all of them or bounded, deterministic samples."""
 
 from __future__ import annotations
 
@@ -11,6 +11,12 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")), F.lit(folds)), F.lit(-1))
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) with a row for each labelled id: of several labels the largest; rows without an id or a label don't count."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna()
+    return known.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, where: Column | None = None) -> DataFrame:
     """(text, label) of about ``limit`` labelled ids, those whose hash is below a share of all hashes.
 

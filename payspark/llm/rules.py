@@ -2,10 +2,15 @@
 
 Every text gets the usual rule statistics (words, symbols, repeated lines and
 word windows, shares of upper case, digits, distinct words and so on). Trees
-that split these at random are grown on small subsamples of a bounded sample
-of labelled documents; a document that few splits isolate is an anomaly. The
-score's threshold comes from the labels: of the thresholds that keep at least
-``KEEP_GOOD`` of the good rows, the one that best tells good from bad.
+split these at random; a document that few splits isolate is an anomaly. All
+labelled documents grow the trees: each is dealt to one of them, and to more
+where there are few, so that a tree has ``SUBSAMPLE`` rows at least. They grow
+level by level: tasks give the extent of each node's rows, the driver draws
+the nodes' splits, and no row goes there. A leaf's length counts its rows as a
+share, so a tree of many rows has the lengths of one of ``SUBSAMPLE`` rows. The
+score's threshold comes from the labels of all of them: of the thresholds that
+keep at least ``KEEP_GOOD`` of the good rows, the one that best tells good from
+bad, among multiples of 1 / ``LEVELS``, over which tasks count the scores.
 
 Scoring is a map over the documents; the forest has a fixed size.
 
@@ -29,12 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from payspark.llm.arrowtext import annotate, as_strings, data_of, distinct, offsets_of, owners, slices, sums_by_row, words_of
-from payspark.llm.labelled import labelled_sample
+from payspark.llm.checkpoints import Scratch
+from payspark.llm.labelled import known_labels
 
 WINDOW = 5
-#: Labelled documents that trees and threshold are fitted on.
-SAMPLE = 20_000
 TREES, SUBSAMPLE = 100, 256
+#: Thresholds that are told apart.
+LEVELS = 1 << 20
 KEEP_GOOD = 0.985
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -160,34 +166,133 @@ class IsolationForest:
 
     def calibrate(self, scores: np.ndarray, good: np.ndarray, keep_good: float = KEEP_GOOD) -> None:
         """Set the threshold above which rows are rejected."""
-        if not len(scores) or good.all() or not good.any():
+        levels, at = np.unique(level_of(scores), return_inverse=True)
+        self.calibrate_counts(levels, *(np.bincount(at[own], minlength=len(levels)) for own in (good, ~good)), keep_good)
+
+    def calibrate_counts(self, levels: np.ndarray, good: np.ndarray, bad: np.ndarray, keep_good: float = KEEP_GOOD) -> None:
+        """The same from how many good and bad rows each of the ascending ``levels`` has."""
+        if not good.sum() or not bad.sum():
             return
-        levels = np.unique(np.concatenate([np.quantile(scores[good], [keep_good]), scores[scores >= np.quantile(scores[good], keep_good)]]))
-        right = np.sort(scores[~good])
-        wrong = np.sort(scores[good])
-        gain = (len(right) - np.searchsorted(right, levels, side="right")) / len(right) - (len(wrong) - np.searchsorted(wrong, levels, side="right")) / len(wrong)
-        self.threshold = float(levels[np.argmax(gain)])
+        kept, missed = np.cumsum(good) / good.sum(), np.cumsum(bad) / bad.sum()
+        usable = np.flatnonzero(kept >= keep_good)
+        self.threshold = float(levels[usable[np.argmax(kept[usable] - missed[usable])]]) / LEVELS
+
+
+def level_of(scores: np.ndarray) -> np.ndarray:
+    """The least level, a multiple of 1 / ``LEVELS``, that scores don't exceed."""
+    return np.ceil(scores * LEVELS).astype(np.int64)
+
+
+WIDTH = 10
+FEATURES = tuple(f"f{i}" for i in range(WIDTH))
+EXTENT = ", ".join(["tree int", "node int", "n long", *(f"{side}{f} double" for side in ("low_", "high_") for f in FEATURES)])
+
+
+def features(part: pa.RecordBatch) -> np.ndarray:
+    return np.stack([part.column(f).to_numpy() for f in FEATURES], axis=1)
+
+
+def trees_of(spread: np.ndarray, shares: int, trees: int) -> np.ndarray:
+    """The ``shares`` trees of each row, by its hash: different ones, evenly far apart."""
+    return (spread[:, None] % trees + np.arange(shares)[None, :] * trees // shares) % trees
+
+
+def extents(rows: DataFrame, forest: IsolationForest, shares: int) -> pa.Table:
+    """Rows, least and largest features of each tree's lowest nodes, by the splits that the trees have so far."""
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches):
+        own = shared.value
+        trees, nodes = own.feature.shape
+        n, low, high = np.zeros(trees * nodes, np.int64), np.full((trees * nodes, WIDTH), np.inf), np.full((trees * nodes, WIDTH), -np.inf)
+        for batch in batches:
+            values = features(batch)
+            for tree in trees_of(batch.column("spread").to_numpy(), shares, trees).T:
+                at, every = np.zeros(len(values), np.int64), np.arange(len(values))
+                while (inner := own.feature[tree, at] >= 0).any():
+                    at = np.where(inner, 2 * at + 2 - (values[every, own.feature[tree, at]] < own.cut[tree, at]), at)
+                key = tree * nodes + at
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                held = key[order][first]
+                n[held] += np.diff(first, append=len(order))
+                low[held] = np.minimum(low[held], np.minimum.reduceat(values[order], first))
+                high[held] = np.maximum(high[held], np.maximum.reduceat(values[order], first))
+        held = np.flatnonzero(n)
+        columns = [(held // nodes).astype(np.int32), (held % nodes).astype(np.int32), n[held], *low[held].T, *high[held].T]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["tree", "node", "n", *(f"{side}{f}" for side in ("low_", "high_") for f in FEATURES)])
+
+    parts = rows.mapInArrow(run, EXTENT).groupBy("tree", "node")
+    least = (F.min(f"low_{f}").alias(f"low_{f}") for f in FEATURES)
+    largest = (F.max(f"high_{f}").alias(f"high_{f}") for f in FEATURES)
+    found = parts.agg(F.sum("n").alias("n"), *least, *largest).orderBy("tree", "node").toArrow()  # at most as many as the forest has nodes
+    shared.unpersist()
+    return found
+
+
+def grown(rows: DataFrame, count: int, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 11) -> IsolationForest:
+    """A forest of all ``rows`` (spread, features), a level in each pass over them."""
+    rng = np.random.default_rng(seed)
+    shares = min(trees, -(-trees * subsample // count))
+    m = min(subsample, count)
+    depth = max(1, int(np.ceil(np.log2(max(m, 2)))))
+    nodes = 2 ** (depth + 1) - 1
+    forest = IsolationForest(np.full((trees, nodes), -1, np.int32), np.zeros((trees, nodes)), np.zeros((trees, nodes)), float(IsolationForest.usual_length(m)) or 1.0)
+    whole = np.zeros(trees)
+    for level in range(depth + 1):
+        found = extents(rows, forest, shares)
+        tree, node, n = (found.column(c).to_numpy() for c in ("tree", "node", "n"))
+        low, high = (np.stack([found.column(f"{side}{f}").to_numpy() for f in FEATURES], axis=1) for side in ("low_", "high_"))
+        if level == 0:
+            whole[tree] = n
+        for k in np.flatnonzero(node >= 2**level - 1):
+            usable = np.flatnonzero(high[k] > low[k])
+            own = n[k] * min(1.0, subsample / whole[tree[k]])
+            if level == depth or own < 2 or not len(usable):
+                forest.length[tree[k], node[k]] = level + IsolationForest.usual_length(max(own, 1.0))
+                continue
+            f = rng.choice(usable)
+            forest.feature[tree[k], node[k]] = f
+            forest.cut[tree[k], node[k]] = min(rng.uniform(low[k, f], high[k, f]), high[k, f])
+    return forest
+
+
+def calibrated(rows: DataFrame, forest: IsolationForest) -> IsolationForest:
+    """The forest with its threshold, by the scores of all ``rows`` (label, features), counted by level."""
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(level_of(shared.value.score(features(batch)))), batch.column("label")], names=["level", "label"])
+
+    good = F.col("label") == 1
+    found = rows.mapInArrow(run, "level long, label int").groupBy("level").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad")).orderBy("level").toArrow()  # at most LEVELS rows
+    forest.calibrate_counts(*(found.column(c).to_numpy() for c in ("level", "good", "bad")))
+    return forest
+
 
+def fit(docs: DataFrame, labels: DataFrame) -> IsolationForest | None:
+    """A forest grown and calibrated on all labelled documents; None without any.
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> IsolationForest | None:
-    """A forest grown and calibrated on at most ``limit`` labelled documents; None without any."""
-    width = 10
+    Of documents that share an id one counts, the one with the least statistics.
+    Statistics come before the join, so that no text is shuffled.
+    """
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 matrix = statistics(as_strings(part.column("text")))[1]
-                yield pa.RecordBatch.from_arrays([part.column("label"), *map(pa.array, matrix.T)], names=["label", *(f"f{i}" for i in range(width))])
-
-    found = labelled_sample(docs, labels, "quality", limit).mapInArrow(run, ", ".join(["label int", *(f"f{i} double" for i in range(width))])).toArrow()
-    if not found.num_rows:
-        return None
-    rows = np.stack([found.column(f"f{i}").to_numpy() for i in range(width)], axis=1)
-    good = found.column("label").to_numpy() == 1
-    order = np.lexsort([*rows.T, good])
-    rows, good = rows[order], good[order]
-    forest = IsolationForest.grow(rows)
-    forest.calibrate(forest.score(rows), good)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, matrix.T)], names=["doc_id", *FEATURES])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    every = docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{f} double" for f in FEATURES)]))
+    found = every.join(known_labels(labels, "quality"), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("label", *FEATURES)).alias("one"))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(one.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("spread"), "one.*"))
+    count = rows.count()
+    forest = calibrated(rows.select("label", *FEATURES), grown(rows.select("spread", *FEATURES), count)) if count else None
+    scratch.drop()
     return forest
 
 

@@ -78,3 +78,27 @@ def test_judge(spark):
     nothing, name = R.judge(docs, R.fit(docs, labels.limit(0)))
     assert all(r[name].kept != r[name].base_failed for r in nothing.collect())
     assert R.judge(docs.limit(0), None)[0].count() == 0
+
+
+def test_all_labelled_rows_count(spark, monkeypatch):
+    """No row is left out: each is in a tree, and the last one's statistics and label show."""
+    spread = np.arange(5000) * 7919
+    for shares in (1, 3, 100):
+        trees = R.trees_of(spread, shares, 100)
+        assert trees.shape == (5000, shares) and all(len(set(t)) == shares for t in trees[:50].tolist())
+    rng = np.random.default_rng(3)
+    values = rng.normal(0, 1, (900, R.WIDTH))
+    rows = spark.createDataFrame([(int(k), *map(float, v)) for k, v in enumerate(values)], ", ".join(["spread long", *(f"{f} double" for f in R.FEATURES)])).repartition(3)
+    forest = R.grown(rows, 900, trees=4, subsample=16)
+    leaves = R.extents(rows, forest, 1)
+    assert sum(leaves.column("n").to_pylist()) == 900
+    inner = {(int(t), int(n)) for t, n in zip(*np.nonzero(forest.feature >= 0))}
+    assert inner and not inner & {(t, n) for t, n in zip(leaves.column("tree").to_pylist(), leaves.column("node").to_pylist())}
+    for tree in range(4):
+        own = values[np.arange(900) % 4 == tree]
+        f = forest.feature[tree, 0]
+        assert own[:, f].min() <= forest.cut[tree, 0] <= own[:, f].max()
+    score = forest.score(values)
+    good = score < np.quantile(score, 0.9)
+    labelled = spark.createDataFrame([(int(g), *map(float, v)) for g, v in zip(good, values)], ", ".join(["label int", *(f"{f} double" for f in R.FEATURES)]))
+    assert R.calibrated(labelled, forest).threshold == np.ceil(score[good].max() * R.LEVELS) / R.LEVELS
