@@ -58,14 +58,16 @@ def stripped(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case, with the long s and its ligatures as plain letters."""
-    for special, letters in (("ſ", "s"), ("ﬅ", "st"), ("ﬆ", "st")):
-        text = F.replace(text, F.lit(special), F.lit(letters))
-    return F.lower(text)
+    """Lower case, with the long s and its ligatures as plain letters; only a text that has one is rewritten for them."""
+    plain, special = text, F.lit(False)
+    for sign, letters in (("ſ", "s"), ("ﬅ", "st"), ("ﬆ", "st")):
+        plain, special = F.replace(plain, F.lit(sign), F.lit(letters)), special | F.contains(text, F.lit(sign))
+    return F.lower(F.when(special, plain).otherwise(text))
 
 
 def period(year: Column, month: Column) -> Column:
-    return F.format_string("%d-%02d", year, month)
+    """``2099-01`` of a valid year and month."""
+    return F.concat(year.cast("string"), F.when(month < 10, "-0").otherwise("-"), month.cast("string"))
 
 
 def format_amount(value: Column, unit: str = "€") -> Column:

@@ -37,16 +37,16 @@ class Registry:
     def only(self, value: Column) -> Column:
         """The only key that occurs, also inside words, in a ``searched`` value, null if there is none or more than one.
 
-        Plain conditions, as an array's functions would have the value computed
-        anew for each key.
+        Each key is looked for once: all that occur are written as one text,
+        which is a key where there is one alone.
         """
         hits = {}
         for key in self.keys:
             hits[key] = F.contains(value, F.lit(key))
             for phrase, stands_for in ALIASES.items():
                 hits[key] = hits[key] | F.contains(value, F.lit(phrase)) if stands_for == key else hits[key]
-        first, *others = [F.when(hit, 1).otherwise(0) for hit in hits.values()]
-        return F.when(sum(others, first) == 1, F.coalesce(*(F.when(hit, F.lit(key)) for key, hit in hits.items())))
+        names = F.create_map(*(F.lit(key) for key in hits for _ in range(2)))
+        return F.try_element_at(names, F.concat_ws("\n", *(F.when(hit, F.lit(key)) for key, hit in hits.items())))
 
     def key(self, text: Column, filename: Column) -> Column:
         """The only key that occurs in text or file name."""

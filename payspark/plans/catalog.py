@@ -492,7 +492,7 @@ def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed payslips as stored rows, read with their payloads."""
-    return decoded(stored(spark, sf_dir)).select("id", money(F.col("complementos")).alias("complementos"), money(F.col("total_devengado")).alias("total_devengado"), "tipo", "es_procesable", "categoria")
+    return decoded(stored(spark, sf_dir), fields=("complementos", "categoria")).select("id", money(F.col("complementos")).alias("complementos"), money(F.col("total_devengado")).alias("total_devengado"), "tipo", "es_procesable", "categoria")
 
 
 @query(

@@ -69,11 +69,19 @@ def to_stored(documents: DataFrame, *more: str, extra: Iterable[str] = ()) -> Da
     return documents.select(*(values[f.name].cast(f.dataType).alias(f.name) for f in STORED), *more)
 
 
-def decoded(rows: DataFrame, *more: str) -> DataFrame:
-    """Stored rows with their payload's fields; where both have a name the stored column counts. ``more`` columns are kept."""
+def decoded(rows: DataFrame, *more: str, fields: Iterable[str] | None = None) -> DataFrame:
+    """Stored rows with their payload's fields; where both have a name the stored column counts. ``more`` columns are kept.
+
+    With ``fields`` only these of the payload's fields are read; a payload is
+    parsed for no column that the rows have themselves.
+    """
     own = {f.name for f in STORED}
-    read = rows.withColumn("_decoded", F.from_json("payload", PAYLOAD))
-    return read.select(*own_order(rows), *(F.col(f"_decoded.{f.name}").alias(f.name) for f in PAYLOAD if f.name not in own), *more)
+    wanted = T.StructType([f for f in PAYLOAD if f.name not in own and (fields is None or f.name in set(fields))])
+    unknown = sorted(set(fields or ()) - set(wanted.names))
+    if unknown:
+        raise ValueError(f"payloads have no fields {unknown} beside the stored columns")
+    read = rows.withColumn("_decoded", F.from_json("payload", wanted)) if wanted.names else rows
+    return read.select(*own_order(rows), *(F.col(f"_decoded.{n}").alias(n) for n in wanted.names), *more)
 
 
 def merged(rows: DataFrame, **fields: str) -> DataFrame:

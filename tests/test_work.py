@@ -3,9 +3,13 @@
 from pyspark.sql import functions as F
 
 from payspark.operators.dispatch import DEFAULT
-from payspark.operators.formats import insis
+from payspark.functions.text import folded, period
+from payspark.operators.formats import altran, insis
 from payspark.operators.parse import parse_documents
+from payspark.plans.synth import euro
+from payspark.schema import PAYSLIP
 from payspark.sources.documents import spread
+from payspark.sources.store import decoded, to_stored
 
 
 def sizes(rows):
@@ -32,3 +36,38 @@ def test_insis_spaces_gates_and_cents(spark):
     found = {r.filename: r for r in parse_documents(spark.createDataFrame(rows, "filename string, text string")).collect()}
     assert (found["a.pdf"].status, found["a.pdf"].total_devengado, found["a.pdf"].liquido_percibir, found["a.pdf"].id) == ("OK", 1000.12, 1000.0, "2099-01-INSIS-EXTRA")
     assert (found["b.pdf"].error_code, found["c_insis.pdf"].error_code) == ("MISSING_TOTALS", "NO_TEXT")
+
+
+def test_names_are_looked_for_once_and_totals_matched_once(spark):
+    assert str(DEFAULT.only(F.col("v"))).count("contains(v, 'altran')") == 1
+    assert "gate" not in altran.FORMAT.flags(F.col("t"))
+    rows = [("2099_02", t) for t in ("Altran Totales 1,00 0,00", "Altran Líquido a percibir 1,00", "Altran Totales 1,00 0,00 LÍQUIDO A PERCIBIR 1,00", "Altran\nTotales 1,00\nLíquido a percibir 1,00")]
+    found = parse_documents(spark.createDataFrame(rows, "filename string, text string").coalesce(1)).collect()
+    assert [r.error_code for r in found] == ["MISSING_TOTALS", "MISSING_TOTALS", None, "MISSING_TOTALS"]
+
+
+def test_cents_months_and_letters_as_before(spark):
+    cents = [0, 5, 99, 100, 1234, 99_999, 100_000, 100_001, 1_000_005, 99_999_999, 100_000_000, 123_456_789_012, -5, -123_456]
+    plain = F.translate(F.format_number(F.col("v") / 100, 2), ".,", ",.")
+    assert all(r[0] == r[1] for r in spark.createDataFrame([(c,) for c in cents], "v long").select(euro(F.col("v")), plain).collect())
+    assert "format_string" not in str(period(F.col("y"), F.col("m")))
+    months = spark.createDataFrame([(1900, 1), (2099, 9), (9999, 12), (2000, 10)], "y int, m int").select(period(F.col("y"), F.col("m"))).collect()
+    assert [r[0] for r in months] == ["1900-01", "2099-09", "9999-12", "2000-10"]
+    words = [r[0] for r in spark.createDataFrame([("InſIs",), ("ﬅﬆÍ x",), ("ÍA",), ("",)], "v string").coalesce(1).select(folded(F.col("v"))).collect()]
+    assert words == ["insis", "ststí x", "ía", ""]
+
+
+def test_payloads_are_read_for_what_is_asked(spark):
+    row = {f.name: None for f in PAYSLIP} | {"id": "a", "complementos": 12.5, "tipo": "NOMINA_ORDINARIA", "categoria": "B"}
+    rows = to_stored(spark.createDataFrame([tuple(row[f.name] for f in PAYSLIP)], PAYSLIP))
+    found = decoded(rows, fields=["complementos", "categoria"])
+    assert found.select("id", "complementos", "categoria").first() == ("a", 12.5, "B") and "irpf_importe" not in found.columns
+    assert decoded(rows, fields=[]).columns == rows.columns
+    plan = found.select("complementos")._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" in plan and "StructField(vacaciones_no_disfrutadas" not in plan
+    try:
+        decoded(rows, fields=["surname"])
+    except ValueError as error:
+        assert "surname" in str(error)
+    else:
+        raise AssertionError("an unknown field was read")
