@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, is_dataclass
 from typing import Any, Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,19 +32,18 @@ class PythonFormat:
     make: Callable[[], Parser]
 
 
-FOUND = T.StructType([T.StructField("row", PAYSLIP), T.StructField("error_code", T.StringType()), T.StructField("error_message", T.StringType())])
 _CASTS = {T.StringType(): str, T.IntegerType(): int, T.DoubleType(): float, T.BooleanType(): bool}
+_KINDS = {f.name: _CASTS[f.dataType] for f in PAYSLIP}
+_REQUIRED = _KINDS.keys() - DEFAULTS.keys()
 
 
 def _fields(said: Any) -> dict[str, Any]:
     """A parser's result as the payslip's fields; raises for fields that it lacks or that no payslip has."""
     values = asdict(said) if is_dataclass(said) else dict(said)
-    unknown = sorted(set(values) - set(PAYSLIP.names))
-    missing = sorted(n for n in PAYSLIP.names if n not in values and n not in DEFAULTS)
-    if unknown or missing:
-        raise TypeError(f"missing fields: {missing}, unknown fields: {unknown}")
-    values = DEFAULTS | values
-    return {f.name: None if values[f.name] is None else _CASTS[f.dataType](getattr(values[f.name], "value", values[f.name])) for f in PAYSLIP}
+    if not _REQUIRED <= values.keys() <= _KINDS.keys():
+        raise TypeError(f"missing fields: {sorted(_REQUIRED - values.keys())}, unknown fields: {sorted(values.keys() - _KINDS.keys())}")
+    given = {n: v if v is None or type(v) is _KINDS[n] else _KINDS[n](getattr(v, "value", v)) for n, v in values.items()}
+    return DEFAULTS | given
 
 
 def _outcome(parser: Parser, text: str, filename: str, codes: dict[str, str]) -> tuple[dict[str, Any] | None, str | None, str | None]:
@@ -57,19 +56,31 @@ def _outcome(parser: Parser, text: str, filename: str, codes: dict[str, str]) ->
         return (None, code, codes[code]) if code in codes else (None, CUSTOM_ERROR, f"{type(error).__name__}: {error}")
 
 
-def read_by_python(classes: dict[str, PythonFormat], key: Column, text: Column, filename: Column) -> Column:
-    """A struct of ``row``, ``error_code`` and ``error_message`` for rows whose ``key`` is one of ``classes``; all null for others, which send no text."""
+def read_by_python(classes: dict[str, PythonFormat], key: Column, text: Column, filename: Column, fields: Iterable[str] = PAYSLIP.names) -> Column:
+    """A struct of ``row``, ``error_code`` and ``error_message`` for rows whose ``key`` is one of ``classes``; all null for others, which send no text.
+
+    All that a parser gives is checked, but only ``fields`` come back. They
+    are made column by column, with no object for a row.
+    """
     from payspark.schema import MESSAGES
 
     made = {k: f.make for k, f in classes.items()}
     codes = dict(MESSAGES)
-
-    @F.pandas_udf(FOUND)
-    def read(keys: pd.Series, texts: pd.Series, names: pd.Series) -> pd.DataFrame:
-        parsers = {k: make() for k, make in made.items() if (keys == k).any()}
-        found = [(None, None, None) if k is None else _outcome(parsers[k], t, n, codes) for k, t, n in zip(keys, texts, names)]
-        rows = pd.DataFrame([r or dict.fromkeys(PAYSLIP.names) for r, _, _ in found], columns=PAYSLIP.names, dtype=object)
-        return pd.DataFrame({"row": rows.to_dict("records"), "error_code": [c for _, c, _ in found], "error_message": [m for _, _, m in found]})
+    wanted = T.StructType([f for f in PAYSLIP if f.name in set(fields)])
+    none = dict.fromkeys(wanted.names)
+    said = T.StructType([T.StructField("row", wanted), T.StructField("error_code", T.StringType()), T.StructField("error_message", T.StringType())])
+    kinds = {T.StringType(): "string", T.IntegerType(): "int32", T.DoubleType(): "float64", T.BooleanType(): "bool"}
+    columns = [(f.name, kinds[f.dataType]) for f in wanted]
+
+    @F.arrow_udf(said)
+    def read(keys: pa.Array, texts: pa.Array, names: pa.Array) -> pa.Array:
+        own = keys.to_pylist()
+        parsers = {k: made[k]() for k in set(own) - {None}}
+        found = [(none, None, None) if k is None else _outcome(parsers[k], t, n, codes) for k, t, n in zip(own, texts.to_pylist(), names.to_pylist())]
+        rows = [r or none for r, _, _ in found]
+        row = pa.StructArray.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in columns], [c for c, _ in columns])
+        error, message = (pa.array([f[k] for f in found], "string") for k in (1, 2))
+        return pa.StructArray.from_arrays([row, error, message], ["row", "error_code", "error_message"])
 
     mine = key.isNotNull()
     return read(key, F.when(mine, text), F.when(mine, filename))

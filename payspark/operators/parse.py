@@ -169,7 +169,7 @@ def _stages(registry: Registry, only: str | None, mark: str, fields: tuple[str,
     fine = error.isNull()
     if registry.classes:
         theirs, python = F.col(f"{mark}python"), own.isin(*registry.classes)
-        stages.append(("python", read_by_python(registry.classes, F.when(python, own), text, name)))
+        stages.append(("python", read_by_python(registry.classes, F.when(python, own), text, name, {*fields, *CHECKED, "anio", "mes"})))
         their_checks = total_checks(theirs["row"]["anio"], theirs["row"]["mes"], *(theirs["row"][c] for c in CHECKED))
         error = F.when(python, F.coalesce(theirs["error_code"], first_code(their_checks))).otherwise(field("judged")("code"))
         fine = error.isNull()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from payspark.operators.dispatch import DEFAULT
 from payspark.functions.text import folded, period
 from payspark.operators.formats import altran, insis
+from payspark.operators.formats.python import PythonFormat, read_by_python
 from payspark.operators.parse import parse_documents
 from payspark.plans.synth import euro
 from payspark.schema import PAYSLIP
@@ -71,3 +72,15 @@ def test_payloads_are_read_for_what_is_asked(spark):
         assert "surname" in str(error)
     else:
         raise AssertionError("an unknown field was read")
+
+
+def test_python_formats_send_asked_columns_as_arrow(spark):
+    class Fine:
+        def parse(self, text, filename):
+            return {"id": filename, "anio": 2099, "mes": 1, "periodo": "2099-01", "empresa": "Own", "cif": "Z", "total_devengado": 5, "es_procesable": None}
+
+    rows = spark.createDataFrame([("own", "t", "a"), (None, "t", "b")], "key string, text string, name string").coalesce(1)
+    read = read_by_python({"own": PythonFormat("own", Fine)}, F.col("key"), F.col("text"), F.col("name"), {"id", "total_devengado", "es_procesable"})
+    found = rows.select(read.alias("r"))
+    assert found.schema["r"].dataType["row"].dataType.names == ["id", "es_procesable", "total_devengado"]
+    assert [(r.r.row and tuple(r.r.row), r.r.error_code) for r in found.collect()] == [(("a", None, 5.0), None), ((None, None, None), None)]
