@@ -43,6 +43,20 @@ def _is_set(bits: Column, bit: Column) -> Column:
     return F.getbit(byte, (bit % 8).cast("int")) == 1
 
 
+def row_block(row: Column) -> Column:
+    """The block of a file's rows that has a row number."""
+    return F.shiftright(row, BLOCK.bit_length() - 1)
+
+
+def row_marks(places: DataFrame, *file: str) -> DataFrame:
+    """(``file`` columns, block, bits): for each block of a file's rows those of ``places`` (``file`` columns, row)."""
+    return places.groupBy(*file, row_block(F.col("row")).alias("block")).agg(F.bitmap_construct_agg(F.col("row") % BLOCK).alias("bits"))
+
+
+def is_marked(bits: Column, row: Column) -> Column:
+    return _is_set(bits, row % BLOCK)
+
+
 def candidates(ids: DataFrame, index: DataFrame, parts: dict[str, int], buckets: int) -> DataFrame:
     """(id, batch, bucket): where each of ``ids`` may be.
 

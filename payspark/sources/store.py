@@ -33,6 +33,8 @@ DEFAULT_PATH, PATH_VARIABLE = "data/payslips", "PAYSPARK_STORE"
 BUCKETS = 8
 #: Parts from which a stream folds them into one.
 MANY_PARTS = 16
+#: Bitmaps of removed rows (4 KB each) up to which they are sent to all tasks, and how many rows of a part one stands for at least, by and large.
+MANY_MARKS, MARKED_ROWS = 16_384, 8_192
 PLACED = T.StructType([*STORED.fields, T.StructField("batch", T.StringType()), T.StructField("bucket", T.IntegerType())])
 FILTERS = T.StructType([T.StructField(n, k) for n, k in (("bucket", T.IntegerType()), ("block", T.IntegerType()), ("bits", T.BinaryType()), ("batch", T.StringType()))])
 #: Where a row is; files of one task have one name in all buckets.
@@ -206,16 +208,25 @@ class DocumentStore:
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*paths) if paths else self._empty(schema)
 
     def _present(self, version: Version, folders: dict[str, list[str]], *columns: str) -> DataFrame:
-        """Rows of parts (name to folders) without those removed; rows of untouched parts need no join for that."""
+        """Rows of parts (name to folders) without those removed; rows of untouched parts need no join for that.
+
+        Removed places meet the rows as bitmaps, one bit for each row of a
+        file, small enough to be sent to the tasks: so the rows, with their
+        payloads, are not shuffled.
+        """
         touched = {p for r in version.removals for p in r.parts}
         plain = [f for n, own in folders.items() if n not in touched for f in own]
         hurt = [f for n, own in folders.items() if n in touched for f in own]
         rows = self._read("data", PLACED, plain).select(*columns) if plain or not hurt else None
         if not hurt:
             return rows
-        gone = self._read("gone", GONE, [f"act={r.name}" for r in version.removals])
-        held = self._read("data", PLACED, hurt).select(*columns, *self._place())
-        held = held.join(gone.select(*(F.col(c).alias(f"_{c}") for c in GONE.names)), [f"_{c}" for c in GONE.names], "left_anti").select(*columns)
+        marks = id_index.row_marks(self._read("gone", GONE, [f"act={r.name}" for r in version.removals]), *GONE.names[:3])
+        if min(sum(r.rows for r in version.removals), sum(p.rows for p in version.parts if p.name in touched) // MARKED_ROWS) <= MANY_MARKS:
+            marks = F.broadcast(marks)
+        held = self._read("data", PLACED, hurt).select(*columns, *self._place()).withColumn("_block", id_index.row_block(F.col("_row")))
+        keys = [f"_{c}" for c in (*GONE.names[:3], "block")]
+        held = held.join(marks.select(*(F.col(c[1:]).alias(c) for c in keys), F.col("bits").alias("_bits")), keys, "left")
+        held = held.where(F.col("_bits").isNull() | ~id_index.is_marked(F.col("_bits"), F.col("_row"))).select(*columns)
         return rows.unionByName(held) if rows is not None else held
 
     @staticmethod
@@ -340,7 +351,7 @@ class DocumentStore:
             name, seen = f"g{uuid.uuid4().hex}", Observation()
             places = self._present(before, folders, "id", "batch", "bucket", "_metadata").join(found.select("id"), "id", "left_semi")
             gone = places.select("batch", "bucket", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-            gone.repartition("batch").observe(seen, F.count("*").alias("n"), F.collect_set("batch").alias("parts")).write.parquet(f"{self.path}/gone/act={name}")
+            gone.repartition("batch", "bucket", "file").observe(seen, F.count("*").alias("n"), F.collect_set("batch").alias("parts")).write.parquet(f"{self.path}/gone/act={name}")
             if not seen.get["n"]:
                 self._drop("gone", name)
                 return None

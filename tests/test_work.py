@@ -9,8 +9,9 @@ from payspark.operators.formats.python import PythonFormat, read_by_python
 from payspark.operators.parse import parse_documents
 from payspark.plans.synth import euro
 from payspark.schema import PAYSLIP
+from payspark.sources import store as stores
 from payspark.sources.documents import spread
-from payspark.sources.store import decoded, to_stored
+from payspark.sources.store import DocumentStore, decoded, to_stored
 
 
 def sizes(rows):
@@ -84,3 +85,26 @@ def test_python_formats_send_asked_columns_as_arrow(spark):
     found = rows.select(read.alias("r"))
     assert found.schema["r"].dataType["row"].dataType.names == ["id", "es_procesable", "total_devengado"]
     assert [(r.r.row and tuple(r.r.row), r.r.error_code) for r in found.collect()] == [(("a", None, 5.0), None), ((None, None, None), None)]
+
+
+def test_removals_are_dealt_by_file_and_read_without_shuffling_rows(spark, tmp_path, monkeypatch):
+    keys = spark.range(70_000).select(F.format_string("%06d", "id").alias("id"), F.lit(2099).alias("anio"), F.lit(1).alias("mes"), *(F.lit(c).alias(c) for c in ("periodo", "empresa", "cif", "tipo")))
+    store = DocumentStore(spark, str(tmp_path / "s"), buckets=2)
+    store.init()
+    store.append(keys)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        store.delete_all(keys.where("id % 7 = 0").select("id"))  # in blocks of 32,768 rows up to the last
+        written = list((tmp_path / "s" / "gone").glob("*/*.parquet"))
+        assert len(written) > 1  # not a task for each part
+        plan = store.table()._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        left = sorted(k for k in range(70_000) if k % 7)
+        assert sorted(int(r.id) for r in store.ids().collect()) == left
+        monkeypatch.setattr(stores, "MANY_MARKS", -1)
+        assert sorted(int(r.id) for r in store.ids().collect()) == left
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
