@@ -58,11 +58,16 @@ def stripped(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case, with the long s and its ligatures as plain letters; only a text that has one is rewritten for them."""
+    """Lower case, with the long s and its ligatures as plain letters; only a text that has one is rewritten for them, and one of plain bytes has none."""
     plain, special = text, F.lit(False)
     for sign, letters in (("ſ", "s"), ("ﬅ", "st"), ("ﬆ", "st")):
         plain, special = F.replace(plain, F.lit(sign), F.lit(letters)), special | F.contains(text, F.lit(sign))
-    return F.lower(F.when(special, plain).otherwise(text))
+    return F.lower(F.when((F.octet_length(text) > F.char_length(text)) & special, plain).otherwise(text))
+
+
+def not_blank(text: Column) -> Column:
+    """Whether a text has more than white space; one that begins with a sign of plain ASCII isn't searched."""
+    return F.ascii(text).between(33, 126) | found(text, r"[^\s\x1c-\x1f]")
 
 
 def period(year: Column, month: Column) -> Column:

@@ -31,8 +31,8 @@ class Registry:
 
     @staticmethod
     def searched(text: Column, filename: Column) -> Column:
-        """What keys are looked for in: text and file name, in any case."""
-        return folded(F.concat(F.coalesce(text, F.lit("")), F.lit(" "), F.coalesce(filename, F.lit(""))))
+        """What keys are looked for in: text and file name, in any case, each folded by itself, so that they are joined once."""
+        return F.concat(folded(F.coalesce(text, F.lit(""))), F.lit(" "), folded(F.coalesce(filename, F.lit(""))))
 
     def only(self, value: Column) -> Column:
         """The only key that occurs, also inside words, in a ``searched`` value, null if there is none or more than one.

@@ -18,13 +18,16 @@ NET = (
     r"LIQUIDO\s+A\s+PERCIBIR[^\d]*([\d\.,]+)",
     r"NETO\s+A\s+PERCIBIR[^\d]*([\d\.,]+)",
 )
+#: A point or comma beside white space, which every split number has.
+SPLIT = r"[.,](?:\s|(?<=\s[.,]))"
 SPLIT_NUMBERS = ((r"(?dU)(\d)\s+([\.,])", "$1$2"), (r"(?dU)([\.,])\s+(\d)", "$1$2"))
 
 
 def rejoin_numbers(text):
+    joined = text
     for body, by in SPLIT_NUMBERS:
-        text = F.regexp_replace(text, body, by)
-    return text
+        joined = F.regexp_replace(joined, body, by)
+    return F.when(found(text, SPLIT), joined)
 
 
 def captures(text, filename):

@@ -27,7 +27,7 @@ Stage = Callable[[str], Column]
 class PayslipFormat:
     """How to read one company's payslips, as column expressions in stages.
 
-    ``clean`` prepares the text; ``captures`` and ``flags`` read it (and the
+    ``clean`` prepares the text, null where it stays as it is; ``captures`` and ``flags`` read it (and the
     file name); ``convert`` makes numbers of captures, which ``adjust``
     changes, in a stage of its own, as it may refer to them many times;
     ``totals`` and then ``details`` compute with them, falling back where

@@ -12,7 +12,7 @@ from payspark.operators.dispatch import DEFAULT, Registry
 from payspark.operators.parse import parse_documents
 from payspark.schema import DUPLICATE_ID, MESSAGES, MISMATCH
 from payspark.sources.checkpoints import settled
-from payspark.sources.documents import UNNAMED, Extractor, extract_text, file_name, pdf_pages, read_folder, spread
+from payspark.sources.documents import TASK_FILES, UNNAMED, Extractor, extract_text, file_name, pdf_pages, read_folder, spread
 from payspark.sources.commits import Version
 from payspark.sources.store import DocumentStore, to_stored
 
@@ -115,7 +115,7 @@ def ingest_folder(spark: SparkSession, folder: str, store: DocumentStore, key: s
     if files.isEmpty():
         print(f"no PDF files in {folder}")
         return None
-    texts = extract_text(spread(files), extractor)
+    texts = extract_text(spread(files, TASK_FILES), extractor)
     return ingest_company(texts, store, key, "path") if key else ingest_batch(texts, store, "path")
 
 

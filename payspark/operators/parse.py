@@ -20,7 +20,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from payspark.functions.text import found, period
+from payspark.functions.text import not_blank, period
 from payspark.functions.validate import first_code, total_checks
 from payspark.operators.dispatch import DEFAULT, Registry
 from payspark.operators.formats.base import CAPTURES, FLAGS, LABELS, TOTALS, PayslipFormat
@@ -31,7 +31,6 @@ from payspark.schema import EXTRA, MESSAGES, NO_TEXT, ORDINARY, PAYSLIP, PAYSLIP
 STATUS = ("status", "error_code", "error_message")
 # Fixed value: what the note of a parsed document begins with.
 NOTE = "Procesado desde "
-NOT_BLANK = r"[^\s\x1c-\x1f]"
 #: Amounts that every check of totals looks at.
 CHECKED = ("total_devengado", "total_deducir", "liquido_percibir")
 
@@ -111,7 +110,7 @@ def _stages(registry: Registry, only: str | None, mark: str, fields: tuple[str,
     searched, written = field("said")("searched"), field("key")("written")
     key = F.lit(only) if only else registry.only(searched)
     stages = [
-        ("said", F.struct((F.lit("") if only else registry.searched(text, name)).alias("searched"), found(text, NOT_BLANK).alias("written"))),
+        ("said", F.struct((F.lit("") if only else registry.searched(text, name)).alias("searched"), not_blank(text).alias("written"))),
         ("key", F.struct(F.when(field("said")("written"), key).alias("format"), field("said")("written").alias("written"))),
     ]
 
@@ -212,8 +211,10 @@ def parse_documents(documents: DataFrame, registry: Registry = DEFAULT, only: st
 
 def formats_of(documents: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
     """Documents with their ``format`` alone: null without text, or where none or several companies are named. No pattern of a format is matched."""
-    text, name = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("filename"), F.lit(""))
-    return documents.withColumn("format", F.when(found(text, NOT_BLANK), registry.key(text, name)))
+    text, name, mark = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("filename"), F.lit("")), _mark(documents)
+    said = documents.withColumn(f"{mark}said", _guarded(F.struct(registry.searched(text, name).alias("searched"), not_blank(text).alias("written"))))
+    own = F.col(f"{mark}said")
+    return said.withColumn("format", F.when(own["written"], registry.only(own["searched"]))).drop(f"{mark}said")
 
 
 def statuses_of(documents: DataFrame, registry: Registry = DEFAULT, only: str | None = None) -> DataFrame:

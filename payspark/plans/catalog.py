@@ -54,7 +54,11 @@ def money(value: Column) -> Column:
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, gross in cents, day) of all orders."""
-    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")).select(F.col("o_orderkey").alias("key"), money(F.col("o_totalprice")).alias("gross"), F.col("o_orderdate").alias("day"))
+    return own_columns(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")))
+
+
+def own_columns(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("o_orderkey").alias("key"), money(F.col("o_totalprice")).alias("gross"), F.col("o_orderdate").alias("day"))
 
 
 # The same for DuckDB: whole cents, and the shares that payslips show.
@@ -468,6 +472,12 @@ def company_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_company(broken, new_store(spark), "altran", "key").outcome.select("key", "outcome", "error_code")
 
 
+def first_slip(rows: DataFrame) -> DataFrame:
+    """(filename, text) of the first month's first file, as names begin with the month; no other row's text is made."""
+    least = payslips(rows, "alten").agg(F.min(F.struct("filename", *rows.columns)).alias("m"))
+    return payslips(least.select(*(F.col("m")[c].alias(c) for c in rows.columns)), "alten").select("filename", "text")
+
+
 @query(
     f"""WITH t AS (SELECT key, periodo, key % 10 AS k FROM ({SLIPS})), f AS (SELECT *, row_number() OVER (PARTITION BY periodo ORDER BY key) AS n FROM t WHERE k > 0),
     first AS (SELECT min(periodo) AS p FROM t WHERE k > 0)
@@ -478,9 +488,8 @@ def company_script(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report lines of a batch into a store that has the first month."""
-    slips = payslips(orders(spark, sf_dir), "alten").select("key", "filename", "text")
-    store, first = new_store(spark), slips.where(F.col("key") % 10 > 0).agg(F.min(F.struct(F.substring("filename", 1, 6), "filename", "text")).alias("m")).select("m.filename", "m.text")
-    ingest_batch(first, store)
+    slips, store = payslips(orders(spark, sf_dir), "alten").select("key", "filename", "text"), new_store(spark)
+    ingest_batch(first_slip(own_columns(table(spark, sf_dir, "orders")).where(F.col("key") % 10 > 0)), store)
     broken = slips.withColumn("text", F.when(F.col("key") % 10 == 0, "").otherwise(F.col("text")))
     lines = report(ingest_batch(broken, store, "key").outcome)
     count = lambda mark: F.count_if(F.startswith("line", F.lit(f"[{mark}]")))

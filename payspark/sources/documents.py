@@ -30,8 +30,10 @@ def pdf_pages(content: bytes) -> list[str | None]:
         return [page.extract_text() for page in pdf.pages]
 
 
-#: Rows that one task parses.
-TASK_ROWS = 100_000
+#: Texts that one task parses, so many that the code of all stages, which each task writes anew, is little beside them.
+TASK_ROWS = 500_000
+#: Files that one task reads and turns into texts, which costs far more.
+TASK_FILES = 100_000
 
 
 def spread(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:

@@ -1,13 +1,16 @@
 """Work that grows with the rows alone: even tasks, nothing computed over and over."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from payspark.operators.dispatch import DEFAULT
-from payspark.functions.text import folded, period
-from payspark.operators.formats import altran, insis
+from payspark.functions.text import folded, not_blank, period
+from payspark.operators.formats import alten, altran, insis
 from payspark.operators.formats.python import PythonFormat, read_by_python
 from payspark.operators.parse import parse_documents
-from payspark.plans.synth import euro
+from payspark.plans.catalog import first_slip
+from payspark.plans.synth import euro, payslips
 from payspark.schema import PAYSLIP
 from payspark.sources import store as stores
 from payspark.sources.documents import spread
@@ -87,6 +90,48 @@ def test_python_formats_send_asked_columns_as_arrow(spark):
     assert [(r.r.row and tuple(r.r.row), r.r.error_code) for r in found.collect()] == [(("a", None, 5.0), None), ((None, None, None), None)]
 
 
+def test_first_slip_makes_no_other_text(spark):
+    """Else all rows were dealt out and written as texts twice in a batch report."""
+    rows = [(k, 10_000 * k + 5, datetime.datetime(2099, 3 - k % 3, 1)) for k in range(1, 40)]
+    own = spark.createDataFrame(rows, "key long, gross long, day timestamp").repartition(3)
+    slips = payslips(own, "alten")
+    least = slips.agg(F.min(F.struct(F.substring("filename", 1, 6), "filename", "text")).alias("m")).select("m.filename", "m.text").first()
+    found = first_slip(own)
+    assert found.first() == least and found.count() == 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "TOTAL DEVENGADO" not in plan[plan.index("Aggregate"):]
+
+
+def test_a_task_parses_many_rows(spark):
+    """Each task writes the code of all stages anew: a fifth of its time with 30,000 rows."""
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(400_000 * cores)).rdd.getNumPartitions() == cores
+
+
+def test_texts_without_split_numbers_stay(spark):
+    spaces = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    texts = [f"{a}{s}{p}{t}{b}" for a in ("1", "x", "٣") for b in ("2", "y") for p in ".," for s in ("", *spaces) for t in ("", *spaces)]
+    texts += ["", "1 .5 , 6", ". ,1", "1 .", ", 2", "1\u200b.2", "𝟏 .𝟐", "Alten TOTAL 1.234,56 7,00\nLIQUIDO"]
+    plain = F.col("t")
+    for body, by in alten.SPLIT_NUMBERS:
+        plain = F.regexp_replace(plain, body, by)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", alten.rejoin_numbers(F.col("t")).alias("joined"), plain.alias("plain")).collect()
+    assert all((r.t if r.joined is None else r.joined) == r.plain for r in rows)
+    assert [r.joined for r in rows if r.t in ("", "Alten TOTAL 1.234,56 7,00\nLIQUIDO", "1.2", "1\u200b.2")] == [None] * 4
+
+
+def test_blank_texts_and_names_in_any_letters(spark):
+    texts = ["", " ", "\t\n\x1c\x1f\x85\xa0\u3000", " a", "a ", "!", "~", "\x7f", "\x00", "\u200b", "é", "\x1cé", "٣", "😀"]
+    own = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r[0] == r[1] for r in own.select(not_blank(F.col("t")), F.rlike("t", F.lit(r"(?dU)[^\s\x1c-\x1f]"))).collect())
+    names = [("InſIs", "a.pdf"), ("x", "inſis.pdf"), ("ALTRA", "N.pdf"), (None, "İneco"), ("ΑΣ", "Σ altran"), ("ΑΣ'", "A"), ("alte", None), (None, "ALTEN"), ("inteligencia ", "sistematica")]
+    pairs = spark.createDataFrame(names, "t string, n string")
+    whole = folded(F.concat(F.coalesce("t", F.lit("")), F.lit(" "), F.coalesce("n", F.lit(""))))
+    found = pairs.select(DEFAULT.searched(F.col("t"), F.col("n")), whole, DEFAULT.key(F.col("t"), F.col("n"))).collect()
+    assert all(r[0] == r[1] for r in found)
+    assert [r[2] for r in found] == ["insis", "insis", None, None, "altran", None, None, "alten", None]
+
+
 def test_removals_are_dealt_by_file_and_read_without_shuffling_rows(spark, tmp_path, monkeypatch):
     keys = spark.range(70_000).select(F.format_string("%06d", "id").alias("id"), F.lit(2099).alias("anio"), F.lit(1).alias("mes"), *(F.lit(c).alias(c) for c in ("periodo", "empresa", "cif", "tipo")))
     store = DocumentStore(spark, str(tmp_path / "s"), buckets=2)
