@@ -103,7 +103,7 @@ def test_first_slip_makes_no_other_text(spark):
 
 
 def test_a_task_parses_many_rows(spark):
-    """Each task writes the code of all stages anew: a fifth of its time with 30,000 rows."""
+    """Each task writes the code of all stages anew, which takes it some half a second."""
     cores = spark.sparkContext.defaultParallelism
     assert spread(spark.range(400_000 * cores)).rdd.getNumPartitions() == cores
 
